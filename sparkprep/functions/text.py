@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkprep.functions.lookup import sql_literal
 from sparkprep.schema import NULL_TOKENS
 
 # --- fixed values: the characters Python calls white space, up to U+3000 ---
@@ -14,22 +15,34 @@ WHITESPACE = "".join(
 )
 
 
-def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(WHITESPACE))
+_WHITESPACE_SQL = "'" + "".join(f"\\u{ord(c):04x}" for c in WHITESPACE) + "'"
 
 
-def lower_strip(c: Column) -> Column:
-    return F.lower(strip(c.cast("string")))
+def name_sql(column: str) -> str:
+    """A column name as SQL; raw headers may contain dots or blanks."""
+    return "`" + column.replace("`", "``") + "`"
 
 
-def clean_text(c: Column) -> Column:
+def strip_sql(e: str) -> str:
+    return f"btrim({e}, {_WHITESPACE_SQL})"
+
+
+def clean_sql(e: str) -> str:
     """Trimmed text; the null spellings become null (case-sensitive)."""
-    s = strip(c)
-    return F.when(~s.isin(NULL_TOKENS), s)
+    tokens = ", ".join(map(sql_literal, NULL_TOKENS))
+    return f"if({strip_sql(e)} IN ({tokens}), NULL, {strip_sql(e)})"
+
 
+def blank_sql(e: str) -> str:
+    return f"({e} IS NULL OR {strip_sql(f'string({e})')} = '')"
 
-def is_blank(c: Column) -> Column:
-    return c.isNull() | (strip(c.cast("string")) == "")
+
+def strip(c: Column) -> Column:
+    return F.btrim(c, F.lit(WHITESPACE))
+
+
+def lower_strip(c: Column) -> Column:
+    return F.lower(strip(c.cast("string")))
 
 
 def strip_prefix(c: Column) -> Column:

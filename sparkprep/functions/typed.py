@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkprep.functions.text import name_sql
+
 # --- fixed values: accepted non-ISO date formats, with the shape each one is tried on ---
 DATE_FORMATS = {
     r"^\d{1,2}/\d{1,2}/\d{4}$": "M/d/yyyy",
@@ -17,20 +19,28 @@ DATE_FORMATS = {
 _ISO = r"^\s*\d{4}-\d{1,2}-\d{1,2}"
 
 
-def to_double(c: Column) -> Column:
+def double_sql(e: str) -> str:
     """Number or null. The text `NaN` is null too: Spark sorts NaN above every number."""
-    v = c.try_cast("double")
-    return F.when(~F.isnan(v), v)
+    return f"nanvl(try_cast({e} AS DOUBLE), CAST(NULL AS DOUBLE))"
 
 
-def to_timestamp(c: Column, kind: T.DataType) -> Column:
+def timestamp_sql(e: str, kind: T.DataType) -> str:
     """Timestamp or null. Text is read as ISO, else by the formats above, each row for itself."""
     if not isinstance(kind, T.StringType):
-        return c.try_cast("timestamp") if isinstance(kind, (T.DateType, T.TimestampType)) else F.lit(
-            None
-        ).cast("timestamp")
-    others = [F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(fmt))) for shape, fmt in DATE_FORMATS.items()]
-    return F.coalesce(F.when(c.rlike(_ISO), c.try_cast("timestamp")), *others)
+        is_time = isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))
+        return f"CAST({e if is_time else 'NULL'} AS TIMESTAMP)"
+    others = " ".join(
+        f"WHEN {e} RLIKE r'{shape}' THEN try_to_timestamp({e}, '{fmt}')" for shape, fmt in DATE_FORMATS.items()
+    )
+    return f"CASE WHEN {e} RLIKE r'{_ISO}' THEN try_cast({e} AS TIMESTAMP) {others} END"
+
+
+def to_double(column: str) -> Column:
+    return F.expr(double_sql(name_sql(column)))
+
+
+def to_timestamp(column: str, kind: T.DataType) -> Column:
+    return F.expr(timestamp_sql(name_sql(column), kind))
 
 
 def is_numeric(kind: T.DataType) -> bool:

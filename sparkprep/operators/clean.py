@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from sparkprep import schema
 from sparkprep.functions import text, typed
+from sparkprep.functions.lookup import literal_map
 from sparkprep.operators import ranking
 from sparkprep.schema import ROW_ORD
 
@@ -18,18 +19,17 @@ def data_columns(df: DataFrame) -> list[str]:
 
 def clean_strings(df: DataFrame) -> DataFrame:
     """Trim and null out the null spellings in every text column that no cast will read."""
-    def cleaned(f: T.StructField) -> Column:
-        if isinstance(f.dataType, T.StringType) and f.name not in schema.TYPED_BY_NAME:
-            return text.clean_text(F.col(f"`{f.name}`")).alias(f.name)
-        return F.col(f"`{f.name}`")
+    def cleaned(f: T.StructField) -> str:
+        name = text.name_sql(f.name)
+        is_text = isinstance(f.dataType, T.StringType) and f.name not in schema.TYPED_BY_NAME
+        return f"{text.clean_sql(name)} AS {name}" if is_text else name
 
-    return df.select(*[cleaned(f) for f in df.schema.fields])
+    return df.selectExpr(*[cleaned(f) for f in df.schema.fields])
 
 
 def canonical_category(column: str) -> Column:
     """The canonical spelling of a categorical value, null when unknown."""
-    table = F.create_map(*[F.lit(x) for pair in schema.CATEGORICALS[column].items() for x in pair])
-    return F.try_element_at(table, text.lower_strip(F.col(column)))
+    return F.try_element_at(literal_map(schema.CATEGORICALS[column]), text.lower_strip(F.col(column)))
 
 
 def category_changes(column: str) -> Column:
@@ -45,15 +45,15 @@ def normalize_categoricals(df: DataFrame, columns: list[str] | None = None) -> D
 def cast_types(df: DataFrame, dataset: str) -> DataFrame:
     kinds = schema.field_types(dataset)
 
-    def cast(f: T.StructField) -> Column:
-        c, kind = F.col(f"`{f.name}`"), kinds.get(f.name)
+    def cast(f: T.StructField) -> str:
+        name, kind = text.name_sql(f.name), kinds.get(f.name)
         if kind == "float":
-            c = typed.to_double(c)
-        elif kind == "date":
-            c = typed.to_timestamp(c, f.dataType)
-        return c.alias(f.name)
+            return f"{typed.double_sql(name)} AS {name}"
+        if kind == "date":
+            return f"{typed.timestamp_sql(name, f.dataType)} AS {name}"
+        return name
 
-    return df.select(*[cast(f) for f in df.schema.fields])
+    return df.selectExpr(*[cast(f) for f in df.schema.fields])
 
 
 def _keys_in(df: DataFrame, dataset: str) -> list[str] | None:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkprep import schema
 from sparkprep.functions import text
 from sparkprep.functions.address import parse_address
-from sparkprep.operators.joins import lookup_join, quoted
+from sparkprep.functions.lookup import literal_map
+from sparkprep.operators.joins import lookup_join
 from sparkprep.operators.validate import record_id
 from sparkprep.schema import ROW_ORD
 
@@ -16,6 +18,12 @@ from sparkprep.schema import ROW_ORD
 THRESHOLD = 0.6
 PARSED, POSTAL, GAZETTEER = 0.75, 0.90, 0.70
 
+_ITEM = (
+    "field string, candidate_value string, confidence double, rationale string, applied boolean, "
+    "manual_review_required boolean"
+)
+LOG_SCHEMA = f"dataset_name string, run_id string, record_id string, {_ITEM}"
+
 # --- fixed values: city, state, latitude, longitude ---
 CITIES = """
 chicago,il,41.8827,-87.6233
@@ -71,10 +79,7 @@ def with_gazetteer(df: DataFrame, city: Column, state: Column, out: str, gazette
     key = F.concat_ws("|", text.lower_strip(city), text.lower_strip(state))
     key = F.when(city.isNotNull() & state.isNotNull(), key)
     if gazetteer is None:
-        table = F.create_map(*[
-            x for c, s, lat, lon in cities()
-            for x in (F.lit(f"{c}|{s}"), F.struct(F.lit(lat).alias("lat"), F.lit(lon).alias("lon")))
-        ])
+        table = literal_map({f"{c}|{s}": {"lat": lat, "lon": lon} for c, s, lat, lon in cities()})
         return df.withColumn(out, F.try_element_at(table, key))
     places = gazetteer.groupBy(
         F.concat_ws("|", text.lower_strip(F.col("city")), text.lower_strip(F.col("state"))).alias("_place")
@@ -84,78 +89,80 @@ def with_gazetteer(df: DataFrame, city: Column, state: Column, out: str, gazette
 
 def postal_evidence(df: DataFrame) -> DataFrame:
     """Per postal code the first row (row order) that has a city or a state: struct `_evidence`."""
-    def col_or_null(name: str, kind: str) -> Column:
-        return (F.col(name) if name in df.columns else F.lit(None).cast(kind)).alias(name)
-
-    known = [F.col(c).isNotNull() for c in ("city", "state") if c in df.columns]
-    rows = df.where(F.col("postal_code").isNotNull())
-    if known:
-        rows = rows.where(known[0] if len(known) == 1 else known[0] | known[1])
-    facts = F.struct(
-        col_or_null("city", "string"), col_or_null("state", "string"),
-        col_or_null("latitude", "double"), col_or_null("longitude", "double"),
+    def column(name: str, kind: str) -> str:
+        return f"'{name}', {name if name in df.columns else f'CAST(NULL AS {kind})'}"
+
+    known = " OR ".join(f"{c} IS NOT NULL" for c in ("city", "state") if c in df.columns) or "true"
+    facts = ", ".join([column("city", "string"), column("state", "string"), column("latitude", "double"), column("longitude", "double")])
+    return df.where(f"postal_code IS NOT NULL AND ({known})").groupBy(F.col("postal_code").alias("_postal")).agg(
+        F.expr(f"min_by(named_struct({facts}), {ROW_ORD})").alias("_evidence")
     )
-    return rows.groupBy(F.col("postal_code").alias("_postal")).agg(F.min_by(facts, ROW_ORD).alias("_evidence"))
 
 
-def _present(c: Column) -> Column:
-    return F.when(~text.is_blank(c) & ~text.strip(c).isin("nan", "None"), text.strip(c))
+def _present(e: str) -> str:
+    """The trimmed text, null when blank or a spelled-out null."""
+    s = text.strip_sql(f"string({e})")
+    return f"if({s} IN ('', 'nan', 'None'), NULL, {s})"
 
 
-def _attempts(df: DataFrame, threshold: float, gazetteer: DataFrame | None) -> tuple[DataFrame, dict[str, Column]]:
-    """Adds one struct column `_try_<field>` (candidate, confidence, rationale) per fillable field."""
-    has = set(df.columns)
-    address = F.col("address_line_1") if "address_line_1" in has else F.lit(None).cast("string")
-    df = df.withColumn("_parsed", parse_address(_present(address)))
-    own = _present(F.col("postal_code").cast("string")) if "postal_code" in has else F.lit(None).cast("string")
-    df = df.withColumn("_postal", F.coalesce(F.col("_parsed.postal_code"), own))
-    if "postal_code" in has and has & {"city", "state", "latitude", "longitude"}:
-        df = lookup_join(df, postal_evidence(df.select(*[c for c in df.columns if c in {*schema.GEO_FIELDS, ROW_ORD}])), "_postal")
-    else:
-        df = df.withColumn("_evidence", F.lit(None).cast("struct<city:string,state:string,latitude:double,longitude:double>"))
+def _attempt(candidate: str, confidence: float, rationale: str) -> str:
+    return f"""if({candidate} IS NULL, NULL, named_struct('candidate', string({candidate}), 'confidence', {confidence}D,
+        'rationale', {rationale}))"""
+
+
+def _by_address(field: str, label: str) -> str:
+    return _attempt(f"_parsed.{field}", PARSED, f"'Parsed {label} from address_line_1.'")
+
+
+def _by_postal(field: str) -> str:
+    why = f"concat('Inferred {field} from record sharing postal code \\'', _postal, '\\'.')"
+    return _attempt(f"_evidence.{field}", POSTAL, why)
 
-    def attempt(candidate: Column, confidence: float, rationale: Column) -> Column:
-        return F.when(candidate.isNotNull(), F.struct(
-            candidate.cast("string").alias("candidate"), F.lit(confidence).alias("confidence"), rationale.alias("rationale")
-        ))
 
-    def shared(field: str) -> Column:
-        return F.format_string(f"Inferred {field} from record sharing postal code '%s'.", F.col("_postal"))
+def _by_place(field: str) -> str:
+    place = "_now_city, ', ', _now_state, ' ', coalesce(_postal, 'None')"
+    why = f"concat('Geocoded {field} from city/state table for \\'', {place}, '\\'.')"
+    return _attempt(f"_place_at.{field[:3]}", GAZETTEER, why)
 
-    def parsed(field: str, label: str) -> Column:
-        return attempt(F.col(f"_parsed.{field}"), PARSED, F.lit(f"Parsed {label} from address_line_1."))
 
-    tries: dict[str, Column] = {}
+def _with_attempts(df: DataFrame, threshold: float, gazetteer: DataFrame | None) -> tuple[DataFrame, list[str]]:
+    """Adds one struct column `_try_<field>` (candidate, confidence, rationale) per fillable field, null
+    where nothing is missing or no evidence exists; returns the fields too."""
+    has = [f for f in schema.GEO_FIELDS if f in df.columns]
+    address = _present("address_line_1") if "address_line_1" in df.columns else "CAST(NULL AS STRING)"
+    own = _present("postal_code") if "postal_code" in has else "CAST(NULL AS STRING)"
+    df = df.withColumn("_parsed", parse_address(F.expr(address))).withColumn(
+        "_postal", F.expr(f"coalesce(_parsed.postal_code, {own})")
+    )
+    if "postal_code" in has and len(has) > 1:
+        df = lookup_join(df, postal_evidence(df.select(*has, ROW_ORD)), "_postal")
+    else:
+        df = df.withColumn("_evidence", F.expr(
+            "CAST(NULL AS STRUCT<city: STRING, state: STRING, latitude: DOUBLE, longitude: DOUBLE>)"
+        ))
+
+    tries = {}
     for f in ("city", "state"):
         if f in has:
-            by_postal = attempt(_present(F.col(f"_evidence.{f}")), POSTAL, shared(f))
-            tries[f] = F.when(_present(F.col(f)).isNull(), F.coalesce(parsed(f, f), by_postal))
+            tries[f] = F.expr(f"if({_present(f)} IS NULL, coalesce({_by_address(f, f)}, {_by_postal(f)}), NULL)")
     if "postal_code" in has:
-        tries["postal_code"] = F.when(own.isNull(), parsed("postal_code", "postal code"))
-
-    def filled(f: str) -> Column:
-        if f not in tries:
-            return F.lit(None).cast("string")
-        gain = F.when(tries[f]["confidence"] >= threshold, tries[f]["candidate"])
-        return F.coalesce(gain, _present(F.col(f)))
+        tries["postal_code"] = F.expr(f"if({own} IS NULL, {_by_address('postal_code', 'postal code')}, NULL)")
+    df = df.withColumns({f"_try_{f}": c for f, c in tries.items()})
 
     coordinates = [f for f in ("latitude", "longitude") if f in has]
     if coordinates:
-        df = with_gazetteer(df, filled("city"), filled("state"), "_place_at", gazetteer)
-        lat, lon = F.col("_evidence.latitude"), F.col("_evidence.longitude")
-        located = F.coalesce((lat != 0) & (lon != 0), F.lit(False))
-        place = F.format_string(
-            "'%s, %s %s'", filled("city"), filled("state"), F.coalesce(F.col("_postal"), F.lit("None"))
-        )
-        for f in coordinates:
-            by_place = attempt(
-                F.col(f"_place_at.{f[:3]}"), GAZETTEER,
-                F.concat(F.lit(f"Geocoded {f} from city/state table for "), place, F.lit(".")),
-            )
-            tries[f] = F.when(F.col(f).isNull(), F.when(
-                located, attempt(F.col(f"_evidence.{f}"), POSTAL, shared(f))
-            ).otherwise(by_place))
-    return df.withColumns({f"_try_{f}": c for f, c in tries.items()}), tries
+        def now(f: str) -> Column:
+            gain = f"if(_try_{f}.confidence >= {threshold}D, _try_{f}.candidate, NULL)"
+            return F.expr(f"coalesce({gain}, {_present(f)})" if f in has else "CAST(NULL AS STRING)")
+
+        df = df.withColumns({"_now_city": now("city"), "_now_state": now("state")})
+        df = with_gazetteer(df, F.col("_now_city"), F.col("_now_state"), "_place_at", gazetteer)
+        located = "coalesce(_evidence.latitude <> 0 AND _evidence.longitude <> 0, false)"
+        df = df.withColumns({
+            f"_try_{f}": F.expr(f"if({f} IS NULL, if({located}, {_by_postal(f)}, {_by_place(f)}), NULL)")
+            for f in coordinates
+        })
+    return df, has
 
 
 def enrich_geo(
@@ -166,45 +173,33 @@ def enrich_geo(
     Evidence in order: the row's own address, the first record with the same postal code, the city
     table. A fill needs a confidence of at least `threshold` and marks the row for review.
     """
-    df, tries = _attempts(gold, threshold, gazetteer)
-
-    def applied(f: str) -> Column:
-        return F.coalesce(F.col(f"_try_{f}.confidence") >= threshold, F.lit(False))
-
-    touched = F.lit(False)
-    for f in tries:
-        touched = touched | applied(f)
-    out = []
-    for c, name in zip(quoted(gold), gold.columns):
-        if name in tries:
-            kind = gold.schema[name].dataType
-            c = F.when(applied(name), F.col(f"_try_{name}.candidate").try_cast(kind)).otherwise(c)
-        elif name == "needs_review":
-            c = c | touched
-        elif name == "row_status":
-            c = F.when(touched, "needs_review").otherwise(c)
-        out.append(c.alias(name))
-
-    items = [
-        F.when(F.col(f"_try_{f}").isNotNull(), F.struct(
-            F.lit(f).alias("field"),
-            F.col(f"_try_{f}.candidate").alias("candidate_value"),
-            F.col(f"_try_{f}.confidence").alias("confidence"),
-            F.col(f"_try_{f}.rationale").alias("rationale"),
-            applied(f).alias("applied"),
-            F.lit(True).alias("manual_review_required"),
-        ))
-        for f in schema.GEO_FIELDS if f in tries
-    ]
-    none = F.lit(None).cast(
-        "struct<field:string,candidate_value:string,confidence:double,rationale:string,applied:boolean,manual_review_required:boolean>"
-    )
+    df, fields = _with_attempts(gold, threshold, gazetteer)
+    applied = {f: f"coalesce(_try_{f}.confidence >= {threshold}D, false)" for f in fields}
+    touched = " OR ".join(applied.values()) or "false"
+
+    def filled(name: str) -> str:
+        c = text.name_sql(name)
+        if name in fields:
+            kind = gold.schema[name].dataType.simpleString()
+            return f"if({applied[name]}, try_cast(_try_{name}.candidate AS {kind}), {c}) AS {c}"
+        if name == "needs_review":
+            return f"needs_review OR {touched} AS needs_review"
+        if name == "row_status":
+            return f"if({touched}, 'needs_review', row_status) AS row_status"
+        return c
+
+    def item(f: str) -> str:
+        return f"""if(_try_{f} IS NULL, NULL, named_struct('field', '{f}', 'candidate_value', _try_{f}.candidate,
+            'confidence', _try_{f}.confidence, 'rationale', _try_{f}.rationale, 'applied', {applied[f]},
+            'manual_review_required', true))"""
+
+    items = ", ".join(map(item, fields)) or f"CAST(NULL AS {T.StructType.fromDDL(_ITEM).simpleString()})"
     order = [ROW_ORD] if ROW_ORD in df.columns else []
     review = df.select(
         F.lit(dataset).alias("dataset_name"), F.lit(run_id).alias("run_id"),
-        record_id(df, dataset).alias("record_id"), *order, F.inline(F.array_compact(F.array(*(items or [none])))),
+        record_id(df, dataset).alias("record_id"), *order, F.expr(f"inline(array_compact(array({items})))"),
     )
-    return df.select(*out), review
+    return df.selectExpr(*map(filled, gold.columns)), review
 
 
 PLACE_PARTS = ["address_line_1", "address_line_2", "city", "state", "postal_code", "country"]

@@ -15,7 +15,7 @@ SPREAD = 4096  # buckets over which rows that cannot match through the shuffle a
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate, from file sizes and column widths; no job runs. A frame without
     statistics (checkpoint, local rows) counts as huge."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def fits_broadcast(df: DataFrame) -> bool:

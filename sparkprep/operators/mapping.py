@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkprep import aliases, schema
 from sparkprep.functions import text, typed
+from sparkprep.functions.lookup import literal_map
 
 AUTO_APPROVE = 0.85
 FUZZY_FLOOR = 0.55
@@ -43,7 +44,7 @@ def apply_mapping(raw: DataFrame, mapping: dict[str, str]) -> DataFrame:
     def target(name: str) -> str:
         return usable.get(name) or (name if name == schema.ROW_ORD else f"raw__{name}")
 
-    return raw.select(*[F.col(f"`{c}`").alias(target(c)) for c in raw.columns])
+    return raw.selectExpr(*[f"{text.name_sql(c)} AS {text.name_sql(target(c))}" for c in raw.columns])
 
 
 def approved(entries: list[dict]) -> dict[str, str]:
@@ -62,11 +63,8 @@ def headers(frames: dict[str, DataFrame], project_id: str, spark: SparkSession)
 
 def _alias_hit(lookup: dict[str, str]) -> Column:
     """Canonical field of a normalised header, if it belongs to the dataset's schema."""
-    table = F.create_map(*[F.lit(x) for pair in lookup.items() for x in pair])
-    field = F.try_element_at(table, F.col("norm"))
-    members = F.create_map(
-        *[x for ds in schema.DATASETS for x in (F.lit(ds), F.array(*map(F.lit, schema.field_names(ds))))]
-    )
+    field = F.try_element_at(literal_map(lookup), F.col("norm"))
+    members = literal_map({ds: schema.field_names(ds) for ds in schema.DATASETS})
     return F.when(F.array_contains(F.try_element_at(members, F.col("dataset")), field), field)
 
 
@@ -232,7 +230,7 @@ def with_fallbacks(df: DataFrame, *columns: str) -> DataFrame:
     for name in columns:
         raw = next((c for c in RAW_FALLBACKS.get(name, "").split() if c in df.columns), None)
         if name not in df.columns and raw:
-            value = typed.to_double(F.col(raw)) if name in _NUMERIC_FALLBACKS else F.col(raw)
+            value = typed.to_double(raw) if name in _NUMERIC_FALLBACKS else F.col(raw)
             df = df.withColumn(name, value)
     return df
 

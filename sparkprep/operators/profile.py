@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkprep.functions import typed
+from sparkprep.functions.lookup import literal_map
 from sparkprep.operators import ranking
 from sparkprep.operators.clean import data_columns
 
@@ -48,7 +49,7 @@ def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
         base = base.join(F.broadcast(medians), "column", "left")  # one row per numeric column
     else:
         base = base.withColumn("median", F.lit(None).cast("double"))
-    dtype = F.create_map(*[F.lit(x) for c in columns for x in (c, kinds[c].simpleString())])
+    dtype = literal_map({c: kinds[c].simpleString() for c in columns})
     return base.select(
         "column", dtype[F.col("column")].alias("dtype"), "null_count",
         F.round(F.col("null_count") / F.col("rows") * 100, 2).alias("null_pct"), "distinct_count", *STATS,

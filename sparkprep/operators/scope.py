@@ -46,10 +46,10 @@ def rule_passes(df: DataFrame, rule: dict) -> Column:
     try:
         if kind == "date_range":
             low, high = (_bound(rule[k]) if rule.get(k) else None for k in ("start", "end"))
-            return _between(typed.to_timestamp(c, df.schema[field].dataType), low, high)
+            return _between(typed.to_timestamp(field, df.schema[field].dataType), low, high)
         if kind == "numeric_range":
             low, high = (F.lit(float(rule[k])) if rule.get(k) is not None else None for k in ("min", "max"))
-            return _between(typed.to_double(c), low, high)
+            return _between(typed.to_double(field), low, high)
         if kind in ("include_values", "exclude_values") and _values(rule):
             listed = F.coalesce(text.lower_strip(c).isin(_values(rule)), F.lit(False))
             return listed if kind == "include_values" else ~listed

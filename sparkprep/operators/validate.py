@@ -3,120 +3,109 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep import schema
 from sparkprep.functions import text
+from sparkprep.functions.lookup import sql_literal
 from sparkprep.schema import ROW_ORD
 
 
+LOG_SCHEMA = (
+    "dataset_name string, run_id string, record_id string, canonical_field string, issue_type string, "
+    "issue_description string, severity string, raw_value string, manual_review_required boolean"
+)
+
+
 @dataclass(frozen=True)
 class Check:
+    """A row check; `fails`, `description` and `raw_value` are SQL over the row."""
+
     field: str
-    fails: Column
+    fails: str
     issue_type: str
-    description: Column
+    description: str
     severity: str = "high"
-    raw_value: Column | None = None
+    raw_value: str = "CAST(NULL AS STRING)"
     review: bool = False
     invalidates: bool = True
 
-
-def _sure(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
+    def item(self) -> str:
+        return f"""if({self.fails}, named_struct('canonical_field', '{self.field}', 'issue_type', '{self.issue_type}',
+            'issue_description', {self.description}, 'severity', '{self.severity}', 'raw_value', {self.raw_value},
+            'manual_review_required', {str(self.review).lower()}), NULL)"""
 
 
 def checks(df: DataFrame, dataset: str, strict: bool = False) -> list[Check]:
     """Checks that apply to the columns at hand. A required field without a column is skipped, or with
     `strict` fails every row."""
     out: list[Check] = []
-
-    def as_text(f: str) -> Column:
-        return F.col(f).cast("string")
-
+    has = set(df.columns)
     for f in schema.required_fields(dataset):
-        if f in df.columns or strict:
-            missing = text.is_blank(F.col(f)) if f in df.columns else F.lit(True)
+        if f in has or strict:
             out.append(Check(
-                f, missing, "missing_mandatory_field", F.lit(f"Required field '{f}' is missing."),
-                review=f in schema.GEO_FIELDS,
+                f, text.blank_sql(f) if f in has else "true", "missing_mandatory_field",
+                sql_literal(f"Required field '{f}' is missing."), review=f in schema.GEO_FIELDS,
             ))
     for f in schema.NON_NEGATIVE_FIELDS:
-        if f in df.columns:
+        if f in has:
+            head = sql_literal(f"Field '{f}' has a negative value (")
             out.append(Check(
-                f, _sure(F.col(f) < 0), "invalid_numeric_value",
-                F.concat(F.lit(f"Field '{f}' has a negative value ("), as_text(f), F.lit(").")), raw_value=as_text(f),
+                f, f"coalesce({f} < 0, false)", "invalid_numeric_value", f"concat({head}, {f}, ').')",
+                raw_value=f"string({f})",
             ))
-    if "quantity_on_hand" in df.columns:
-        f = "quantity_on_hand"
+    if (f := "quantity_on_hand") in has:
         out.append(Check(
-            f, _sure(F.col(f) < 0), "negative_inventory_exception",
-            F.concat(F.lit("Negative on-hand quantity ("), as_text(f), F.lit(").")), severity="medium",
-            raw_value=as_text(f), review=True, invalidates=False,
+            f, f"coalesce({f} < 0, false)", "negative_inventory_exception",
+            f"concat('Negative on-hand quantity (', {f}, ').')", severity="medium", raw_value=f"string({f})",
+            review=True, invalidates=False,
         ))
     for f, (low, high) in schema.COORDINATE_RANGE.items():
-        if f in df.columns:
+        if f in has:
             out.append(Check(
-                f, _sure(~F.col(f).between(low, high)), "invalid_range",
-                F.lit(f"{f.capitalize()} out of range."), raw_value=as_text(f),
+                f, f"coalesce({f} NOT BETWEEN {low}D AND {high}D, false)", "invalid_range",
+                sql_literal(f"{f.capitalize()} out of range."), raw_value=f"string({f})",
             ))
-    if dataset == "shipment_history" and "direction" in df.columns:
-        f = "direction"
+    if dataset == "shipment_history" and (f := "direction") in has:
         out.append(Check(
-            f, _sure(~text.lower_strip(F.col(f)).isin("inbound", "outbound")), "invalid_direction_value",
-            F.concat(F.lit("Direction value '"), as_text(f), F.lit("' is not valid. Must be 'Inbound' or 'Outbound'.")),
-            raw_value=as_text(f),
+            f, f"coalesce(lower({text.strip_sql(f)}) NOT IN ('inbound', 'outbound'), false)", "invalid_direction_value",
+            f"concat('Direction value \\'', {f}, '\\' is not valid. Must be \\'Inbound\\' or \\'Outbound\\'.')",
+            raw_value=f,
         ))
     return out
 
 
-def row_status(is_valid: Column, needs_review: Column) -> Column:
-    return F.when(needs_review, "needs_review").when(is_valid, "valid").otherwise("invalid")
-
-
 def record_id(df: DataFrame, dataset: str) -> Column:
     name = schema.RECORD_ID.get(dataset)
     return F.col(name if name in df.columns else ROW_ORD).cast("string")
 
 
-def add_status(df: DataFrame, dataset: str, strict: bool = False) -> DataFrame:
+def add_status(df: DataFrame, dataset: str, strict: bool = False, todo: list[Check] | None = None) -> DataFrame:
     """Adds is_valid, needs_review, row_status."""
-    todo = checks(df, dataset, strict)
-
-    def any_of(conditions: list[Column]) -> Column:
-        return reduce(lambda a, b: a | b, conditions, F.lit(False))
+    todo = checks(df, dataset, strict) if todo is None else todo
 
-    df = df.withColumns({
-        "is_valid": ~any_of([c.fails for c in todo if c.invalidates]),
-        "needs_review": any_of([c.fails for c in todo if c.review]),
-    })
-    return df.withColumn("row_status", row_status(F.col("is_valid"), F.col("needs_review")))
+    invalid = " OR ".join(c.fails for c in todo if c.invalidates) or "false"
+    review = " OR ".join(c.fails for c in todo if c.review) or "false"
+    return df.withColumns({"is_valid": F.expr(f"NOT ({invalid})"), "needs_review": F.expr(review)}).withColumn(
+        "row_status", F.expr("CASE WHEN needs_review THEN 'needs_review' WHEN is_valid THEN 'valid' ELSE 'invalid' END")
+    )
 
 
-def issue_log(df: DataFrame, dataset: str, run_id: str, strict: bool = False) -> DataFrame:
+def issue_log(
+    df: DataFrame, dataset: str, run_id: str, strict: bool = False, todo: list[Check] | None = None
+) -> DataFrame:
     """One row per failed check, from one pass over the rows."""
-    none = F.lit(None).cast("string")
-    items = [
-        F.when(c.fails, F.struct(
-            F.lit(c.field).alias("canonical_field"),
-            F.lit(c.issue_type).alias("issue_type"),
-            c.description.alias("issue_description"),
-            F.lit(c.severity).alias("severity"),
-            (none if c.raw_value is None else c.raw_value).alias("raw_value"),
-            F.lit(c.review).alias("manual_review_required"),
-        ))
-        for c in checks(df, dataset, strict)
-    ]
+    todo = checks(df, dataset, strict) if todo is None else todo
     order = [ROW_ORD] if ROW_ORD in df.columns else []
     return df.select(
         F.lit(dataset).alias("dataset_name"), F.lit(run_id).alias("run_id"),
-        record_id(df, dataset).alias("record_id"), *order, F.inline(F.array_compact(F.array(*items))),
+        record_id(df, dataset).alias("record_id"), *order, F.expr(f"inline(array_compact(array({', '.join(c.item() for c in todo)})))"),
     )
 
 
 def validate(df: DataFrame, dataset: str, run_id: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows with status, issue log)."""
-    return add_status(df, dataset, strict), issue_log(df, dataset, run_id, strict)
+    todo = checks(df, dataset, strict)
+    return add_status(df, dataset, todo=todo), issue_log(df, dataset, run_id, todo=todo)

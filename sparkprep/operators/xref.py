@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkprep import schema
 from sparkprep.functions import text
@@ -13,7 +14,11 @@ from sparkprep.operators.joins import lookup_join, quoted
 from sparkprep.operators.validate import record_id
 from sparkprep.schema import ROW_ORD, ForeignKey
 
-_ITEM = "struct<field:string,invalid_value:string,matched_value:string,expected_master:string,match_type:string,destination_type:string>"
+_ITEM = (
+    "field string, invalid_value string, matched_value string, expected_master string, match_type string, "
+    "destination_type string"
+)
+LOG_SCHEMA = f"dataset_name string, run_id string, record_id string, {_ITEM}, count int"
 
 
 def _keys(parents: dict[str, DataFrame], name: str) -> DataFrame | None:
@@ -79,7 +84,7 @@ def _check(df: DataFrame, fk: ForeignKey, keys: DataFrame) -> tuple[DataFrame, d
         expected.alias("expected_master"),
         F.when(found, "prefix_stripped").otherwise("no_match").alias("match_type"),
         kind.alias("destination_type"),
-    ).cast(_ITEM))
+    ).cast(T.StructType.fromDDL(_ITEM)))
     added = {f"{fk.field}_valid_ref": ~miss}
     if len(fk.parents) > 1:
         added["destination_type"] = kind
@@ -99,7 +104,7 @@ def cross_reference(
             added.update(new)
             items.append(item)
     if not items:
-        return gold, _exceptions(gold, dataset, run_id, [F.lit(None).cast(_ITEM)])
+        return gold, _exceptions(gold, dataset, run_id, [F.lit(None).cast(T.StructType.fromDDL(_ITEM))])
     log = _exceptions(df, dataset, run_id, items)
     all_found = reduce(lambda a, b: a & b, [c for n, c in added.items() if n.endswith("_valid_ref")])
     replaced = (*added, "is_valid", "row_status")

@@ -47,12 +47,17 @@ def silver_table(raw: DataFrame, dataset: str, raw_mapping: dict[str, str]) -> D
     return clean.to_silver(mapping.apply_mapping(raw, raw_mapping), dataset)
 
 
-def gold_tables(silver: dict[str, DataFrame], rules: dict[str, list[dict]], run_id: str) -> Gold:
+def gold_tables(
+    silver: dict[str, DataFrame], rules: dict[str, list[dict]], run_id: str, only: tuple[str, ...] = schema.DATASETS
+) -> Gold:
     """Scope, checks, geography and references over Silver, all lazy. Key sets are read from Silver:
-    no later step changes a key, so a reference check does not wait for the enrichment of its master."""
+    no later step changes a key, so a reference check does not wait for the enrichment of its master.
+    `only` names the datasets to build; the others serve as parents."""
     scoped = scope.apply_scope_with_cascade(silver, rules)
     tables, issues, review, exceptions = {}, [], [], []
     for ds, df in scoped.items():
+        if ds not in only:
+            continue
         checked, found = validate.validate(df, ds, run_id)
         issues.append(found)
         if ds in schema.GEO_DATASETS:
@@ -65,16 +70,13 @@ def gold_tables(silver: dict[str, DataFrame], rules: dict[str, list[dict]], run_
             exceptions.append(misses)
         tables[ds] = checked
 
-    some = next(iter(tables.values()))
+    spark = next(iter(tables.values())).sparkSession
 
-    def log(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
-        return union_all([p.drop(schema.ROW_ORD) for p in parts]) if parts else empty.drop(schema.ROW_ORD)
+    def log(parts: list[DataFrame], empty: str) -> DataFrame:
+        return union_all([p.drop(schema.ROW_ORD) for p in parts]) if parts else spark.createDataFrame([], empty)
 
     return Gold(
-        tables,
-        log(issues, validate.issue_log(some, "", run_id)),
-        log(review, geo.enrich_geo(some.limit(0), "", run_id)[1]),
-        log(exceptions, xref.cross_reference(some.limit(0), "", run_id, {})[1]),
+        tables, log(issues, validate.LOG_SCHEMA), log(review, geo.LOG_SCHEMA), log(exceptions, xref.LOG_SCHEMA)
     )
 
 

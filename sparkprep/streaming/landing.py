@@ -14,6 +14,7 @@ def new_rows(
     """Stream of the Parquet files arriving in `folder`, first row per key. The watermark bounds the
     dedup state; repeats of a key that come later than `lateness` are not recognised."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    stream = stream.withColumn(event_time, F.col(event_time).cast("timestamp"))
     return stream.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark(keys)
 
 
