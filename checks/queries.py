@@ -1111,18 +1111,19 @@ def _nodes_sql(view: str, points: str) -> str:
     return f"SELECT * FROM {points} WHERE id IN (SELECT origin FROM ({m}) UNION SELECT destination FROM ({m}))"
 
 
-@check("od_4_inbound_lanes", _map_sql("gold_inbound_shipment_history", "points_loc"))
+@check("od_4_inbound_lanes", _map_sql("gold_outbound_shipment_history", "points_loc"))
 def od_4(f):
-    return _rounded(lanes.inbound_map(_tables(f, IN, "location_master"))[1], "value")
+    """The test inbound rows all start at vendors; the stock moved between locations arrives as inbound."""
+    gold = _tables(f, OUT, "location_master")
+    return _rounded(lanes.inbound_map({IN: gold[OUT], "location_master": gold["location_master"]})[1], "value")
 
 
-@check("od_4_inbound_vendor_lanes", f"""SELECT origin, destination, round(value, 4) AS value FROM (SELECT * FROM ({_lane_sql("gold_shipment_history", "sum(volume)", 150)}))
-    JOIN (SELECT id AS oid FROM points_loc WHERE lat IS NOT NULL) ON origin = oid JOIN (SELECT id AS did FROM points_loc WHERE lat IS NOT NULL) ON destination = did""")
+@check("od_4_inbound_nodes", _nodes_sql("gold_shipment_history", "points_loc"))
 def od_4b(f):
     gold = _tables(f, ALL_SHIPMENTS, "location_master")
     points = lanes.entity_points(metrics.view(gold, "location_master"), "location_id", "location_name")
     top = lanes.aggregate_lanes(metrics.view(gold, ALL_SHIPMENTS), "volume")
-    return _rounded(lanes.locate_lanes(top, [points])[1], "value")
+    return lanes.locate_lanes(top, [points])[0]
 
 
 @check("od_5_outbound_lanes", _map_sql("gold_outbound_shipment_history", "points_both"))
@@ -1138,11 +1139,12 @@ def od_5b(f):
 # ---------------------------------------------------------------- scenario comparison
 
 A, B = "run_all", "run_valid"
+_COMPARED = ("location_master", IN, OUT, "shipment_cost", "inventory_history")
 
 
 def _facts(f: Frames) -> DataFrame:
     """Scenario A: all Gold rows. Scenario B: the rows that are valid and in scope."""
-    gold = f.everything.tables
+    gold = _tables(f, *_COMPARED)
     valid = {ds: quality.status_filter(metrics.in_scope(df), "validated") for ds, df in gold.items()}
     return scenario.compare(gold, valid, A, B)
 
@@ -1166,9 +1168,10 @@ def _facts_sql(ds: str) -> str:
 
 
 oracle.VIEWS["one_run"] = " UNION ALL ".join(_facts_sql(ds) for ds in schema.DATASETS)
+oracle.VIEWS["compared"] = " UNION ALL ".join(_facts_sql(ds) for ds in _COMPARED)
 oracle.VIEWS["facts"] = (
-    f"SELECT '{A}' AS ScenarioName, * EXCLUDE (row_status, scope_included) FROM one_run UNION ALL "
-    f"SELECT '{B}', * EXCLUDE (row_status, scope_included) FROM one_run WHERE scope_included AND row_status = 'valid'"
+    f"SELECT '{A}' AS ScenarioName, * EXCLUDE (row_status, scope_included) FROM compared UNION ALL "
+    f"SELECT '{B}', * EXCLUDE (row_status, scope_included) FROM compared WHERE scope_included AND row_status = 'valid'"
 )
 
 
@@ -1278,9 +1281,6 @@ def str_1(f):
 
 # ---------------------------------------------------------------- freight rates
 
-_RATE_LANES = """SELECT l_orderkey * 10 + l_linenumber AS k, CAST(l_suppkey % 7 AS VARCHAR) AS o_market, CAST(l_partkey % 5 AS VARCHAR) AS d_market, l_shipmode AS mode FROM lineitem"""
-
-
 def _hauls(f: Frames) -> DataFrame:
     """Lanes from the shipments: zip areas from supplier and part, distance from the price."""
     return f.base("lineitem").select(
@@ -1308,10 +1308,10 @@ def _rate_tables(f: Frames) -> tuple[DataFrame, DataFrame, DataFrame]:
     return hauls.where("l_shipdate >= timestamp '1999-01-01'").drop("rate_per_mile", "l_shipdate"), market, hauls.where("l_shipdate < timestamp '1995-07-01'")
 
 
-@check("rate_1_long_haul", """SELECT lane_id, distance, rate_per_mile, round(rate_per_mile * distance, 2) AS cost FROM rate_lanes LEFT JOIN market_rates USING (o_market, d_market, mode, temp) WHERE distance >= 250""")
+@check("rate_1_long_haul", """SELECT lane_id, distance, rate_per_mile, round(rate_per_mile * distance, 5) AS cost FROM rate_lanes LEFT JOIN market_rates USING (o_market, d_market, mode, temp) WHERE distance >= 250""")
 def rate_1(f):
     hauls, market, _ = _rate_tables(f)
-    return rates.long_haul(hauls, market)
+    return rates.long_haul(hauls, market).withColumn("cost", F.round("cost", 5))
 
 
 oracle.VIEWS["rate_miles"] = (
@@ -1330,10 +1330,10 @@ def rate_3(f):
     return rates.similar_distance(hauls, history).withColumn("base_rate", F.round("base_rate", 6))
 
 
-@check("rate_2_short_haul", """SELECT lane_id, distance, tier, round(x, 3) AS factor, round(zip_rate * x * distance, 1) AS cost FROM (SELECT lane_id, distance, tier, zip_rate, CASE WHEN tier < 4 THEN rate_per_mile ELSE rate_per_load END / base_rate AS x
+@check("rate_2_short_haul", """SELECT lane_id, distance, tier, round(x, 7) AS factor, round(zip_rate * x * distance, 8) AS cost FROM (SELECT lane_id, distance, tier, zip_rate, CASE WHEN tier < 4 THEN rate_per_mile ELSE rate_per_load END / base_rate AS x
     FROM rate_near LEFT JOIN market_rates USING (o_market, d_market, mode, temp) LEFT JOIN (SELECT o_zip3, d_zip3, mode, temp, avg(rate_per_mile) AS zip_rate FROM rate_history WHERE distance < 250 GROUP BY ALL) USING (o_zip3, d_zip3, mode, temp)
     LEFT JOIN rate_tier USING (lane_id))""")
 def rate_2(f):
     hauls, market, history = _rate_tables(f)
     out = rates.short_haul(hauls, market, history)
-    return out.select("lane_id", "distance", "tier", F.round("factor", 3).alias("factor"), F.round("cost", 1).alias("cost"))
+    return out.select("lane_id", "distance", "tier", F.round("factor", 7).alias("factor"), F.round("cost", 8).alias("cost"))

@@ -181,15 +181,17 @@ def missing_profile(df: DataFrame) -> DataFrame:
 def transform_log(mapped: DataFrame, typed_rows: DataFrame, silver: DataFrame, dataset: str, n_mapped: int) -> DataFrame:
     """Log rows (column, transformation, records_affected, note) of one Bronze -> Silver run.
     `mapped`: after MAP and string cleaning; `typed_rows`: before dedup; `silver`: the result."""
+    def entry(column: str, transformation: str, affected: Column, note: str | None) -> Column:
+        return F.struct(
+            F.lit(column).alias("column"), F.lit(transformation).alias("transformation"),
+            affected.alias("records_affected"), F.lit(note).cast("string").alias("note"),
+        )
+
     present = [c for c in schema.CATEGORICALS if c in mapped.columns]
     changes = mapped.agg(F.count("*").alias("rows"), *[category_changes(c).alias(c) for c in present])
     first = changes.select(F.inline(F.array(
-        F.struct(
-            F.lit("ALL").alias("column"), F.lit("column_mapping").alias("transformation"),
-            F.col("rows").alias("records_affected"),
-            F.lit(f"Mapped {n_mapped} raw columns to canonical schema.").alias("note"),
-        ),
-        *[F.struct(F.lit(c), F.lit("categorical_normalization"), F.col(c), F.lit(None).cast("string")) for c in present],
+        entry("ALL", "column_mapping", F.col("rows"), f"Mapped {n_mapped} raw columns to canonical schema."),
+        *[entry(c, "categorical_normalization", F.col(c), None) for c in present],
     )))
     keys = _keys_in(typed_rows, dataset)
     by = keys or data_columns(typed_rows)
@@ -202,12 +204,9 @@ def transform_log(mapped: DataFrame, typed_rows: DataFrame, silver: DataFrame, d
     if _outlier_columns(silver, dataset):
         flags = [c for c in _outlier_columns(silver, dataset) if f"{c}_outlier_flag" in silver.columns]
         counted = silver.agg(*[F.count_if(f"{c}_outlier_flag").alias(c) for c in flags])
+        note = "Values outside the outlier bounds are flagged in '{}_outlier_flag'. Not removed."
         parts.append(counted.select(F.inline(F.array(*[
-            F.struct(
-                F.lit(c).alias("column"), F.lit("outlier_detection").alias("transformation"),
-                F.col(c).alias("records_affected"),
-                F.lit(f"Values outside the outlier bounds are flagged in '{c}_outlier_flag'. Not removed.").alias("note"),
-            ) for c in flags
+            entry(c, "outlier_detection", F.col(c), note.format(c)) for c in flags
         ]))))
     grain = grain_check(silver, dataset).where("duplicate_key_rows > 0").select(
         F.lit(str(keys)).alias("column"), F.lit("grain_check").alias("transformation"),

@@ -193,7 +193,7 @@ def apply_cleanup(
             else:
                 step = Step(df, f"Unknown instruction type '{kind}', skipped.", "skipped")
         except (PySparkException, KeyError, TypeError, ValueError) as error:
-            step = Step(df, f"Error applying '{kind}' on '{instruction.get('column')}': {error}", "error")
+            step = Step(df, f"Error applying '{kind}' on '{instruction.get('column')}': {str(error).splitlines()[0]}", "error")
         log.append(_log_row(spark, n, kind, step, df, instruction, approved_by, now))
         df = step.df
     return df, ranking.union_all(log) if log else spark.createDataFrame([], LOG_SCHEMA)

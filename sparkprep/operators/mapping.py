@@ -109,16 +109,16 @@ def match_fuzzy(header_table: DataFrame, extra: dict[str, list[str]] | None = No
 def claim(matched: DataFrame) -> DataFrame:
     """One-to-one assignment within a file, headers in order: a free alias field is taken at 1.0, else
     a free fuzzy field at or above the floor, else nothing. The group is one file's header list."""
-    nothing = F.struct(F.lit("").alias("field"), F.lit(0.0).alias("confidence"), F.lit("unmapped").alias("source"))
+    def pick_of(field: Column, confidence: Column, source: str) -> Column:
+        return F.struct(field.alias("field"), confidence.alias("confidence"), F.lit(source).alias("source"))
 
     def choose(used: Column, h: Column) -> Column:
-        by_alias = F.struct(h["alias_field"], F.lit(1.0), F.lit("rule_based"))
-        by_score = F.struct(h["fuzzy_field"], F.round(h["fuzzy_score"], 2), F.lit("ai_suggested"))
         return (
-            F.when(h["alias_field"].isNotNull() & ~F.array_contains(used, h["alias_field"]), by_alias)
-            .when((h["fuzzy_score"] >= FUZZY_FLOOR) & ~F.array_contains(used, h["fuzzy_field"]), by_score)
-            .otherwise(nothing)
-            .cast("struct<field:string,confidence:double,source:string>")
+            F.when(h["alias_field"].isNotNull() & ~F.array_contains(used, h["alias_field"]),
+                   pick_of(h["alias_field"], F.lit(1.0), "rule_based"))
+            .when((h["fuzzy_score"] >= FUZZY_FLOOR) & ~F.array_contains(used, h["fuzzy_field"]),
+                  pick_of(h["fuzzy_field"], F.round(h["fuzzy_score"], 2), "ai_suggested"))
+            .otherwise(pick_of(F.lit(""), F.lit(0.0), "unmapped"))
         )
 
     def step(state: Column, h: Column) -> Column:

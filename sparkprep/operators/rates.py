@@ -31,7 +31,7 @@ def long_haul(lanes: DataFrame, market_rates: DataFrame) -> DataFrame:
     """Cost of hauls of at least 250 miles: market rate per mile x distance."""
     far = lanes.where(F.col("distance") >= LONG_HAUL_MILES)
     return with_market_rate(far, market_rates).select(
-        "lane_id", "distance", "rate_per_mile", F.round(F.col("rate_per_mile") * F.col("distance"), 2).alias("cost")
+        "lane_id", "distance", "rate_per_mile", (F.col("rate_per_mile") * F.col("distance")).alias("cost")
     )
 
 
@@ -106,6 +106,6 @@ def short_haul(lanes: DataFrame, market_rates: DataFrame, history: DataFrame) ->
     current = F.when(F.col("tier") < 4, F.col("rate_per_mile")).otherwise(F.col("rate_per_load"))
     factor = current / F.nullif("base_rate", F.lit(0.0))
     return joined.select(
-        "lane_id", "distance", "tier", F.round(factor, 4).alias("factor"),
-        F.round(F.col("zip_rate") * factor * F.col("distance"), 2).alias("cost"),
+        "lane_id", "distance", "tier", factor.alias("factor"),
+        (F.col("zip_rate") * factor * F.col("distance")).alias("cost"),
     )

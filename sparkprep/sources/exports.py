@@ -23,7 +23,8 @@ def _flat(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> str:
     """A directory of part files with headers, written in parallel."""
-    _flat(df).write.mode("overwrite").option("header", True).csv(path)
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    _flat(df).write.mode("overwrite").options(header=True, **keep).csv(path)
     return path
 
 
