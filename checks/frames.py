@@ -11,12 +11,12 @@ from checks.oracle import RUN
 from sparkprep import schema
 from sparkprep.operators import clean, mapping, scope, validate
 from sparkprep.plans import pipeline
+from sparkprep.session import configure
 
 
 class Frames:
     def __init__(self, spark: SparkSession, sf_dir: str):
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        self.spark, self.sf_dir, self._silver = spark, sf_dir, {}
+        self.spark, self.sf_dir, self._silver = configure(spark), sf_dir, {}
 
     def base(self, table: str) -> DataFrame:
         return fixtures.base(self.spark, self.sf_dir, table)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,12 +21,16 @@ def data_columns(df: DataFrame) -> list[str]:
 
 def clean_strings(df: DataFrame) -> DataFrame:
     """Trim and null out the null spellings in every text column that no cast will read."""
-    def cleaned(f: T.StructField) -> str:
-        name = text.name_sql(f.name)
-        is_text = isinstance(f.dataType, T.StringType) and f.name not in schema.TYPED_BY_NAME
-        return f"{text.clean_sql(name)} AS {name}" if is_text else name
+    texts = {
+        f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in schema.TYPED_BY_NAME
+    }
+
+    def each(sql: Callable[[str], str], names: list[str]) -> list[str]:
+        quoted = [(n in texts, text.name_sql(n)) for n in names]
+        return [f"{sql(c)} AS {c}" if is_text else c for is_text, c in quoted]
 
-    return df.selectExpr(*[cleaned(f) for f in df.schema.fields])
+    # two projections: the trimmed value is used twice, so Spark computes it once instead of inlining it
+    return df.selectExpr(*each(text.strip_sql, df.columns)).selectExpr(*each(text.null_token_sql, df.columns))
 
 
 def canonical_category(column: str) -> Column:

@@ -57,7 +57,7 @@ def _stripped(keys: DataFrame, fk: ForeignKey, name: str) -> DataFrame:
 def _check(df: DataFrame, fk: ForeignKey, keys: DataFrame) -> tuple[DataFrame, dict[str, Column], Column]:
     """Joins both lookups; returns the frame, the new columns and the exception item of one rule."""
     name = f"_x_{fk.field}"
-    raw = text.strip(F.col(fk.field).cast("string"))
+    raw = F.trim(F.col(fk.field).cast("string"))
     df = df.withColumn(f"{name}_raw", raw).withColumn(f"{name}_bare", text.strip_prefix(F.col(f"{name}_raw")))
     df = lookup_join(df, _exact(keys, fk, name), f"{name}_raw")
     df = lookup_join(df, _stripped(keys, fk, name), f"{name}_bare")

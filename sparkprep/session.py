@@ -14,6 +14,9 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # HotSpot never compiles a method above 8000 bytes of bytecode. A wide cleaning projection generated as
+    # one such method runs interpreted, several times slower than Spark's split-up expression code.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -27,6 +30,13 @@ def build_session(master: str | None = None, app: str = "sparkprep", **conf: str
     return builder.getOrCreate()
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the engine's defaults to a session made elsewhere; all of them can change at run time."""
+    for key, value in DEFAULTS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, named by the cluster in spark.checkpoint.dir. Only a local
     master, which has no other machines, gets a folder of its own when the setting is absent."""
