@@ -11,7 +11,8 @@ from checks.oracle import RUN
 from sparkprep import schema
 from sparkprep.operators import clean, mapping, scope, validate
 from sparkprep.plans import pipeline
-from sparkprep.session import configure
+from sparkprep.session import configure, scratch_path
+from sparkprep.sources import layers
 
 
 class Frames:
@@ -47,11 +48,22 @@ class Frames:
     def issues(self, ds: str) -> DataFrame:
         return validate.issue_log(self.scoped(ds)[ds], ds, RUN)
 
-    def gold(self, *names: str, parents: tuple[str, ...] = schema.MASTERS) -> pipeline.Gold:
-        """Gold of the named datasets, checked against all masters and `parents`."""
-        return pipeline.gold_tables(
-            self.silvers(*schema.MASTERS, *parents, *names), fixtures.SCOPE_RULES, RUN, only=names
-        )
+    def written(self, layer: str, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """The tables as a run stores them: written, then read back."""
+        store = layers.Store(self.spark, scratch_path(self.spark, "store"), "p1")
+        for ds, df in tables.items():
+            store.write(df, layer, ds, RUN)
+        return {ds: store.read(layer, ds, RUN) for ds in tables}
+
+    def gold(self, *names: str, parents: tuple[str, ...] = ()) -> pipeline.Gold:
+        """Gold of the named datasets, checked against all masters and the shipment tables in `parents`,
+        which are read from written Silver as in a run."""
+        silver = self.silvers(*schema.MASTERS, *names)
+        big = self.written(layers.SILVER, {p: self.silver(p) for p in parents if p not in names})
+        return pipeline.gold_tables({**silver, **big}, fixtures.SCOPE_RULES, RUN, only=names)
+
+    def stored_gold(self, *names: str, parents: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+        return self.written(layers.GOLD, self.gold(*names, parents=parents).tables)
 
     @cached_property
     def everything(self) -> pipeline.Gold:

@@ -960,8 +960,9 @@ def qlt_10(f):
 
 
 def _tables(f: Frames, *names: str) -> dict[str, DataFrame]:
+    """Metrics, lanes and scenarios read written Gold."""
     parents = [p for ds in names for p in _PARENTS.get(ds, ())]
-    return f.gold(*names, parents=tuple(parents)).tables
+    return f.stored_gold(*names, parents=tuple(parents))
 
 
 def _sum_sql(view: str, key: str, value: str, where: str = "TRUE") -> str:
@@ -1177,7 +1178,7 @@ oracle.VIEWS["facts"] = (
 
 @check("scn_1_facts", "SELECT Category, SubCategory, CostSubCategory, OriginName, Mode, count(*) AS n, round(sum(FlowVolume), 3) AS FlowVolume, round(sum(Cost), 2) AS Cost FROM one_run GROUP BY ALL")
 def scn_1(f):
-    facts = scenario.reporting_facts(f.everything.tables, A)
+    facts = scenario.reporting_facts(f.stored_gold(*schema.DATASETS), A)
     return facts.groupBy("Category", "SubCategory", "CostSubCategory", "OriginName", "Mode").agg(
         F.count("*").alias("n"), F.round(F.sum("FlowVolume"), 3).alias("FlowVolume"), F.round(F.sum("Cost"), 2).alias("Cost"))
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sparkprep.functions.text import strip
-
 # --- fixed values: `..., City, ST 12345[-6789]` and `..., City, ST` at the end of the text ---
 CITY_STATE_ZIP = r"(?i)(?:^|,\s*)([A-Za-z\s]+?)\s*,\s*([A-Z]{2})\s*(\d{5}(?:-\d{4})?)\s*$"
 CITY_STATE = r"(?i)(?:^|,\s*)([A-Za-z\s]+?)\s*,\s*([A-Z]{2})\s*$"
@@ -14,11 +12,11 @@ CITY_STATE = r"(?i)(?:^|,\s*)([A-Za-z\s]+?)\s*,\s*([A-Z]{2})\s*$"
 
 def parse_address(c: Column) -> Column:
     """struct(city, state, postal_code); all null where neither pattern matches."""
-    s = strip(c)
+    s = F.trim(c)
 
     def part(pattern: str, group: int) -> Column:
         found = F.regexp_extract(s, pattern, group)
-        return F.when(found != "", strip(found))
+        return F.nullif(F.trim(found), F.lit(""))
 
     return F.struct(
         F.coalesce(part(CITY_STATE_ZIP, 1), part(CITY_STATE, 1)).alias("city"),

@@ -24,10 +24,12 @@ def name_sql(column: str) -> str:
 
 
 def strip_sql(e: str) -> str:
-    """`e` without white space at its ends. Text that starts and ends in a visible ASCII character, the
-    usual case, is passed on as it is: trimming a set of characters is far dearer than looking at two."""
-    visible = f"(ascii({e}) BETWEEN 33 AND 126) AND (ascii(right({e}, 1)) BETWEEN 33 AND 126)"
-    return f"CASE WHEN {visible} THEN {e} ELSE btrim({e}, {_WHITESPACE_SQL}) END"
+    """`e` without white space at its ends. Text between visible ASCII characters, the usual case, is
+    passed on after two byte comparisons; trimming a set of characters is far dearer."""
+    return (
+        f"CASE WHEN {e} >= '!' AND {e} < '\\u007f' AND right({e}, 1) BETWEEN '!' AND '~' THEN {e} "
+        f"ELSE btrim({e}, {_WHITESPACE_SQL}) END"
+    )
 
 
 def null_token_sql(e: str) -> str:
@@ -36,7 +38,8 @@ def null_token_sql(e: str) -> str:
 
 
 def blank_sql(e: str) -> str:
-    return f"({e} IS NULL OR {strip_sql(f'string({e})')} = '')"
+    """Null, empty or nothing but white space; only a value that starts like white space is trimmed."""
+    return f"({e} IS NULL OR (({e} < '!' OR {e} >= '\\u007f') AND btrim({e}, {_WHITESPACE_SQL}) = ''))"
 
 
 def strip(c: Column) -> Column:

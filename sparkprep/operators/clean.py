@@ -35,12 +35,12 @@ def clean_strings(df: DataFrame) -> DataFrame:
 
 def canonical_category(column: str) -> Column:
     """The canonical spelling of a categorical value, null when unknown."""
-    return F.try_element_at(literal_map(schema.CATEGORICALS[column]), text.lower_strip(F.col(column)))
+    return F.try_element_at(literal_map(schema.CATEGORICALS[column]), F.lower(F.trim(F.col(column))))
 
 
 def category_changes(column: str) -> Column:
     known = canonical_category(column)
-    return F.count_if(known.isNotNull() & (known != text.strip(F.col(column))))
+    return F.count_if(known.isNotNull() & (known != F.trim(F.col(column))))
 
 
 def normalize_categoricals(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -76,7 +76,7 @@ def cities() -> list[tuple[str, str, float, float]]:
 def with_gazetteer(df: DataFrame, city: Column, state: Column, out: str, gazetteer: DataFrame | None = None) -> DataFrame:
     """Adds struct(lat, lon) of (city, state), null when unknown. The built-in cities are a literal
     map; a caller's `gazetteer(city, state, lat, lon)` is joined."""
-    key = F.concat_ws("|", text.lower_strip(city), text.lower_strip(state))
+    key = F.concat_ws("|", F.lower(F.trim(city)), F.lower(F.trim(state)))
     key = F.when(city.isNotNull() & state.isNotNull(), key)
     if gazetteer is None:
         table = literal_map({f"{c}|{s}": {"lat": lat, "lon": lon} for c, s, lat, lon in cities()})
@@ -101,8 +101,7 @@ def postal_evidence(df: DataFrame) -> DataFrame:
 
 def _present(e: str) -> str:
     """The trimmed text, null when blank or a spelled-out null."""
-    s = text.strip_sql(f"string({e})")
-    return f"if({s} IN ('', 'nan', 'None'), NULL, {s})"
+    return f"if(trim({e}) IN ('', 'nan', 'None'), NULL, trim({e}))"
 
 
 def _attempt(candidate: str, confidence: float, rationale: str) -> str:

@@ -96,8 +96,7 @@ def pareto(df: DataFrame, key: str, value: str) -> DataFrame | None:
         return None
     sums = df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key).agg(F.sum(value).alias(value))
     running = ranking.running_sum(sums, value, [F.desc(value), F.asc(key)], "_upto")
-    total = sums.agg(F.sum(value)).scalar()
-    return running.select(key, value, (F.col("_upto") / total * 100).alias("cumulative_pct")).orderBy(F.desc(value), key)
+    return running.select(key, value, (F.col("_upto") / F.col("_total") * 100).alias("cumulative_pct")).orderBy(F.desc(value), key)
 
 
 def inbound_flow(gold: Gold, status: str = "all") -> DataFrame | None:

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from sparkprep.session import cut_lineage
 
 
-def running_sum(df: DataFrame, value: str, order: list[Column], out: str, group: list[str] = ()) -> DataFrame:
-    """Sum of `value` over all rows up to the current one in `order`, within each `group`.
+def running_sum(
+    df: DataFrame, value: str, order: list[Column], out: str, group: list[str] = (), total: str = "_total"
+) -> DataFrame:
+    """Sum of `value` over all rows up to the current one in `order`, and over all rows, per `group`.
 
     The rows are range-partitioned on (group, order), so a big group is spread over many tasks. Each
     part sums for itself; the sums of earlier parts, one row per (part, group), are added.
@@ -22,11 +24,12 @@ def running_sum(df: DataFrame, value: str, order: list[Column], out: str, group:
     ranged = cut_lineage(
         df.repartitionByRange(*[F.col(g) for g in group], *order).withColumn("_part", F.spark_partition_id())
     )
-    before = W.partitionBy(*group) if group else W.partitionBy(F.lit(1))
+    parts = W.partitionBy(*group) if group else W.partitionBy(F.lit(1))  # as many rows as there are parts
     offsets = (
         ranged.groupBy("_part", *group)
         .agg(F.sum(value).alias("_sum"))
-        .withColumn("_offset", F.sum("_sum").over(before.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)))
+        .withColumn("_offset", F.sum("_sum").over(parts.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)))
+        .withColumn(total, F.sum("_sum").over(parts))
         .drop("_sum")
     )
     within = W.partitionBy("_part", *group).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -50,12 +53,10 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def quantiles(counts: DataFrame, probabilities: dict[str, float], also: dict[str, Column] | None = None) -> DataFrame:
+def quantiles(counts: DataFrame, probabilities: dict[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles per column from (column, value, n), one row per column:
-    n_values, the quantiles under their given names, and the aggregates in `also`."""
-    ranked = running_sum(counts, "n", [F.col("value").asc()], "_upto", group=["column"])
-    totals = counts.groupBy("column").agg(F.sum("n").alias("n_values"))
-    ranked = ranked.join(F.broadcast(totals), "column")  # one row per profiled column
+    n_values and the quantiles under their given names."""
+    ranked = running_sum(counts, "n", [F.col("value").asc()], "_upto", group=["column"], total="n_values")
 
     def at(index: Column) -> Column:
         inside = (F.col("_upto") - F.col("n") <= index) & (index < F.col("_upto"))
@@ -71,10 +72,7 @@ def quantiles(counts: DataFrame, probabilities: dict[str, float], also: dict[str
             F.max(position - F.floor(position)).alias(rest),
         ]
         picks.append((F.col(low) + (F.col(high) - F.col(low)) * F.col(rest)).alias(name))
-    also = also or {}
-    return ranked.groupBy("column").agg(*aggs, *[a.alias(n) for n, a in also.items()]).select(
-        "column", "n_values", *picks, *also
-    )
+    return ranked.groupBy("column").agg(*aggs).select("column", "n_values", *picks)
 
 
 def dedup_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkprep import schema
 from sparkprep.functions import text
@@ -38,6 +39,10 @@ class Check:
             'manual_review_required', {str(self.review).lower()}), NULL)"""
 
 
+def _missing(df: DataFrame, f: str) -> str:
+    return text.blank_sql(f) if isinstance(df.schema[f].dataType, T.StringType) else f"{f} IS NULL"
+
+
 def checks(df: DataFrame, dataset: str, strict: bool = False) -> list[Check]:
     """Checks that apply to the columns at hand. A required field without a column is skipped, or with
     `strict` fails every row."""
@@ -46,7 +51,7 @@ def checks(df: DataFrame, dataset: str, strict: bool = False) -> list[Check]:
     for f in schema.required_fields(dataset):
         if f in has or strict:
             out.append(Check(
-                f, text.blank_sql(f) if f in has else "true", "missing_mandatory_field",
+                f, _missing(df, f) if f in has else "true", "missing_mandatory_field",
                 sql_literal(f"Required field '{f}' is missing."), review=f in schema.GEO_FIELDS,
             ))
     for f in schema.NON_NEGATIVE_FIELDS:
