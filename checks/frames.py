@@ -51,8 +51,7 @@ class Frames:
     def written(self, layer: str, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
         """The tables as a run stores them: written, then read back."""
         store = layers.Store(self.spark, scratch_path(self.spark, "store"), "p1")
-        for ds, df in tables.items():
-            store.write(df, layer, ds, RUN)
+        store.write_all(tables, layer, RUN)
         return {ds: store.read(layer, ds, RUN) for ds in tables}
 
     def gold(self, *names: str, parents: tuple[str, ...] = ()) -> pipeline.Gold:

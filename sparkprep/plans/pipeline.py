@@ -105,12 +105,11 @@ def refine(store: Store, run_id: str, project: Project, skipped: dict[str, str]
     )
     mappings = {ds: project.mappings.get(ds) or suggested[ds] for ds in raw}
 
+    skipped.update({ds: "No approved column mapping." for ds in raw if not mappings[ds]})
+    raw = {ds: df for ds, df in raw.items() if mappings[ds]}
+    store.write_all({ds: silver_table(df, ds, mappings[ds]) for ds, df in raw.items()}, SILVER, run_id)
     silver: dict[str, DataFrame] = {}
     for ds, df in raw.items():
-        if not mappings[ds]:
-            skipped[ds] = "No approved column mapping."
-            continue
-        store.write(silver_table(df, ds, mappings[ds]), SILVER, ds, run_id)
         written = store.read(SILVER, ds, run_id)
         mapped = mapping.apply_mapping(df, mappings[ds])
         flagged = clean.flag_outliers(written, ds)
@@ -123,8 +122,7 @@ def refine(store: Store, run_id: str, project: Project, skipped: dict[str, str]
         silver[ds] = flagged
 
     gold = gold_tables(silver, project.scope_rules, run_id)
-    for ds, df in gold.tables.items():
-        store.write(df, GOLD, ds, run_id)
+    store.write_all(gold.tables, GOLD, run_id)
     for name, log in (("issues", gold.issues), ("review_queue", gold.review), ("cross_reference_exceptions", gold.exceptions)):
         store.append_log(log, name, run_id)
 

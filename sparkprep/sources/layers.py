@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
@@ -45,6 +46,14 @@ class Store:
         df.write.mode(mode).parquet(path)
         return path
 
+    def write_all(self, tables: dict[str, DataFrame], layer: str, run_id: str, at_once: int = 4) -> None:
+        """Write several datasets as concurrent jobs, so a small or single-file one does not leave the
+        cluster idle. The first failure is raised after all have ended."""
+        with ThreadPoolExecutor(at_once) as pool:
+            jobs = [pool.submit(self.write, df, layer, ds, run_id) for ds, df in tables.items()]
+        for job in jobs:
+            job.result()
+
     def read(self, layer: str, dataset: str, run_id: str) -> DataFrame:
         return self.spark.read.parquet(self.path(layer, dataset, run_id))
 
