@@ -1,0 +1,16 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    """Rows (doc_id, text) as a table with further, badly named columns."""
+    def build(rows):
+        rows = [(k, t, "en", i, "x") for i, (k, t) in enumerate(rows)]
+        return spark.createDataFrame(rows, "doc_id long, text string, lang string, `row` long, kept string")
+
+    return build
