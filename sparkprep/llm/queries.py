@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkprep.llm import minhash, ngrams, substrings, suffixes
+from sparkprep.llm import minhash, ngrams, rules, substrings, suffixes
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,13 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), percent=85, words=5)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counters = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    found = rules.judge(documents(spark, sf_dir), counters=counters)
+    base = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
+    return found.select("doc_id", *counters, base.alias("base_failed"), "kept")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(documents(spark, sf_dir), window=20)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -36,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_minhash_near_dedup,
+        op3_quality_rules,
         op7_substring_dedup,
         op8_suffix_array_dedup,
         op10_lm_scoring,
