@@ -7,7 +7,7 @@ the full sets decide. Equal sets are one class from the start, so copies never m
 
 In a band, up to SMALL classes are paired directly. A larger group first proposes only a spanning forest by
 estimate; once these links are confirmed, pairs are only proposed between different components. No link between
-components can get lost that way, and no group is expanded into all its pairs. A group's task holds 512 bytes a class.
+components can get lost that way, and no group is expanded into all its pairs. A group's task holds a kilobyte a class.
 """
 
 from __future__ import annotations
@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 from sparkprep.llm import words as W
 from sparkprep.llm.frames import binary, columns, components, cut, groups, matrix, table
 
-#: 2**8 registers of 6 + 10 bits; 42 bands of 6. At a similarity of 0.85 a pair shares no band once in 10**9.
-REGISTER_BITS, MANTISSA = 8, 10
+#: 2**9 registers of 6 + 10 bits; 42 bands of 6 of them. At a similarity of 0.85 a pair shares no band once in 10**9.
+REGISTER_BITS, MANTISSA = 9, 10
 REGISTERS = 1 << REGISTER_BITS
-BAND = 6
+BAND, BANDS_USED = 6, 42
 SMALL, BLOCK = 16, 1024
 #: Standard errors below the threshold at which an estimate rules a pair out.
-ERRORS = 5.0
+ERRORS = 4.5
+#: Bits of the filter that tells which documents' sets are asked for.
+ASKED = 1 << 24
 
 SIGNATURE = {"doc_id": pa.int64(), "node": pa.int64(), "n_shingles": pa.int64(), "sketch": pa.binary()}
 BANDS = {"key": pa.int64(), "node": pa.int64()}
@@ -88,26 +90,52 @@ def signature(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
             yield table(SIGNATURE, pa.array(keys, from_pandas=True).cast(pa.int64()), W.signed(nodes(values, begins)), np.diff(begins), binary(sketches(values, begins)))
 
 
-def sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def asked_bit(ids: np.ndarray) -> np.ndarray:
+    return (W.mix(ids.view(np.uint64)) >> np.uint64(40)).astype(np.int64)
+
+
+def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        at = asked_bit(columns(batch, "doc_id")[0])
+        yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(1 << (at & 31))], names=["word", "bit"])
+
+
+def filtered(ids: DataFrame) -> np.ndarray:
+    """A bitmap of hashed ids, of ASKED bits whatever their number."""
+    rows = ids.mapInArrow(bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(ASKED >> 5, np.uint32)
+    out[rows.column("word").to_numpy()] = rows.column("bit").to_numpy()
+    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+
+
+def sets(batches: Iterator[pa.RecordBatch], words: int, asked: object) -> Iterator[pa.RecordBatch]:
+    """The full sets of documents that may be asked for."""
+    for batch in batches:
+        some = asked.value[asked_bit(columns(batch, "doc_id")[0])]
+        if not some.any():
+            continue
+        batch = batch.filter(pa.array(some))
         for _, offsets, data in W.chunks(batch):
             values, begins = shingles(offsets, data, words)
             lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(W.signed(values)))
             yield pa.RecordBatch.from_arrays([pa.array(W.signed(nodes(values, begins))), lists], names=list(SETS))
 
 
+def band_key(registers: np.ndarray, k: int) -> np.ndarray:
+    key = np.full(len(registers), k + 1, np.uint64)
+    for j in range(k * BAND, (k + 1) * BAND):
+        key = W.mix(key * W.BASE + registers[:, j].astype(np.uint64))
+    return W.signed(key)
+
+
 def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each band with a full register."""
     for batch in batches:
         (node,) = columns(batch, "node")
         registers = matrix(batch.column("sketch"), np.uint16, REGISTERS)
-        for k in range(0, REGISTERS - BAND + 1, BAND):
-            part = registers[:, k : k + BAND].astype(np.uint64)
-            key = np.full(len(part), k + 1, np.uint64)
-            for j in range(BAND):
-                key = W.mix(key * W.BASE + part[:, j])
-            full = part.any(axis=1)
-            yield table(BANDS, W.signed(key[full]), node[full])
+        for k in range(BANDS_USED):
+            full = registers[:, k * BAND : (k + 1) * BAND].any(axis=1)
+            yield table(BANDS, band_key(registers, k)[full], node[full])
 
 
 def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,15 +151,18 @@ def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield table(PAIRS, key[large], node[large], pa.nulls(int(large.sum()), pa.int64()))
 
 
-def expected(percent: int, alike: np.ndarray, filled: np.ndarray) -> np.ndarray:
+def expected(percent: int, alike: np.ndarray, filled: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Whether `alike` equal registers of `filled` can come from sets of at least that similarity.
 
-    Two different values share a compressed register about once in 2**MANTISSA; that share is taken off.
+    Two different values share a compressed register about once in 2**MANTISSA; that share is taken off. The registers
+    are a sample without replacement of the union, which is at most the smaller set (`sizes`) over the similarity.
     """
     least = percent / 100
     chance = 2.0 ** -(MANTISSA + 1)
-    estimate = (alike - (filled - alike) * chance / (1 - chance)) / np.maximum(filled, 1)
-    return estimate >= least - ERRORS * np.sqrt(least * (1 - least) / np.maximum(filled, 1)) - 1e-9
+    filled = np.maximum(filled, 1)
+    estimate = (alike - (filled - alike) * chance / (1 - chance)) / filled
+    left_out = np.clip(1 - (filled - 1) / np.maximum(sizes / least, filled), 0, 1)
+    return estimate >= least - ERRORS * np.sqrt(least * (1 - least) / filled * left_out) - 2 / filled
 
 
 def against(row: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,17 +171,17 @@ def against(row: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def forest(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """The likeliest links that connect the members of each group, block by block."""
-    for key, node, sketch in groups(batches, "key", "node", "sketch"):
+    for key, node, n, sketch in groups(batches, "key", "node", "n", "sketch"):
         begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         for low, high in zip(begins, np.append(begins[1:], len(key)), strict=True):
             for at in range(low, high, BLOCK - 1):
-                registers = matrix(sketch[at : min(at + BLOCK, high)], np.uint16, REGISTERS)
+                registers, size = matrix(sketch[at : min(at + BLOCK, high)], np.uint16, REGISTERS), n[at : min(at + BLOCK, high)]
                 best, link = np.full(len(registers), -1.0), np.zeros(len(registers), int)
                 left, now, found = np.ones(len(registers), bool), 0, []
                 while True:  # Prim's algorithm
                     left[now] = False
                     alike, filled = against(registers[now], registers)
-                    score = np.where(expected(percent, alike, filled), alike / np.maximum(filled, 1), -1.0)
+                    score = np.where(expected(percent, alike, filled, np.minimum(size[now], size)), alike / np.maximum(filled, 1), -1.0)
                     better = left & (score > best)
                     best[better], link[better] = score[better], now
                     if not left.any():
@@ -164,20 +195,28 @@ def forest(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
 
 
 def across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Likely links between members of a group that are in different components."""
-    for key, node, root, sketch in groups(batches, "key", "node", "root", "sketch"):
+    """Likely links between members of a group that are in different components.
+
+    A pair is proposed in the first band that it shares.
+    """
+    for key, node, root, n, sketch in groups(batches, "key", "node", "root", "n", "sketch"):
         begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         for low, high in zip(begins, np.append(begins[1:], len(key)), strict=True):
-            own, registers = root[low:high], matrix(sketch[low:high], np.uint16, REGISTERS)
-            names, inverse, counts = np.unique(own, return_inverse=True, return_counts=True)
+            names, inverse, counts = np.unique(root[low:high], return_inverse=True, return_counts=True)
             if len(names) < 2:
                 continue
             rank = np.argsort(np.argsort(-counts, kind="stable"), kind="stable")[inverse]  # 0: the largest component
+            registers = matrix(sketch[low:high], np.uint16, REGISTERS)
+            keys = np.stack([np.where(registers[:, k * BAND : (k + 1) * BAND].any(axis=1), band_key(registers, k), k) for k in range(BANDS_USED)], axis=1)
+            before = int(np.argmax(keys[0] == key[low]))
             for i in np.flatnonzero(rank > 0):
                 for part in range(0, high - low, 8 * BLOCK):
                     other = part + np.flatnonzero(rank[part : part + 8 * BLOCK] < rank[i])
+                    size = np.minimum(n[low + i], n[low + other])
+                    other = other[100 * size >= percent * np.maximum(n[low + i], n[low + other])]
+                    other = other[~((keys[other, :before] == keys[i, :before]) & (keys[i, :before] != np.arange(before))).any(axis=1)]
                     alike, filled = against(registers[i], registers[other])
-                    other = other[expected(percent, alike, filled)]
+                    other = other[expected(percent, alike, filled, np.minimum(n[low + i], n[low + other]))]
                     if len(other):
                         yield table(PAIRS, key[low + other], node[low + other], np.full(len(other), node[low + i]))
 
@@ -185,7 +224,8 @@ def across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
 def likely(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left, right = (matrix(batch.column(c), np.uint16, REGISTERS) for c in ("left", "right"))
-        keep = expected(percent, ((left == right) & (left > 0)).sum(axis=1), ((left > 0) | (right > 0)).sum(axis=1))
+        size, other = columns(batch, "n", "m")
+        keep = expected(percent, ((left == right) & (left > 0)).sum(axis=1), ((left > 0) | (right > 0)).sum(axis=1), np.minimum(size, other))
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
@@ -204,30 +244,30 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, key: str
     `percent` % of their union in common. component_id is the smallest key reachable; kept says that it is the row's own.
 
     A null or empty text, or one without words, has an empty set and is linked with nothing. Rows with equal sets are
-    linked whatever their keys; a repeated row gets the same answer twice. A row with a null key takes part in links but
-    never names a component: without another key its component_id is null and it is kept. Other columns are not read.
+    linked whatever their keys; a repeated row gets the same answer twice. A row with a null key is in the
+    component of rows with its set, but names none and links none: without them its component_id is null and it is kept. Other columns are not read.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = cut(docs.mapInArrow(partial(signature, words=words), "doc_id long, node long, n_shingles long, sketch binary"))
-    classes = signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n"))
-    classes = cut(classes)
+    classes = cut(signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n")))
     proposed = cut(classes.select("node", "sketch").mapInArrow(bands, "key long, node long").repartition("key").sortWithinPartitions("key", "node").mapInArrow(pair_up, "key long, a long, b long"))
-    sketch = classes.select("node", "sketch")
+    sketch = classes.select("node", "n", "sketch")
     small = proposed.where("b IS NOT NULL").select("a", "b").distinct()
-    small = small.join(sketch.withColumnsRenamed({"node": "a", "sketch": "left"}), "a").join(sketch.withColumnsRenamed({"node": "b", "sketch": "right"}), "b").mapInArrow(partial(likely, percent=percent), "a long, b long")
-    large = cut(proposed.where("b IS NULL").selectExpr("key", "a AS node").join(sketch, "node"))
+    small = small.join(sketch.withColumnsRenamed({"node": "a", "sketch": "left"}), "a").join(sketch.withColumnsRenamed({"node": "b", "sketch": "right", "n": "m"}), "b").mapInArrow(partial(likely, percent=percent), "a long, b long")
+    large = proposed.where("b IS NULL").selectExpr("key", "a AS node").join(sketch, "node")
     trees = large.repartition("key").sortWithinPartitions("key", "sketch").mapInArrow(partial(forest, percent=percent), "key long, a long, b long")
     pairs = cut(small.unionByName(trees.select("a", "b")).distinct())
-    members = pairs.selectExpr("a AS node").unionByName(pairs.selectExpr("b AS node")).unionByName(large.select("node")).distinct()
-    needed = members.join(classes.select("node", "first"), "node").select(F.col("first").alias("doc_id")).distinct()
-    full = docs.join(needed, "doc_id", "left_semi").mapInArrow(partial(sets, words=words), "node long, shingles array<long>").dropDuplicates(["node"])
+    members = pairs.selectExpr("a AS node").unionByName(pairs.selectExpr("b AS node")).unionByName(proposed.where("b IS NULL").selectExpr("a AS node"))
+    needed = members.distinct().join(classes.select("node", "first"), "node").where("first IS NOT NULL").select(F.col("first").alias("doc_id"))
+    asked = docs.sparkSession.sparkContext.broadcast(filtered(needed))
+    full = docs.where("doc_id IS NOT NULL").mapInArrow(partial(sets, words=words, asked=asked), "node long, shingles array<long>").dropDuplicates(["node"])
     links = cut(confirmed(pairs, full, percent))
-    roots = components(links)
-    if not large.isEmpty():
-        named = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        more = named.join(split, "key", "left_semi").repartition("key").sortWithinPartitions("key").mapInArrow(partial(across, percent=percent), "key long, a long, b long")
-        more = more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    roots = cut(components(links))
+    named = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    more = named.join(split, "key", "left_semi").repartition("key").sortWithinPartitions("key").mapInArrow(partial(across, percent=percent), "key long, a long, b long")
+    more = cut(more.select("a", "b").join(pairs, ["a", "b"], "left_anti").join(pairs.selectExpr("b AS a", "a AS b"), ["a", "b"], "left_anti"))
+    if not more.isEmpty():
         roots = components(links.unionByName(confirmed(more, full, percent)))
     named = classes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
