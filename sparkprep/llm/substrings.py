@@ -34,8 +34,8 @@ HOT, SAMPLE, SAMPLE_LEAST = 4096, 0.02, 200
 PLACE = 39
 NO_ID = 2**63 - 1
 
-BLOCKS = {"part": pa.int64(), "block": pa.int64(), "doc": pa.int64(), "place": pa.int64(), "n": pa.int32(), "kind": pa.int8(), "ref_doc": pa.int64(), "ref_place": pa.int64()}
-BLOCKS_DDL = "part long, block long, doc long, place long, n int, kind byte, ref_doc long, ref_place long"
+BLOCKS = {"part": pa.int32(), "block": pa.int64(), "doc": pa.int64(), "place": pa.int64(), "n": pa.int32(), "kind": pa.int8(), "ref_doc": pa.int64(), "ref_place": pa.int64()}
+BLOCKS_DDL = "part int, block long, doc long, place long, n int, kind byte, ref_doc long, ref_place long"
 #: Kinds of block: compared by anchor, dealt by block, known copy; of a found row: copy, border.
 PLAIN, SPREAD, COPY, BORDER = 0, 1, 2, 3
 
@@ -66,13 +66,13 @@ def reduced(rows: list[tuple[np.ndarray, ...]], hot: np.ndarray) -> pa.RecordBat
     new[1:] = block[1:] != block[:-1]
     ref = np.maximum.accumulate(np.where(new, np.arange(len(block)), 0))
     same = (doc == doc[ref]) & (place == place[ref])
-    spread = np.isin(anchor, hot)
+    spread = np.isin((anchor >> np.uint64(32)).astype(np.uint32).view(np.int32), hot)
     kind = np.where(new, np.where(spread, SPREAD, PLAIN), COPY).astype(np.int8)
     part = np.where(kind == PLAIN, anchor, W.mix((block + place.view(np.uint64)) * W.BASE if len(block) else block))
     part = np.where(kind == SPREAD, W.mix(block), part)
     keep = new | ~same
     refs = [pa.array(x[ref][keep], pa.int64(), mask=new[keep]) for x in (doc, place)]
-    return table(BLOCKS, W.signed(part[keep]), W.signed(block[keep]), doc[keep], place[keep], n[keep], kind[keep], *refs)
+    return table(BLOCKS, (part[keep] >> np.uint64(32)).astype(np.uint32).view(np.int32), W.signed(block[keep]), doc[keep], place[keep], n[keep], kind[keep], *refs)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], window: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -160,7 +160,7 @@ def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """The single windows of border blocks, as blocks of one window."""
-    rows, size, none = [], 0, np.zeros(0, np.uint64)
+    rows, size, none = [], 0, np.zeros(0, np.int32)
     for batch in batches:
         docs, tags = columns(batch, "doc", "tag")
         lists = batch.column("borders")
@@ -189,12 +189,44 @@ def factors(start: np.ndarray, n: np.ndarray, ref_doc: np.ndarray, ref_place: np
     """Rows (start, windows, source document, source place) of one document, in order: runs in the same source merged."""
     order = np.lexsort((n, start))
     start, n, ref_doc, ref_place = start[order], n[order].astype(np.int64), ref_doc[order], ref_place[order]
+    again = np.zeros(len(start), bool)
+    again[1:] = (start[1:] == start[:-1]) & (n[1:] == n[:-1])
+    start, n, ref_doc, ref_place = (x[~again] for x in (start, n, ref_doc, ref_place))
     new = np.ones(len(start), bool)
     new[1:] = (start[1:] != start[:-1] + n[:-1]) | (ref_doc[1:] != ref_doc[:-1]) | (ref_place[1:] != ref_place[:-1] + n[:-1])
     head = np.flatnonzero(new)
     return np.stack((start[head], np.add.reduceat(n, head), ref_doc[head], ref_place[head]), axis=1) if len(head) else np.zeros((0, 4), np.int64)
 
 
+COPIES = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "n", "ref_doc", "ref_place")]))
+BORDERS = pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64())]))
+COPIES_DDL = "array<struct<start: bigint, n: bigint, ref_doc: bigint, ref_place: bigint>>"
+
+
+def condensed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The factors and borders of each document from its marks."""
+    for batch in batches:
+        lists = batch.column("marks")
+        kind, start, n, *refs = (lists.flatten().field(f).fill_null(0).to_numpy(zero_copy_only=False) for f in ("kind", "start", "n", "ref_doc", "ref_place"))
+        edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        found = {COPY: ([0], [np.zeros((0, 4), np.int64)]), BORDER: ([0], [np.zeros((0, 4), np.int64)])}
+        for a, z in zip(edges[:-1], edges[1:], strict=True):
+            for which, (ends, rows) in found.items():
+                own = a + np.flatnonzero(kind[a:z] == which)
+                if which == COPY:
+                    rows.append(factors(start[own], n[own], *(x[own] for x in refs)))
+                else:
+                    rows.append(np.unique(np.stack((start[own], n[own]), axis=1), axis=0) @ np.eye(2, 4, dtype=np.int64))
+                ends.append(ends[-1] + len(rows[-1]))
+        out = []
+        for which, shape in ((COPY, COPIES), (BORDER, BORDERS)):
+            ends, rows = found[which]
+            cells = np.concatenate(rows)
+            fields = [shape.value_type.field(i).name for i in range(shape.value_type.num_fields)]
+            out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(cells[:, i]) for i in range(len(fields))], fields)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("tag"), *out], names=["doc", "tag", "copies", "borders"])
+
+
 def parsed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """What is left of each text, and its factors."""
     kind = pa.struct([("start", pa.int64()), ("words", pa.int64()), ("source", pa.int64()), ("source_start", pa.int64())])
@@ -234,20 +266,25 @@ def remove_repeats(docs: DataFrame, window: int = 20, key: str = "doc_id", text:
     """
     docs = identified(docs, key, text)
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc", "tag", "text")
-    sample = numbered.sample(SAMPLE, seed=1).mapInArrow(partial(blocks, window=window, hot=np.zeros(0, np.uint64)), BLOCKS_DDL).where(f"kind = {PLAIN}")
+    sample = numbered.sample(SAMPLE, seed=1).mapInArrow(partial(blocks, window=window, hot=np.zeros(0, np.int32)), BLOCKS_DDL).where(f"kind = {PLAIN}")
     counts = sample.groupBy("part").count().where(f"count >= {SAMPLE_LEAST}")
     total = sample.agg(F.count("*").alias("total"))
     hot = [r[0] for r in counts.join(F.broadcast(total), F.expr(f"count * {HOT} >= total")).select("part").collect()]
-    hot = np.array(hot, np.int64).view(np.uint64)
+    hot = np.array(hot, np.int32)
 
     def found(rows: DataFrame) -> DataFrame:
         return rows.repartition("part").sortWithinPartitions("part", "block", "doc", "place").mapInArrow(looked_up, FOUND_DDL)
 
-    first = cut(found(numbered.mapInArrow(partial(blocks, window=window, hot=hot), BLOCKS_DDL)))
-    where = [F.col("doc"), F.expr(f"place >> {PLACE}").alias("tag"), F.expr(f"place & {(1 << PLACE) - 1}").alias("start"), "n", "ref_doc", "ref_place"]
-    borders = first.where(f"kind = {BORDER}").select(*where).groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "n")).alias("borders"))
-    second = found(docs.select("doc", "tag", "text").join(borders, ["doc", "tag"]).mapInArrow(partial(windows, window=window), BLOCKS_DDL))
-    copies = first.unionByName(second).where(f"kind = {COPY}").select(*where)
-    copies = copies.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "n", "ref_doc", "ref_place")).alias("copies"))
-    joined = docs.join(copies, ["doc", "tag"], "left").select("id", "text", F.coalesce("copies", F.expr("cast(array() AS array<struct<start: bigint, n: int, ref_doc: bigint, ref_place: bigint>>)")).alias("copies"))
+    def marks(rows: DataFrame) -> DataFrame:
+        place = [F.expr(f"place & {(1 << PLACE) - 1}").alias("start"), F.col("n").cast("long").alias("n")]
+        rows = rows.select("doc", F.expr(f"place >> {PLACE}").alias("tag"), F.struct("kind", *place, "ref_doc", "ref_place").alias("mark"))
+        lists = rows.groupBy("doc", "tag").agg(F.collect_list("mark").alias("marks"))
+        return lists.mapInArrow(condensed, f"doc long, tag long, copies {COPIES_DDL}, borders array<struct<start: bigint, n: bigint>>")
+
+    first = cut(marks(found(numbered.mapInArrow(partial(blocks, window=window, hot=hot), BLOCKS_DDL))))
+    borders = first.where("size(borders) > 0").select("doc", "tag", "borders")
+    second = marks(found(docs.join(borders, ["doc", "tag"]).mapInArrow(partial(windows, window=window), BLOCKS_DDL)).where(f"kind = {COPY}"))
+    copies = first.select("doc", "tag", "copies").unionByName(second.select("doc", "tag", "copies")).where("size(copies) > 0")
+    copies = copies.groupBy("doc", "tag").agg(F.flatten(F.collect_list("copies")).alias("copies"))
+    joined = docs.join(copies, ["doc", "tag"], "left").withColumn("copies", F.coalesce("copies", F.expr(f"cast(array() AS {COPIES_DDL})")))
     return joined.mapInArrow(partial(parsed, window=window), "doc_id long, n_words long, n_removed long, kept_text string, factors array<struct<start: long, words: long, source: long, source_start: long>>")
