@@ -30,8 +30,8 @@ GRAM, STEP = 128, 48
 #: Of an anchor's bucket: looked up, dealt by the next identifier, settled in its task. Of a result: repeats, border.
 PLAIN, SPREAD, SETTLED, BORDER = 0, 1, 2, 3
 
-SUFFIXES = {"part": pa.int64(), "bucket": pa.int64(), "doc": pa.int64(), "place": pa.int64(), "n": pa.int32(), "offset": pa.int32(), "kind": pa.int8(), "known": pa.bool_()}
-SUFFIXES_DDL = "part long, bucket long, doc long, place long, n int, offset int, kind byte, known boolean"
+SUFFIXES = {"part": pa.int32(), "bucket": pa.int64(), "doc": pa.int64(), "place": pa.int64(), "n": pa.int32(), "offset": pa.int32(), "kind": pa.int8(), "known": pa.bool_()}
+SUFFIXES_DDL = "part int, bucket long, doc long, place long, n int, offset int, kind byte, known boolean"
 REFINED = {"doc": pa.int64(), "place": pa.int64(), "n": pa.int32(), "offset": pa.int32(), "kind": pa.int8()}
 REFINED_DDL = "doc long, place long, n int, offset int, kind byte"
 
@@ -62,6 +62,10 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return (packed & np.uint64((1 << 22) - 1)).astype(np.int64)
 
 
+def upper(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def settled(rows: list[Rows], hot: np.ndarray) -> pa.RecordBatch:
     """One row of each bucket to look up, and the others as settled; the one knows whether there are others."""
     part, bucket, doc, place, n, offset = (np.concatenate(x) for x in zip(*rows, strict=True))
@@ -73,9 +77,9 @@ def settled(rows: list[Rows], hot: np.ndarray) -> pa.RecordBatch:
     again[1:] = ~new[1:] & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])
     part, bucket, doc, place, n, offset, new = (x[~again] for x in (part, bucket, doc, place, n, offset, new))
     known = np.append(~new[1:], False) if len(new) else new
-    kind = np.where(new, np.where(np.isin(part, hot), SPREAD, PLAIN), SETTLED).astype(np.int8)
+    kind = np.where(new, np.where(np.isin(upper(part), hot), SPREAD, PLAIN), SETTLED).astype(np.int8)
     part = np.where(kind == PLAIN, part, W.mix(bucket + np.where(kind == SETTLED, place, 0).astype(np.uint64)))
-    return table(SUFFIXES, W.signed(part), W.signed(bucket), doc, place, n, offset, kind, known)
+    return table(SUFFIXES, upper(part), W.signed(bucket), doc, place, n, offset, kind, known)
 
 
 def suffixes(batches: Iterator[pa.RecordBatch], length: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -172,7 +176,7 @@ def refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def later(batches: Iterator[pa.RecordBatch], length: int, step: int) -> Iterator[pa.RecordBatch]:
     """The next identifiers of border suffixes: of the bytes common to each `step` strings, or of each string (1)."""
-    rows, size, none = [], 0, np.zeros(0, np.uint64)
+    rows, size, none = [], 0, np.zeros(0, np.int32)
     for batch in batches:
         docs, tags = columns(batch, "doc", "tag")
         lists = batch.column("borders")
@@ -216,6 +220,39 @@ def _by_block(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarra
     return out
 
 
+RUNS = pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64())]))
+STARTS = pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64()), ("offset", pa.int64())]))
+RUNS_DDL = "array<struct<start: bigint, n: bigint>>"
+STARTS_DDL = "array<struct<start: bigint, n: bigint, offset: bigint>>"
+
+
+def condensed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each document's marks: runs of strings that repeat, merged, and the borders."""
+    for batch in batches:
+        lists = batch.column("marks")
+        kind, start, n, offset = (lists.flatten().field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("kind", "start", "n", "offset"))
+        edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        runs, borders, run_ends, border_ends = [np.zeros((0, 2), np.int64)], [np.zeros((0, 3), np.int64)], [0], [0]
+        for a, z in zip(edges[:-1], edges[1:], strict=True):
+            own = a + np.flatnonzero(kind[a:z] == SETTLED)
+            own = own[np.argsort(start[own], kind="stable")]
+            if len(own):
+                stop = np.maximum.accumulate(start[own] + n[own])
+                head = np.flatnonzero(np.concatenate(([True], start[own][1:] > stop[:-1])))
+                first, last = start[own][head], stop[np.append(head[1:], len(own)) - 1]
+                runs.append(np.stack((first, last - first), axis=1))
+            run_ends.append(run_ends[-1] + (len(runs[-1]) if len(own) else 0))
+            own = a + np.flatnonzero(kind[a:z] == BORDER)
+            if len(own):
+                borders.append(np.unique(np.stack((start[own], n[own], offset[own]), axis=1), axis=0))
+            border_ends.append(border_ends[-1] + (len(borders[-1]) if len(own) else 0))
+        out = []
+        for ends, rows, shape in ((run_ends, runs, RUNS), (border_ends, borders, STARTS)):
+            cells, fields = np.concatenate(rows), [shape.value_type.field(i).name for i in range(shape.value_type.num_fields)]
+            out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(cells[:, i]) for i in range(len(fields))], fields)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("tag"), *out], names=["doc", "tag", "repeats", "borders"])
+
+
 def remainder(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """What is left of each text, and the maximal removed spans."""
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -255,27 +292,28 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
     Other columns are not read.
     """
     docs = identified(docs, key, text)
-    plain = docs.select("doc", "tag", "text")
-    sample = plain.sample(SAMPLE, seed=1).mapInArrow(partial(suffixes, length=length, hot=np.zeros(0, np.uint64)), SUFFIXES_DDL).where(f"kind = {PLAIN}")
+    sample = docs.sample(SAMPLE, seed=1).mapInArrow(partial(suffixes, length=length, hot=np.zeros(0, np.int32)), SUFFIXES_DDL).where(f"kind = {PLAIN}")
     counts = sample.groupBy("part").count().where(f"count >= {SAMPLE_LEAST}")
     total = sample.agg(F.count("*").alias("total"))
     hot = [r[0] for r in counts.join(F.broadcast(total), F.expr(f"count * {HOT} >= total")).select("part").collect()]
-    hot = np.array(hot, np.int64).view(np.uint64)
+    hot = np.array(hot, np.int32)
 
     def refine(rows: DataFrame) -> DataFrame:
         return rows.repartition("part").sortWithinPartitions("part", "bucket", "doc", "place").mapInArrow(refined, REFINED_DDL)
 
-    def placed(rows: DataFrame, name: str) -> DataFrame:
+    def marks(rows: DataFrame) -> DataFrame:
         place = [F.expr(f"place & {(1 << PLACE) - 1}").alias("start"), F.col("n"), F.col("offset")]
-        return rows.select("doc", F.expr(f"place >> {PLACE}").alias("tag"), F.struct(*place).alias("at")).groupBy("doc", "tag").agg(F.collect_set("at").alias(name))
+        lists = rows.select("doc", F.expr(f"place >> {PLACE}").alias("tag"), F.struct("kind", *place).alias("mark")).groupBy("doc", "tag").agg(F.collect_list("mark").alias("marks"))
+        return lists.mapInArrow(condensed, f"doc long, tag long, repeats {RUNS_DDL}, borders {STARTS_DDL}")
 
     def again(rows: DataFrame, step: int) -> DataFrame:
-        return refine(plain.join(placed(rows, "borders"), ["doc", "tag"]).mapInArrow(partial(later, length=length, step=step), SUFFIXES_DDL))
-
-    first = cut(refine(plain.mapInArrow(partial(suffixes, length=length, hot=hot), SUFFIXES_DDL)))
-    second = again(first.where(f"kind = {BORDER}"), min(STEP, length)).where(f"kind = {SETTLED}")
-    third = again(second, 1).where(f"kind = {SETTLED}")
-    repeats = placed(first.where(f"kind = {SETTLED}").unionByName(third), "repeats")
-    empty = F.expr("cast(array() AS array<struct<start: bigint, n: int, offset: int>>)")
-    joined = docs.join(repeats, ["doc", "tag"], "left").select("id", "text", F.coalesce("repeats", empty).alias("repeats"))
+        borders = rows.where("size(borders) > 0").select("doc", "tag", "borders")
+        return refine(docs.join(borders, ["doc", "tag"]).mapInArrow(partial(later, length=length, step=step), SUFFIXES_DDL)).where(f"kind = {SETTLED}")
+
+    first = cut(marks(refine(docs.mapInArrow(partial(suffixes, length=length, hot=hot), SUFFIXES_DDL))))
+    second = marks(again(first, min(STEP, length)).withColumn("kind", F.lit(BORDER).cast("byte")))
+    third = marks(again(second, 1))
+    repeats = first.select("doc", "tag", "repeats").unionByName(third.select("doc", "tag", "repeats")).where("size(repeats) > 0")
+    repeats = repeats.groupBy("doc", "tag").agg(F.flatten(F.collect_list("repeats")).alias("repeats"))
+    joined = docs.join(repeats, ["doc", "tag"], "left").withColumn("repeats", F.coalesce("repeats", F.expr(f"cast(array() AS {RUNS_DDL})")))
     return joined.mapInArrow(partial(remainder, length=length), "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
