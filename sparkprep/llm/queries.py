@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkprep.llm import minhash, ngrams, rules, substrings, suffixes
+from sparkprep.llm import decontaminate, minhash, ngrams, pieces, rules, substrings, suffixes
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,17 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counters, base.alias("base_failed"), "kept")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of each text; exact says that their ids decode to the text."""
+    found = pieces.segmentations(documents(spark, sf_dir), k=2, digest=True)
+    return found.select("doc_id", F.size("samples").cast("long").alias("n_samples"), "samples")
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "contaminated", "n_items", "items", "spans")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(documents(spark, sf_dir), window=20)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -44,6 +55,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op2_minhash_near_dedup,
         op3_quality_rules,
+        op4_sentencepiece,
+        op5_benchmark_decontamination,
         op7_substring_dedup,
         op8_suffix_array_dedup,
         op10_lm_scoring,
