@@ -69,7 +69,7 @@ def counted(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[pa.Rec
     def out(of_pairs: bool) -> Iterator[pa.RecordBatch]:
         values, counts = merged([x for x, _ in held[of_pairs]], [n for _, n in held[of_pairs]])
         held[of_pairs] = []
-        segment = segment_of(values, segments)
+        segment = segment_of(values, segments if of_pairs else max(1, segments // 8))
         first = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
         edges = np.append(first, len(values))
         blob = values.astype("<u8").tobytes()
@@ -101,11 +101,15 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / np.log(LEVEL) + 1e-9).astype(np.int64)
 
 
-def probe(values: np.ndarray, level: np.ndarray | int, j: int, size: np.ndarray | int) -> np.ndarray:
-    """The bit of the j-th probe for a pair and a level within a segment of `size` bits."""
-    x = W.mix(values + np.asarray(level).astype(np.uint64) * W.BASE)
-    x = x + np.uint64(j) * (x >> np.uint64(17) | np.uint64(1))
-    return ((x >> np.uint64(32)) * np.asarray(size).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+def hashed(values: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of a pair at a level, from which all its probes follow."""
+    x = W.mix(values + np.array([level], np.uint64) * W.BASE)
+    return x, x << np.uint64(32) | x >> np.uint64(32) | np.uint64(1)
+
+
+def probe(x: np.ndarray, y: np.ndarray, j: int, size: np.ndarray | int) -> np.ndarray:
+    """The bit of the j-th probe within a segment of `size` bits."""
+    return ((x + np.uint64(j) * y >> np.uint64(32)) * np.asarray(size).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
 
 
 def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,8 +126,9 @@ def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = np.zeros(size, bool)
             for level in range(1, int(top.max()) + 1):
                 own = values[top >= level]
+                x, y = hashed(own, level)
                 for j in range(PROBES):
-                    bits[probe(own, level, j, size)] = True
+                    bits[probe(x, y, j, size)] = True
             packed = np.packbits(bits, bitorder="little")
             yield pa.RecordBatch.from_arrays([pa.array([segment[low]], pa.int32()), pa.array([packed.tobytes()], pa.binary()), pa.array([int(bits.sum())], pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int64()))], names=SEGMENT)
 
@@ -156,11 +161,12 @@ class Filter:
         level = 0
         while len(own):
             level += 1
+            x, y = hashed(values[own], level)
             for j in range(PROBES):
-                bit = start + probe(values[own], level, j, size)
+                bit = start + probe(x, y, j, size)
                 hit = (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
                 if not hit.all():
-                    own, start, size = own[hit], start[hit], size[hit]
+                    own, start, size, x, y = own[hit], start[hit], size[hit], x[hit], y[hit]
             out[own] = level
         return out
 
@@ -247,7 +253,7 @@ def score(docs: DataFrame, held_out: str = "crc32(coalesce(string(id), '')) % 5
     """
     spark = docs.sparkSession
     docs = identified(docs, key, text).withColumn("held_out", F.expr(held_out))
-    segments = max(4096, 64 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    segments = max(512, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     counts = docs.where("NOT held_out").select("text").mapInArrow(partial(counted, segments=segments), "segment int, hashes binary, counts array<int>")
     built = cut(counts.repartition("segment").sortWithinPartitions("segment").mapInArrow(summed, "segment int, bits binary, ones long, words array<long>, counts array<long>"))
     words = cut(built.where("segment < 0").select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").alias("n")))
