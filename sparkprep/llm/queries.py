@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkprep.llm import decontaminate, minhash, ngrams, pieces, rules, substrings, suffixes
+from sparkprep.llm import decontaminate, lines, minhash, ngrams, pieces, pii, rules, secret_scan, spans, substrings, suffixes
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.remove_repeats(documents(spark, sf_dir), edits=2, least=20)
+    return found.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), percent=85, words=5)
 
@@ -36,6 +41,12 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "contaminated", "n_items", "items", "spans")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(documents(spark, sf_dir))
+    every = F.concat("base", "random")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(spans.listed(F.col("base")), 256).alias("base_sha256"), spans.listed(every).alias("spans"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(documents(spark, sf_dir), window=20)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -46,6 +57,12 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(documents(spark, sf_dir))
+    every = F.concat("base", "terms")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(spans.listed(F.col("base")), 256).alias("base_sha256"), spans.listed(every).alias("spans"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.score(documents(spark, sf_dir))
 
@@ -53,12 +70,15 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_line_dedup,
         op2_minhash_near_dedup,
         op3_quality_rules,
         op4_sentencepiece,
         op5_benchmark_decontamination,
+        op6_secret_scan,
         op7_substring_dedup,
         op8_suffix_array_dedup,
+        op9_pii,
         op10_lm_scoring,
     )
 }
