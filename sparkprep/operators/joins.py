@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES_CONF = "sparkprep.broadcastBytes"
 BROADCAST_BYTES = 64 * 1024 * 1024
 
-HOT_SHARE = 1 / 2000  # a key above this share of the rows is hot; so there are at most 2000 hot keys
-SPREAD = 4096  # buckets over which rows that cannot match through the shuffle are spread
+BUCKETS_PER_PARTITION = 4  # rows with a null key are spread over this many buckets a shuffle partition
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -28,36 +27,21 @@ def quoted(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
-def hot_keys(facts: DataFrame, on: str) -> DataFrame:
-    """The keys holding more than HOT_SHARE of all rows: at most 1 / HOT_SHARE of them."""
-    counts = facts.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("_n"))
-    total = counts.select(F.sum("_n")).scalar()
-    return counts.where(F.col("_n") > total * HOT_SHARE).select(on)
-
-
 def lookup_join(facts: DataFrame, lookup: DataFrame, on: str) -> DataFrame:
     """Left join of `facts` with `lookup`, which has one row per key `on`.
 
-    A lookup of proven small size is broadcast. Otherwise rows with a hot key take their match from
-    the hot part of the lookup (bounded, broadcast) and go through the shuffle spread evenly under a
-    key that matches nothing, like the rows with a null key; all others join by key.
+    A lookup of proven small size is broadcast. Beyond that rows join by key through one shuffle, whose
+    large partitions adaptive execution splits, hot keys included; the other side has one row a key, so a
+    split copies little. Rows with a null key match nothing and are spread evenly. The plan of `facts`
+    occurs once, so lookups can be chained.
     """
     if fits_broadcast(lookup):
         return facts.join(F.broadcast(lookup), on, "left")
 
     values = [c for c in lookup.columns if c != on]
-    match = F.struct(F.lit(True).alias("_found"), *values)
-    hot = (
-        lookup.join(F.broadcast(hot_keys(facts, on)), on, "left_semi")
-        .select(F.col(on).alias("_hot_key"), match.alias("_hot"))
-    )
-    cold = lookup.select(F.col(on).alias("_key"), F.lit(0).alias("_salt"), match.alias("_cold"))
-
-    spread = F.pmod(F.xxhash64(*quoted(facts)), F.lit(SPREAD)).cast("int")
-    marked = facts.join(F.broadcast(hot), F.col(on) == F.col("_hot_key"), "left").withColumn(
-        "_key", F.when(F.col("_hot_key").isNull(), F.col(on))
-    )
-    marked = marked.withColumn("_salt", F.when(F.col("_key").isNull(), spread).otherwise(F.lit(0)))
-    joined = marked.join(cold, ["_key", "_salt"], "left")
-    found = F.coalesce("_hot", "_cold")
-    return joined.select(*quoted(facts), *[found[v].alias(v) for v in values])
+    found = lookup.select(F.col(on).alias("_key"), F.lit(0).alias("_salt"), F.struct(*values).alias("_found"))
+    buckets = BUCKETS_PER_PARTITION * int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = F.pmod(F.xxhash64(*quoted(facts)), F.lit(buckets)).cast("int")
+    marked = facts.withColumn("_key", F.col(on)).withColumn("_salt", F.when(F.col(on).isNull(), spread).otherwise(F.lit(0)))
+    joined = marked.join(found, ["_key", "_salt"], "left")
+    return joined.select(*quoted(facts), *[F.col("_found")[v].alias(v) for v in values])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkprep.operators import geo, metrics
 from sparkprep.operators.mapping import with_fallbacks
-from sparkprep.operators.ranking import dedup_first
+from sparkprep.operators.ranking import dedup_first, first_rows
 from sparkprep.schema import ROW_ORD
 
 TOP_N = 150
@@ -15,18 +15,16 @@ ID_PREFIX = "PL"  # fixed value: an all-digit id also answers to this prefix
 VALUE_COLUMNS = ("volume", "weight_shipped", "raw__Quantity")
 
 
-def aggregate_lanes(df: DataFrame, value: str | None = None, top_n: int = TOP_N) -> DataFrame:
-    """(origin, destination, value): summed `value`, or the row count; the `top_n` largest lanes.
+def aggregate_lanes(df: DataFrame, value: str | None = None, top_n: int | None = TOP_N) -> DataFrame:
+    """(origin, destination, value): summed `value`, or the row count; the `top_n` largest lanes, None for all.
     Rows without both ends or without a value form no lane."""
     ends = df.select(
         F.col("origin_location_id").cast("string").alias("origin"),
         F.col("destination_location_id").cast("string").alias("destination"),
         (F.col(value).try_cast("double") if value else F.lit(1.0)).alias("value"),
     ).dropna()
-    return (
-        ends.groupBy("origin", "destination").agg(F.sum("value").alias("value"))
-        .orderBy(F.desc("value"), "origin", "destination").limit(top_n)
-    )
+    sums = ends.groupBy("origin", "destination").agg(F.sum("value").alias("value"))
+    return first_rows(sums.orderBy(F.desc("value"), "origin", "destination"), top_n)
 
 
 def entity_points(df: DataFrame, id_column: str, name_column: str | None = None, gazetteer: DataFrame | None = None) -> DataFrame:
@@ -56,37 +54,38 @@ def id_aliases(column: Column) -> Column:
     return F.when(column.rlike("^[0-9]+$"), F.array(column, F.concat(F.lit(ID_PREFIX), column))).otherwise(F.array(column))
 
 
-def locate_lanes(lanes: DataFrame, points: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+def locate_lanes(lanes: DataFrame, points: list[DataFrame], few: bool = True) -> tuple[DataFrame, DataFrame]:
     """(nodes, lanes) of the lanes whose both ends have coordinates. `points` come in falling priority:
     an id found in an earlier registry hides a later one.
 
-    The lanes are few (top-n), so their ids are broadcast and the registries, of any size, are only
-    filtered by them; no registry is shuffled whole.
+    A bounded top-n of lanes is `few`: their ids are broadcast and the registries, of any size, are only filtered
+    by them; no registry is shuffled whole. All lanes of a network join by key.
     """
+    small = F.broadcast if few else (lambda df: df)
     ends = lanes.select(F.explode(F.array("origin", "destination")).alias("end")).distinct()
     wanted = ends.select("end", F.posexplode(id_aliases(F.col("end"))).alias("alias_rank", "id"))
     found = None
     for rank, registry in enumerate(points):
-        part = registry.join(F.broadcast(wanted), "id").withColumn("registry", F.lit(rank))
+        part = registry.join(small(wanted), "id").withColumn("registry", F.lit(rank))
         found = part if found is None else found.unionByName(part)
     best = dedup_first(found.withColumn("_order", F.struct("alias_rank", "registry")), ["end"], "_order").drop("_order")
 
     def side(name: str) -> DataFrame:
-        return F.broadcast(best.where("lat is not null").select(F.col("end").alias(name), F.col("id").alias(f"{name}_id")))
+        return small(best.where("lat is not null").select(F.col("end").alias(name), F.col("id").alias(f"{name}_id")))
 
     kept = lanes.join(side("origin"), "origin").join(side("destination"), "destination").select(
         F.col("origin_id").alias("origin"), F.col("destination_id").alias("destination"), "value"
     )
     used = kept.select(F.explode(F.array("origin", "destination")).alias("id")).distinct()
     nodes = (
-        best.join(F.broadcast(used), "id")
+        best.join(small(used), "id")
         .groupBy("id").agg(F.min_by(F.struct("name", "city", "state", "country", "lat", "lon"), "end").alias("p"))
         .select("id", "p.*")
     )
     return nodes, kept
 
 
-def _lanes(gold: metrics.Gold, direction: str, status: str, top_n: int, by: str) -> DataFrame | None:
+def _lanes(gold: metrics.Gold, direction: str, status: str, top_n: int | None, by: str) -> DataFrame | None:
     df = metrics.flow(gold, direction, status)
     if df is None:
         return None
@@ -106,7 +105,7 @@ def inbound_map(gold, status="all", top_n=TOP_N, by="volume", gazetteer=None) ->
     """(nodes, lanes); both ends are looked up among the locations."""
     lanes = _lanes(gold, "inbound", status, top_n, by)
     points = _registry(gold, "location_master", "location_id", "location_name", gazetteer)
-    return None if lanes is None or not points else locate_lanes(lanes, points)
+    return None if lanes is None or not points else locate_lanes(lanes, points, few=top_n is not None)
 
 
 def outbound_map(gold, status="all", top_n=TOP_N, by="volume", gazetteer=None) -> tuple[DataFrame, DataFrame] | None:
@@ -114,4 +113,4 @@ def outbound_map(gold, status="all", top_n=TOP_N, by="volume", gazetteer=None) -
     lanes = _lanes(gold, "outbound", status, top_n, by)
     points = _registry(gold, "customer_master", "customer_id", "customer_name", gazetteer)
     points += _registry(gold, "location_master", "location_id", "location_name", gazetteer)
-    return None if lanes is None or not points else locate_lanes(lanes, points)
+    return None if lanes is None or not points else locate_lanes(lanes, points, few=top_n is not None)

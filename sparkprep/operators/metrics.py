@@ -69,7 +69,8 @@ def _ranked_count(df: DataFrame | None, keys: list[str]) -> DataFrame | None:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("count")).orderBy(F.desc("count"), key)
 
 
-def customer_volume_distribution(gold: Gold, status: str = "all", top_n: int = 20) -> DataFrame | None:
+def customer_volume_distribution(gold: Gold, status: str = "all", top_n: int | None = 20) -> DataFrame | None:
+    """(destination, volume), the `top_n` largest; None for all."""
     df = best_shipment(gold, status, prefer="outbound_shipment_history")
     df = None if df is None else with_fallbacks(df, "volume", "destination_location_id")
     if df is None or not {"volume", "destination_location_id"} <= set(df.columns):
@@ -78,11 +79,8 @@ def customer_volume_distribution(gold: Gold, status: str = "all", top_n: int = 2
         outbound = _directed(df, "outbound")
         df = df if outbound.isEmpty() else outbound
     key = "destination_location_id"
-    return (
-        df.where(F.col(key).isNotNull())
-        .groupBy(key).agg(F.coalesce(F.sum("volume"), F.lit(0.0)).alias("volume"))
-        .orderBy(F.desc("volume"), key).limit(top_n)
-    )
+    sums = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.coalesce(F.sum("volume"), F.lit(0.0)).alias("volume"))
+    return ranking.first_rows(sums.orderBy(F.desc("volume"), key), top_n)
 
 
 def product_volume_pareto(gold: Gold, status: str = "all") -> DataFrame | None:

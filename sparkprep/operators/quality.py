@@ -104,8 +104,9 @@ def run_summary(
     return union_all(parts)
 
 
-def stage_view(layers: dict[str, DataFrame | None], sample: int = 5) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """(layer, available, row_count, column_count, scope and status counts) and a sample per layer."""
+def stage_view(layers: dict[str, DataFrame | None], sample: int | None = 5) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(layer, available, row_count, column_count, scope and status counts) and a sample per layer
+    (all rows with None)."""
     def one(layer: str, df: DataFrame) -> DataFrame:
         scoped, checked = INCLUDED in df.columns, "row_status" in df.columns
         none = F.lit(None).cast("bigint")
@@ -126,7 +127,7 @@ def stage_view(layers: dict[str, DataFrame | None], sample: int = 5) -> tuple[Da
     if absent:
         spark = next(iter(present.values())).sparkSession
         parts.append(spark.createDataFrame([(n, False) for n in absent], "layer string, available boolean"))
-    return union_all(parts), {n: df.limit(sample) for n, df in present.items()}
+    return union_all(parts), {n: records(df, limit=sample) for n, df in present.items()}
 
 
 def runs(summary: DataFrame) -> DataFrame:

@@ -84,3 +84,8 @@ def dedup_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def first_rows(ordered: DataFrame, n: int | None) -> DataFrame:
+    """The first `n` rows of a ranked list; None for all."""
+    return ordered if n is None else ordered.limit(n)

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from sparkprep import schema
 from sparkprep.functions import text
+from sparkprep.operators.ranking import first_rows
 
 NONE = "-"
 FLOWS = ["OutboundFlow", "InboundFlow", "TransferFlow", "ProductionFlow", "DemandVolume"]
 TOP_FACILITIES, SPREAD = 10, 20
 
-# --- fixed values: root-cause dimensions: name -> (column, measure, rows kept) ---
+# --- fixed values: root-cause dimensions: name -> (column, measure, rows kept; None keeps all) ---
 DIMENSIONS = {
     "facility_cost": ("OriginName", "Cost", 20),
     "facility_volume": ("OriginName", "FlowVolume", 20),
@@ -112,12 +113,10 @@ def service_level(df: DataFrame) -> DataFrame:
     return sums.select("ScenarioName", level.alias("service_level"))
 
 
-def top_facilities(df: DataFrame, scenario: str, n: int = TOP_FACILITIES) -> DataFrame:
-    return (
-        df.where(F.col("ScenarioName") == scenario)
-        .groupBy("OriginName").agg(F.sum("Cost").alias("TotalCost"))
-        .orderBy(F.desc("TotalCost"), "OriginName").limit(n)
-    )
+def top_facilities(df: DataFrame, scenario: str, n: int | None = TOP_FACILITIES) -> DataFrame:
+    """(OriginName, TotalCost), the `n` dearest; None for all."""
+    sums = df.where(F.col("ScenarioName") == scenario).groupBy("OriginName").agg(F.sum("Cost").alias("TotalCost"))
+    return first_rows(sums.orderBy(F.desc("TotalCost"), "OriginName"), n)
 
 
 def _sides(df: DataFrame, keys: list, value: Column, a: str, b: str, how=F.sum) -> DataFrame:
@@ -135,13 +134,14 @@ def cost_delta(df: DataFrame, a: str, b: str) -> DataFrame:
     return sides.where(F.abs(delta) > 1).select("cost_key", F.round(delta, 2).alias("delta"))
 
 
-def geographic_spread(df: DataFrame, scenario: str) -> DataFrame:
-    """(side, state): up to 20 states per side, in order; a fact table without state columns gives none."""
+def geographic_spread(df: DataFrame, scenario: str, n: int | None = SPREAD) -> DataFrame:
+    """(side, state): the first `n` states per side, in order, None for all; a fact table without state columns
+    gives none."""
     parts = []
     for side, column in (("origin", "OriginState"), ("destination", "DestinationState")):
         if column in df.columns:
             states = df.where((F.col("ScenarioName") == scenario) & (F.col(column) != NONE)).select(F.col(column).alias("state")).distinct()
-            parts.append(states.orderBy("state").limit(SPREAD).select(F.lit(side).alias("side"), "state"))
+            parts.append(first_rows(states.orderBy("state"), n).select(F.lit(side).alias("side"), "state"))
     if not parts:
         return df.select(F.lit("").alias("side"), F.lit("").alias("state")).where("false")
     return reduce(DataFrame.unionByName, parts)
@@ -157,31 +157,36 @@ def network_counts(df: DataFrame, scenario: str) -> DataFrame:
     return cells.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in names])
 
 
-def _rank_deltas(sides: DataFrame, top_n: int | Column, group: list[str]) -> DataFrame:
+def _rank_deltas(sides: DataFrame, top_n: int | None | Column, group: list[str], limit: int | None = None) -> DataFrame:
+    """The `top_n` largest differences of each group, at most `limit`; null or None keeps all."""
     delta = F.col("val_a") - F.col("val_b")
-    order = W.partitionBy(*group).orderBy(F.abs(delta).desc(), "key") if group else None
-    if order is None:
-        ranked = sides.withColumn("delta", delta).orderBy(F.abs("delta").desc(), "key").limit(top_n)
+    if not group:
+        ranked = first_rows(sides.withColumn("delta", delta).orderBy(F.abs("delta").desc(), "key"), top_n)
+    elif limit is None:  # some group is kept whole: rank only the others
+        cut, whole = sides.where(top_n.isNotNull()), sides.where(top_n.isNull())
+        order = W.partitionBy(*group).orderBy(F.abs(delta).desc(), "key")
+        ranked = cut.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= top_n).drop("_rn")
+        ranked = ranked.unionByName(whole).withColumn("delta", delta)
     else:
-        limit = max(n for _, _, n in DIMENSIONS.values())
+        order = W.partitionBy(*group).orderBy(F.abs(delta).desc(), "key")
         # the constant bound lets Spark cut each dimension before the shuffle
         ranked = sides.withColumn("delta", delta).withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= limit)
         ranked = ranked.where(F.col("_rn") <= top_n).drop("_rn")
     return ranked.select(*group, "key", *[F.round(c, 2).alias(c) for c in ("val_a", "val_b", "delta")])
 
 
-def delta_by(df: DataFrame, column: str, value: str, a: str, b: str, top_n: int = 20) -> DataFrame | None:
-    """(key, val_a, val_b, delta) of one dimension, the `top_n` largest absolute differences."""
+def delta_by(df: DataFrame, column: str, value: str, a: str, b: str, top_n: int | None = 20) -> DataFrame | None:
+    """(key, val_a, val_b, delta) of one dimension, the `top_n` largest absolute differences; None for all."""
     if column not in df.columns:
         return None
     rows = df.where(F.col(column).isNotNull() & (F.col(column) != NONE))
     return _rank_deltas(_sides(rows, [F.col(column).cast("string").alias("key")], F.col(value), a, b), top_n, [])
 
 
-def root_cause(df: DataFrame, a: str, b: str) -> DataFrame:
+def root_cause(df: DataFrame, a: str, b: str, dimensions: dict[str, tuple[str, str, int | None]] = DIMENSIONS) -> DataFrame:
     """(dimension, key, val_a, val_b, delta) for all dimensions from one pass over the facts: every
     present column is a grouping set, so each row is pre-aggregated once per column, not scanned again."""
-    present = {n: d for n, d in DIMENSIONS.items() if d[0] in df.columns}
+    present = {n: d for n, d in dimensions.items() if d[0] in df.columns}
     columns = list(dict.fromkeys(c for c, _, _ in present.values()))
     facts = _of(df, a, b).select(
         "ScenarioName", "FlowVolume", "Cost", *[F.col(c).cast("string").alias(c) for c in columns]
@@ -193,23 +198,25 @@ def root_cause(df: DataFrame, a: str, b: str) -> DataFrame:
     )
     cells = sums.select("ScenarioName", F.inline(F.array_compact(F.array(*[
         F.when((F.col(f"_g_{c}") == 0) & F.col(c).isNotNull() & (F.col(c) != NONE), F.struct(
-            F.lit(n).alias("dimension"), F.lit(top).alias("top_n"), F.col(c).alias("key"), F.col(m).alias("value")
+            F.lit(n).alias("dimension"), F.lit(top).cast("int").alias("top_n"), F.col(c).alias("key"), F.col(m).alias("value")
         )) for n, (c, m, top) in present.items()
     ]))))
     sides = _sides(cells, ["dimension", "top_n", "key"], F.col("value"), a, b)
-    return _rank_deltas(sides, F.col("top_n"), ["dimension"])
+    kept = [top for _, _, top in present.values()]
+    return _rank_deltas(sides, F.col("top_n"), ["dimension"], None if None in kept else max(kept))
 
 
 def _lane() -> Column:
     return F.concat_ws(" -> ", "OriginName", "DestinationName")
 
 
-def lane_deltas(df: DataFrame, a: str, b: str, top_n: int = 15) -> DataFrame:
+def lane_deltas(df: DataFrame, a: str, b: str, top_n: int | None = 15) -> DataFrame:
     return delta_by(df.withColumn("lane", _lane()), "lane", "Cost", a, b, top_n)
 
 
-def distance_deltas(df: DataFrame, a: str, b: str, distance: str = "Distance", top_n: int = 15) -> DataFrame | None:
-    """(lane, dist_a, dist_b, delta_km): mean distance per lane; needs the column and both scenarios."""
+def distance_deltas(df: DataFrame, a: str, b: str, distance: str = "Distance", top_n: int | None = 15) -> DataFrame | None:
+    """(lane, dist_a, dist_b, delta_km): mean distance per lane, the `top_n` largest differences, None for all; needs
+    the column and both scenarios."""
     if distance not in df.columns:
         return None
     value = F.coalesce(F.col(distance).try_cast("double"), F.lit(0.0))
@@ -217,7 +224,7 @@ def distance_deltas(df: DataFrame, a: str, b: str, distance: str = "Distance", t
     both = _of(df, a, b).agg(F.count_distinct("ScenarioName") == 2).scalar()
     delta = F.col("val_a") - F.col("val_b")
     return (
-        sides.where(both).orderBy(F.abs(delta).desc(), "key").limit(top_n)
+        first_rows(sides.where(both).orderBy(F.abs(delta).desc(), "key"), top_n)
         .select(F.col("key").alias("lane"), F.round("val_a", 1).alias("dist_a"), F.round("val_b", 1).alias("dist_b"),
                 F.round(delta, 1).alias("delta_km"))
     )

@@ -6,11 +6,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkprep import schema
+from sparkprep.functions import typed
 from sparkprep.functions.address import split_address
+from sparkprep.functions.text import name_sql
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -42,13 +45,33 @@ def read_jdbc(spark: SparkSession, **options) -> DataFrame:
     return spark.read.format("jdbc").options(**jdbc_options(**options)).load()
 
 
+def _mark(df: DataFrame, watermark: str) -> Column:
+    """A watermark in its own order: text is read as a time, else as a number, never compared as text."""
+    kind = df.schema[watermark].dataType
+    if not isinstance(kind, T.StringType):
+        return F.col(name_sql(watermark))
+    stamp = typed.to_timestamp(watermark, kind)
+    return F.coalesce(F.unix_micros(stamp).cast("double"), typed.to_double(watermark))
+
+
 def incremental(df: DataFrame, watermark: str | None, previous: DataFrame | None) -> DataFrame:
-    """Rows beyond the high-water mark of the previous load. Without a watermark column or an earlier
-    load everything is new; rows without a watermark value are new only in a first load."""
+    """Rows that the previous load did not have, told by a watermark column. Without one, or without an
+    earlier load, everything is new.
+
+    Rows beyond the previous high-water mark are new. Rows at the mark, and rows whose watermark is null or
+    cannot be read, are new as far as the previous load has no equal row (counting repeated rows), so a mark
+    that many rows share loses nothing. A column that the previous load lacks counts as null there.
+    """
     if watermark is None or previous is None:
         return df
-    mark = previous.agg(F.max(watermark)).scalar()
-    return df.where(mark.isNull() | (F.col(watermark) > mark))
+    high = previous.agg(F.max(_mark(previous, watermark))).scalar()
+    mark, had = _mark(df, watermark), _mark(previous, watermark)
+    same_shape = [
+        (F.col(name_sql(f.name)) if f.name in previous.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema
+    ]
+    loaded = previous.where(had.isNull() | (had == high)).select(*same_shape)
+    beyond = df.where(mark.isNotNull() & (high.isNull() | (mark > high)))
+    return beyond.unionByName(df.where(mark.isNull() | (mark == high)).exceptAll(loaded))
 
 
 def with_split_address(df: DataFrame, column: str, names: tuple[str, str, str] = ("City", "State", "PostalCode")) -> DataFrame:

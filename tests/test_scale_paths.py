@@ -1,12 +1,14 @@
 """The paths taken on big or skewed inputs give the same rows as the plain ones."""
 
 import random
+import time
 
 import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkprep.operators import clean, joins, profile, ranking
+from sparkprep.operators import clean, joins, lanes, profile, ranking, scenario
+from sparkprep.sources import readers
 
 
 def skewed(spark, n=3000):
@@ -29,8 +31,21 @@ def test_lookup_join_both_ways(spark):
     spark.conf.unset(limit)
 
 
-def test_hot_keys_are_few(spark):
-    assert {r["key"] for r in joins.hot_keys(skewed(spark), "key").collect()} >= {"hot"}
+def test_chained_lookups_read_the_facts_once(spark, tmp_path):
+    skewed(spark).write.parquet(str(tmp_path / "facts"))
+    facts = spark.read.parquet(str(tmp_path / "facts"))
+    spark.conf.set(joins.BROADCAST_BYTES_CONF, "0")
+    out = facts
+    for i in range(9):
+        lookup = spark.createDataFrame([("hot", i), ("k1", i)], f"key string, v{i} int")
+        out = joins.lookup_join(out, lookup, "key")
+    began = time.monotonic()
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset(joins.BROADCAST_BYTES_CONF)
+    assert time.monotonic() - began < 20
+    assert plan.count("parquet") == 1 and plan.count("Join LeftOuter") == 9
+    got = out.where("key = 'hot'").first()
+    assert [got[f"v{i}"] for i in range(9)] == list(range(9))
 
 
 def test_running_sum_equals_a_window(spark):
@@ -84,3 +99,33 @@ def test_drift(spark):
     now, was = table(a="int", b="string", c="date"), table(a="bigint", b="string", d="int")
     assert {tuple(r) for r in profile.schema_drift(now, was).collect()} == {("new_column", "c"), ("removed_column", "d"), ("type_change", "a")}
     assert profile.schema_drift(now, None).count() == 0
+
+
+def test_incremental_load_keeps_ties_nulls_and_text_order(spark):
+    def new(previous, now, kind="string"):
+        ddl = f"id int, mark {kind}"
+        return sorted(r["id"] for r in readers.incremental(spark.createDataFrame(now, ddl), "mark", spark.createDataFrame(previous, ddl)).collect())
+
+    had = [(1, "2024-09-30"), (2, "2024-10-01"), (3, None)]
+    assert new(had, [*had, (4, "2024-10-01"), (5, "2024-10-02"), (6, None), (7, "2024-09-01"), (8, "?")]) == [4, 5, 6, 8]
+    assert new([(1, "9/30/2024")], [(1, "9/30/2024"), (2, "10/1/2024"), (3, "10/2/2024"), (4, "11/5/2024")]) == [2, 3, 4]
+    assert new([(1, "9")], [(1, "9"), (2, "10"), (1, "9")]) == [1, 2]
+    assert new([(1, None)], [(1, None), (2, None), (3, 5)], "int") == [2, 3]
+    assert new([], [(1, None), (2, 5)], "int") == [1, 2]
+
+
+def test_ranked_lists_without_a_cut(spark):
+    rows = [("A" if i % 2 else "B", f"o{i:03d}", f"d{i:03d}", f"s{i:03d}", float(i), float(i)) for i in range(90)]
+    facts = spark.createDataFrame(rows, "ScenarioName string, OriginName string, DestinationName string, OriginState string, Cost double, FlowVolume double")
+    assert scenario.top_facilities(facts, "A").count() == 10 and scenario.top_facilities(facts, "A", None).count() == 45
+    assert scenario.geographic_spread(facts, "A").count() == 20 and scenario.geographic_spread(facts, "A", None).count() == 45
+    assert scenario.delta_by(facts, "OriginName", "Cost", "A", "B", None).count() == 90
+    cut = scenario.root_cause(facts, "A", "B")
+    every = scenario.root_cause(facts, "A", "B", {n: (c, m, None if n == "facility_cost" else top) for n, (c, m, top) in scenario.DIMENSIONS.items()})
+    count = lambda df: {r["dimension"]: r["count"] for r in df.groupBy("dimension").count().collect()}
+    assert count(cut) == {"facility_cost": 20, "facility_volume": 20, "destination": 15}
+    assert count(every) == {"facility_cost": 90, "facility_volume": 20, "destination": 15}
+    few = cut.where("dimension = 'facility_cost'").collect()
+    assert {tuple(r) for r in few} <= {tuple(r) for r in every.collect()}
+    shipped = spark.createDataFrame([(f"o{i}", f"d{i}") for i in range(200)], "origin_location_id string, destination_location_id string")
+    assert lanes.aggregate_lanes(shipped).count() == 150 and lanes.aggregate_lanes(shipped, top_n=None).count() == 200
