@@ -141,7 +141,12 @@ def latest_run(summary: DataFrame) -> DataFrame:
 
 def apply_review_decisions(gold: DataFrame, dataset: str, key: str, review: DataFrame, decisions: DataFrame) -> DataFrame:
     """Apply decisions on filled values: `replace` writes the corrected value, `reject` takes the fill
-    back, `approve` and `unresolved` leave it. `decisions`: record_id, field, decision, corrected_value."""
+    back, `approve` and `unresolved` leave it. `decisions`: record_id, field, decision, corrected_value, and
+    decided_at where a value can be decided on more than once: the last decision counts (of equal times, and without
+    the column, the greatest decision and value)."""
+    when = F.col("decided_at") if "decided_at" in decisions.columns else F.lit(None).cast("timestamp")
+    order = F.struct(when.alias("at"), "decision", "corrected_value")
+    decisions = decisions.groupBy("record_id", "field").agg(F.max(order).alias("d")).select("record_id", "field", "d.*")
     fields = [f for f in ("city", "state", "postal_code", "latitude", "longitude") if f in gold.columns]
     made = (
         review.where((F.col("dataset_name") == dataset) & F.col("applied"))

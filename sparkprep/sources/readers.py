@@ -25,13 +25,14 @@ def jdbc_options(
     url: str, query: str | None = None, table: str | None = None, partition_column: str | None = None,
     bounds: tuple[str, str] | None = None, partitions: int = 64, fetch_size: int = 10_000, **extra: str,
 ) -> dict[str, str]:
-    """Reader options: a query reads over one connection, a table over `partitions` ranges of a column."""
+    """Reader options. With a partition column, a table or query is read over `partitions` ranges of it; without
+    one, over one connection."""
     if (query is None) == (table is None):
         raise ValueError("give either a query or a table")
     options = {"url": url, "fetchsize": str(fetch_size), **extra}
-    if query is not None:
+    if query is not None and not partition_column:
         return {**options, "query": query}
-    options["dbtable"] = table
+    options["dbtable"] = table if query is None else f"({query}) q"
     if partition_column:
         low, high = bounds
         options |= {
