@@ -7,8 +7,9 @@ two sequences a few edits apart fall back into step, so the copies differ in few
 ROUNDS rounds of each of WALKS walks samples PLACES places of the copy as a bucket key; an item and a window with a key
 in common are compared by their exact edit distance.
 
-Only windows that share enough word pairs with an item are embedded: e edits change at most 2 e of its n - 1 pairs, so
-that loses nothing. Items come in blocks of at most `most_words` words, each a broadcast and a pass over the documents.
+Only windows that share enough word pairs with an item are embedded: e edits change at most 2 e of its n - 1 pairs, and
+as both sides are n words long, at most e / 2 are insertions, which is as far as the other pairs can move. So that loses
+nothing. Items come in blocks of at most `most_words` words, each a broadcast and a pass over the documents.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from sparkprep.llm.substrings import identified
 #: Of items 20 % apart, less than one in a thousand shares no key (tests measure it).
 WALKS, ROUNDS, PLACES = 8, 12, 3
 PAD = np.uint64(0x5851F42D4C957F2D)
-#: Windows that are embedded or compared at once.
-BATCH = 20_000
+#: Windows that are embedded or compared at once, and that a task gathers before it does so.
+BATCH, GATHER = 20_000, 60_000
 
 LEAKS = {"doc": pa.int64(), "tag": pa.int64(), "item": pa.int64(), "start": pa.int64(), "words": pa.int64(), "edits": pa.int64()}
 LEAKS_DDL = "doc long, tag long, item long, start long, words long, edits long"
@@ -42,13 +43,15 @@ def allowed(n: np.ndarray | int, percent: int) -> np.ndarray | int:
 def walk(rows: np.ndarray, number: int) -> np.ndarray:
     """The embedding of equally long rows of words."""
     n = rows.shape[1]
-    padded = np.concatenate((rows, np.full((len(rows), 1), PAD)), axis=1)
-    at, line = np.zeros(len(rows), np.int64), np.arange(len(rows))
+    padded = np.concatenate((rows, np.full((len(rows), 1), PAD)), axis=1).ravel()
+    line = np.arange(len(rows)) * (n + 1)
+    at, end = line.copy(), line + n
     out = np.empty((len(rows), 3 * n), np.uint64)
     for j in range(3 * n):
-        now = padded[line, at]
-        out[:, j] = now
-        at += (W.mix(now + np.array([(number * 1_000_003 + j + 1)], np.uint64) * W.BASE) >> np.uint64(63)).astype(np.int64) & (at < n)
+        if j % 64 == 0:  # a word's random bits for the next 64 steps
+            bits = W.mix(padded + np.array([number * 1_000_003 + j + 1], np.uint64) * W.BASE)
+        out[:, j] = padded[at]
+        at += (bits[at] >> np.uint64(j % 64) & np.uint64(1)).astype(np.int64) & (at < end)
     return out
 
 
@@ -102,14 +105,12 @@ class Index:
         long = self.size >= max(least, 2)
         self.edits = allowed(self.size, percent)
         self.least = np.maximum(self.size - 1 - 2 * self.edits, 1)
-        pairs, owner = [], []
-        for k in np.flatnonzero(long):
-            found = np.unique(W.run_hashes(self.rows[k], 2))
-            pairs.append(found)
-            owner.append(np.full(len(found), k))
-        pair = np.concatenate(pairs or [np.zeros(0, np.uint64)])
+        pairs = [(W.run_hashes(self.rows[k], 2), k) for k in np.flatnonzero(long)]
+        pair = np.concatenate([p for p, _ in pairs] or [np.zeros(0, np.uint64)])
         order = np.argsort(pair, kind="stable")
-        self.pair, self.owner = pair[order], np.concatenate(owner or [np.zeros(0, np.int64)])[order]
+        self.pair = pair[order]
+        self.owner = np.concatenate([np.full(len(p), k) for p, k in pairs] or [np.zeros(0, np.int64)])[order]
+        self.place = np.concatenate([np.arange(len(p)) for p, _ in pairs] or [np.zeros(0, np.int64)])[order]
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[(pair & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
         self.buckets = {}
@@ -126,20 +127,20 @@ class Index:
         at = at[owner[at] == owner[at + 1]]
         low, high = np.searchsorted(self.pair, runs[at], "left"), np.searchsorted(self.pair, runs[at], "right")
         count = high - low
-        hit = np.repeat(at, count)
-        item = self.owner[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
-        order = np.lexsort((hit, item, owner[hit]))
-        hit, item = hit[order], item[order]
-        last = np.arange(len(hit)) + self.least[item] - 1
-        ok = last < len(hit)
-        first = np.flatnonzero(ok)
-        last = last[ok]
-        same = (item[first] == item[last]) & (owner[hit[first]] == owner[hit[last]]) & (hit[last] - hit[first] <= self.size[item[first]] - 2)
-        first, last = first[same], last[same]
-        n = self.size[item[first]]
-        text = owner[hit[first]]
-        low = np.maximum(hit[last] + 2 - n, begins[text])
-        high = np.minimum(hit[first], begins[text + 1] - n)
+        which = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+        item, text = self.owner[which], np.repeat(owner[at], count)
+        line = np.repeat(at, count) - self.place[which]  # where the item would start
+        order = np.lexsort((line, item, text))
+        line, item, text = line[order], item[order], text[order]
+        last = np.arange(len(line)) + self.least[item] - 1
+        first = np.flatnonzero(last < len(line))
+        last = last[first]
+        moved = self.edits[item[first]] // 2
+        same = (item[first] == item[last]) & (text[first] == text[last]) & (line[last] - line[first] <= 2 * moved)
+        first, last, moved = first[same], last[same], moved[same]
+        n, text = self.size[item[first]], text[first]
+        low = np.maximum(line[last] - moved, begins[text])
+        high = np.minimum(line[first] + moved, begins[text + 1] - n)
         out = {}
         for size in np.unique(n).tolist():
             own = (n == size) & (low <= high)
@@ -149,34 +150,49 @@ class Index:
         return out
 
 
+def compared(index: Index, n: int, window: np.ndarray, docs: np.ndarray, tags: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Windows of n words that share a bucket with an item and are close enough to it."""
+    names, items = index.buckets[n]
+    for k in range(0, len(window), BATCH):
+        rows = window[k : k + BATCH]
+        of = keys(rows).ravel()
+        low, high = np.searchsorted(names, of, "left"), np.searchsorted(names, of, "right")
+        count = high - low
+        which = np.repeat(np.arange(len(of)) // (WALKS * ROUNDS), count)
+        item = items[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        pair = np.unique(which * len(index.items) + item)
+        which, item = pair // len(index.items), pair % len(index.items)
+        for a in range(0, len(pair), BATCH):
+            w, i = which[a : a + BATCH], item[a : a + BATCH]
+            most = int(index.edits[i[0]])
+            edits = distances(rows[w], np.stack([index.rows[x] for x in i]), most)
+            good = edits <= most
+            at = k + w[good]
+            yield table(LEAKS, docs[at], tags[at], index.items[i[good]], starts[at], np.full(len(at), n), edits[good])
+
+
 def leaks(batches: Iterator[pa.RecordBatch], shared: object) -> Iterator[pa.RecordBatch]:
     index = shared.value
+    held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+    size = 0
     for batch in batches:
         docs, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tag"))
         numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column("text")], names=["row", "text"])
         for rows, offsets, data in W.chunks(numbered, "row"):
             starts, ends, begins = W.bounds(offsets, data)
             words, owner = W.span_hashes(data, starts, ends, lower=True), W.owners(begins)
-            for n, all_starts in index.windows(words, begins, owner).items():
-                names, items = index.buckets[n]
-                for k in range(0, len(all_starts), BATCH):
-                    own = all_starts[k : k + BATCH]
-                    window = words[own[:, None] + np.arange(n)]
-                    of = keys(window).ravel()
-                    low, high = np.searchsorted(names, of, "left"), np.searchsorted(names, of, "right")
-                    count = high - low
-                    which = np.repeat(np.arange(len(of)) // (WALKS * ROUNDS), count)
-                    item = items[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
-                    pair = np.unique(which * len(index.items) + item)
-                    which, item = pair // len(index.items), pair % len(index.items)
-                    for a in range(0, len(pair), BATCH):
-                        w, i = which[a : a + BATCH], item[a : a + BATCH]
-                        most = int(index.edits[i[0]])
-                        edits = distances(window[w], np.stack([index.rows[x] for x in i]), most)
-                        good = edits <= most
-                        if good.any():
-                            text = owner[own[w[good]]]
-                            yield table(LEAKS, docs[rows[text]], tags[rows[text]], index.items[i[good]], own[w[good]] - begins[text], np.full(int(good.sum()), n), edits[good])
+            for n, at in index.windows(words, begins, owner).items():
+                for k in range(0, len(at), BATCH):
+                    own = at[k : k + BATCH]
+                    text = owner[own]
+                    held.setdefault(n, []).append((words[own[:, None] + np.arange(n)], docs[rows[text]], tags[rows[text]], own - begins[text]))
+                    size += len(own)
+                    if size >= GATHER:
+                        for m, parts in held.items():
+                            yield from compared(index, m, *(np.concatenate(x) for x in zip(*parts, strict=True)))
+                        held, size = {}, 0
+    for m, parts in held.items():
+        yield from compared(index, m, *(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, percent: int = 20, least: int = 5, most_words: int = 4_000_000, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
