@@ -11,6 +11,8 @@ lines travel only where a pair needs them, and removed lines come back to their
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,16 +84,19 @@ def distance_within(pairs: DataFrame, edits: int, a: str = "a_line", b: str = "b
     run = f"aggregate(sequence(1, cast(lb AS int)), {words}, (s, j) -> {step}, s -> s.d)"
     near = f"CASE WHEN la = 0 OR lb = 0 THEN la + lb WHEN abs(la - lb) > {edits} THEN {edits + 1} ELSE {run} END"
     names = [c for c in pairs.columns if c not in ("la", "lb", "left_same", "right_same", f"{a}_chars", f"{b}_chars")]
-    return pairs.withColumn("found", F.expr(near)).select(*names, F.expr(f"IF(found <= {edits}, cast(found AS int), NULL)").alias("edits"))
+    # explode keeps later filters from being evaluated together with the columns above, once for each use
+    found = pairs.select(*names, F.explode(F.array(F.expr(near))).alias("found"))
+    return found.select(*names, F.expr(f"IF(found <= {edits}, cast(found AS int), NULL)").alias("edits"))
 
 
 def asked_for(ids: DataFrame) -> str:
     """A condition, as SQL on `id`, that holds for all the ids, and for few others as long as they are few."""
     bits = ids.selectExpr(f"pmod(id, {ASKED}) AS bit").groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("bits"))
-    rows = bits.collect()
-    words = ids.sparkSession.createDataFrame([([(r.word, r.bits) for r in rows],)], "bits array<struct<word: bigint, bits: bigint>>")
-    full = words.selectExpr(f"map_from_entries(bits) AS m").selectExpr(f"transform(sequence(0L, {ASKED // 64 - 1}L), w -> coalesce(m[w], 0L)) AS bits")
-    view = f"asked_{abs(hash(full.semanticHash()))}"
+    words = [0] * (ASKED // 64)
+    for r in bits.collect():
+        words[r.word] = r.bits
+    full = ids.sparkSession.createDataFrame([(words,)], "bits array<bigint>")
+    view = f"asked_{uuid.uuid4().hex}"
     full.createOrReplaceTempView(view)
     return f"shiftright(get((SELECT bits FROM {view}), cast(pmod(id, {ASKED}) div 64 AS int)), cast(pmod(id, {ASKED}) % 64 AS int)) & 1L = 1L"
 
