@@ -61,7 +61,7 @@ def disclosing(docs: DataFrame, disclosure: float, support: int) -> DataFrame:
     any_form = "|".join(f"(?:{p})" for p in WHEN.values())
     texts = docs.select("tag", "text")
     rows = texts.where(F.col("text").rlike(any_form)).select("tag", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(any_form))
-    rows = rows.select("tag", "line", entities(F.col("line")).alias("entities")).where("size(entities) > 0")
+    rows = rows.select("tag", "line", entities(F.col("line")).alias("entities"))
     words = F.array_distinct(F.filter(F.split(F.lower("line"), r"[\x20\x09-\x0D]+"), lambda w: w.rlike(r"\p{L}") & ~w.contains("@")))
     rows = rows.select("tag", F.xxhash64("line").alias("at"), "entities", words.alias("words"))
     pairs = rows.select("tag", "at", F.explode("entities").alias("entity"), "words")

@@ -21,11 +21,16 @@ def matches(text: Column, pattern: str, when: str | None = None, group: int = 0)
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("long"))
-    own = F.transform(found, lambda x: F.length(x).cast("long"))
-    ends = F.slice(running(F.zip_with(F.slice(between, 1, F.size(found)), own, lambda b, m: b + m)), F.lit(2), F.size(found))
-    rows = F.zip_with(F.arrays_zip(ends.alias("end"), found.alias("match")), parts, lambda x, p: F.struct((x["end"] - F.length(x["match"])).alias("start"), x["end"].alias("end"), x["match"].alias("match"), p.alias("part")))
-    return F.when(text.rlike(when or pattern), rows).otherwise(F.expr(EMPTY))
+    once = F.struct(found.alias("found"), parts.alias("parts"), F.split(text, pattern, -1).alias("between"))
+
+    def rows(x: Column) -> Column:
+        size = F.size(x["found"])
+        steps = F.zip_with(F.slice(x["between"], 1, size), x["found"], lambda b, m: (F.length(b) + F.length(m)).cast("long"))
+        ends = F.slice(running(steps), F.lit(2), size)
+        both = F.arrays_zip(ends.alias("end"), x["found"].alias("match"))
+        return F.zip_with(both, x["parts"], lambda y, p: F.struct((y["end"] - F.length(y["match"])).alias("start"), y["end"].alias("end"), y["match"].alias("match"), p.alias("part")))
+
+    return F.when(text.rlike(when or pattern), F.transform(F.array(once), rows)[0]).otherwise(F.expr(EMPTY))
 
 
 def named(spans: Column, kind: str, order: int) -> Column:
