@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkprep.llm import decontaminate, lines, minhash, ngrams, pieces, pii, rules, secret_scan, spans, substrings, suffixes
+from sparkprep.llm.oracles import ORACLE  # noqa: F401
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +83,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_lm_scoring,
     )
 }
-ORACLE: dict[str, str] = {}
