@@ -19,7 +19,6 @@ CITIES = [
 ]
 
 _LINE_ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax"
-_PRODUCTION_ORDER = "l_orderkey, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax"
 
 # dataset -> (FROM clause, {column: expression}); valid in Spark SQL and DuckDB
 _VIEWS: dict[str, tuple[str, dict[str, str]]] = {
@@ -109,9 +108,9 @@ _VIEWS: dict[str, tuple[str, dict[str, str]]] = {
         "CostType": "CASE l_returnflag WHEN 'A' THEN 'Freight' WHEN 'R' THEN 'FuelSurcharge' ELSE 'Handling' END",
         "CarrierVendor": "'VEND-' || lpad(CAST(l_suppkey AS STRING), 6, '0')",
     }),
-    "production_history": ("lineitem WHERE l_linenumber = 1", {
-        "_row_ord": _PRODUCTION_ORDER,
-        "ProdRecID": "'PROD-' || lpad(CAST(l_orderkey AS STRING), 7, '0')",
+    "production_history": ("lineitem", {
+        "_row_ord": _LINE_ORDER,
+        "ProdRecID": "'PROD-' || lpad(CAST(l_orderkey AS STRING), 7, '0') || '-' || CAST(l_linenumber AS STRING)",
         "PlantLoc": "'LOC-' || lpad(CAST(l_suppkey % 26 AS STRING), 3, '0')",
         "Item": "'SKU-' || lpad(CAST(l_partkey AS STRING), 6, '0')",
         "ProdDate": "CASE WHEN l_orderkey % 61 = 0 THEN 'not a date' ELSE CAST(CAST(l_shipdate AS DATE) AS STRING) END",
@@ -206,10 +205,8 @@ def _source(spark: SparkSession, sf_dir: str, dataset: str) -> DataFrame:
     lines = base(spark, sf_dir, "lineitem") if dataset != "inventory_history" and dataset != "product_master" else None
     if dataset == "shipment_history":
         return lines.join(base(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    if dataset == "shipment_cost":
+    if dataset in ("shipment_cost", "production_history"):
         return lines
-    if dataset == "production_history":
-        return lines.where("l_linenumber = 1")
     return base(spark, sf_dir, "part" if dataset == "product_master" else "events")
 
 
