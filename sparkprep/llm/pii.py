@@ -5,7 +5,7 @@ term of an entity if both occur in a line. How much a term reveals is its pointw
 
     PMI(t; e) = log(N * co(t, e) / (df(t) * n(e)))
 
-with counts of different documents over the whole corpus. Nothing can reveal more than the information of the entity,
+with counts of documents over the whole corpus. Nothing can reveal more than the information of the entity,
 log(N / n(e)); a term that reveals at least `disclosure` of it, and does so in `support` different lines or more, is a
 span too. (In one line alone every rare word seems to reveal everything.) Sanitising puts a generalisation, the kind, in
 the place of a span.
@@ -57,25 +57,24 @@ def entities(line: Column) -> Column:
 
 
 def disclosing(docs: DataFrame, disclosure: float, support: int) -> DataFrame:
-    """(entity, word, co, df, n) of the terms above the threshold, from rows (tag, text)."""
+    """(entity, word, co, df, n) of the terms above the threshold, from rows with a text."""
     any_form = "|".join(f"(?:{p})" for p in WHEN.values())
-    texts = docs.select("tag", "text")
-    rows = texts.where(F.col("text").rlike(any_form)).select("tag", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(any_form))
-    rows = rows.select("tag", "line", entities(F.col("line")).alias("entities"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), "text")
+    rows = texts.where(F.col("text").rlike(any_form)).select("row", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(any_form))
+    rows = rows.select("row", "line", entities(F.col("line")).alias("entities"))
     words = F.array_distinct(F.filter(F.split(F.lower("line"), r"[\x20\x09-\x0D]+"), lambda w: w.rlike(r"\p{L}") & ~w.contains("@")))
-    rows = rows.select("tag", F.xxhash64("line").alias("at"), "entities", words.alias("words"))
-    pairs = rows.select("tag", "at", F.explode("entities").alias("entity"), "words")
+    pairs = rows.select("row", F.xxhash64("line").alias("at"), F.explode("entities").alias("entity"), words.alias("words"))
     # only entities of several lines can have terms of several lines
-    often = pairs.groupBy("entity").agg(F.countDistinct("at").alias("lines"), F.countDistinct("tag").alias("n")).where(f"lines >= {support}").select("entity", "n")
-    terms = pairs.join(often, "entity").select("entity", "n", "tag", "at", F.explode("words").alias("word"))
-    terms = terms.groupBy("entity", "n", "word").agg(F.countDistinct("at").alias("lines"), F.countDistinct("tag").alias("co")).where(f"lines >= {support}")
+    often = pairs.groupBy("entity").agg(F.countDistinct("at").alias("lines"), F.countDistinct("row").alias("n")).where(f"lines >= {support}").select("entity", "n")
+    terms = pairs.join(often, "entity").select("entity", "n", "row", "at", F.explode("words").alias("word"))
+    terms = terms.groupBy("entity", "n", "word").agg(F.countDistinct("at").alias("lines"), F.countDistinct("row").alias("co")).where(f"lines >= {support}")
     terms = cut(terms.withColumn("id", F.xxhash64("word")))
-    asked = texts.select("tag", F.explode(F.array_distinct(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"))).alias("word")).withColumn("id", F.xxhash64("word")).where(asked_for(terms.select("id").distinct()))
-    df = asked.groupBy("word").agg(F.countDistinct("tag").alias("df"))
-    total = texts.select("tag").distinct().agg(F.count("*").alias("total"))
+    # a text has each word once, so counts add up before the shuffle
+    asked = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"))).alias("word")).withColumn("id", F.xxhash64("word")).where(asked_for(terms.select("id").distinct()))
+    df = asked.groupBy("word").agg(F.count("*").alias("df"))
+    total = texts.agg(F.count("*").alias("total"))
     found = terms.join(df, "word").join(F.broadcast(total))
-    information = "log(total / n)"
-    return found.where(f"log(total * co / (df * n)) >= {disclosure} * {information} AND n < total").select("entity", "word", "co", "df", "n")
+    return found.where(f"log(total * co / (df * n)) >= {disclosure} * log(total / n) AND n < total").select("entity", "word", "co", "df", "n")
 
 
 def find_personal_data(docs: DataFrame, disclosure: float = 0.9, support: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -85,8 +84,8 @@ def find_personal_data(docs: DataFrame, disclosure: float = 0.9, support: int =
     with their entity. Each kind's matches are leftmost and do not overlap; different kinds may. sanitised is the text
     with <KIND> in the place of the spans; where spans overlap, the one that starts first wins, then the kind in order.
 
-    A null text is empty. Counts are of different texts, so repeated rows count once; each gets the same answer. Null
-    keys are keys like others. Other columns are not read.
+    A null text is empty. Repeated rows count as often as they occur and get the same answer. Null keys are keys like
+    others. Other columns are not read.
     """
     docs = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumns({"doc": F.xxhash64("doc_id"), "tag": F.xxhash64("text")})
     forms = known_forms(F.col("text"))
