@@ -81,6 +81,8 @@ def distance_within(pairs: DataFrame, edits: int, a: str = "a_line", b: str = "b
     with_match = f"transform(array({match}), m -> named_struct('vp', s.vp, 'vn', s.vn, 'd', s.d, 'd0', ((((m & s.vp) + s.vp) ^ s.vp) | m | s.vn) & {full}L))[0]"
     with_rows = f"transform(array({with_match}), y -> named_struct('d', y.d, 'd0', y.d0, 'hp', (y.vn | ~(y.d0 | y.vp)) & {full}L, 'hn', y.d0 & y.vp))[0]"
     step = f"transform(array({with_rows}), x -> named_struct('vp', (x.hn | ~(shiftright(x.d0, 1) | x.hp)) & {full}L, 'vn', shiftright(x.d0, 1) & x.hp, 'd', x.d + {change}))[0]"
+    # what is left can take back as much as the band is wide; beyond that the pair is too far apart
+    step = f"IF(s.d > {2 * edits} + lb - la, s, {step})"
     run = f"aggregate(sequence(1, cast(lb AS int)), {words}, (s, j) -> {step}, s -> s.d)"
     near = f"CASE WHEN la = 0 OR lb = 0 THEN la + lb WHEN abs(la - lb) > {edits} THEN {edits + 1} ELSE {run} END"
     names = [c for c in pairs.columns if c not in ("la", "lb", "left_same", "right_same", f"{a}_chars", f"{b}_chars")]
