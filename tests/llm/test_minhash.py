@@ -56,7 +56,7 @@ def test_matches_brute_force(docs, monkeypatch, small):
     rows = [(k, t) for k, t in AWKWARD if k is not None] + [(k, t) for k, t in invented(150, words=4000)] + near_copies(70) + [(3000, "ONE two Three"), (3001, "one TWO three"), (3002, "one two")]
     expected = brute(rows)
     assert answers(minhash.near_duplicates(docs(rows))) == expected
-    assert sum(not v[2] for v in expected.values()) > 50
+    assert sum(not v[2] for v in expected.values()) > 30
 
 
 def test_estimates_do_not_rule_out_similar_sets():
