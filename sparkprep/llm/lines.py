@@ -2,7 +2,7 @@
 
 Every different line is cut into `edits` + 1 segments. Two lines within that many edits share a segment, at a place
 that the lengths and the segment's number bound; so each line probes the index of segments (length, number, content)
-with the few substrings that can match. Pairs found that way are verified with a banded bit-parallel edit distance
+with the few substrings that can match. Pairs found that way, whose letter counts allow it, are verified with a banded bit-parallel edit distance
 (Myers' algorithm on a band of 2 * edits + 1 bits) between the first and the last character that differ.
 
 All of it is DataFrame functions: equal lines are reduced to their first place before any shuffle of their own, texts of
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from sparkprep.llm.frames import cut
 
 NO_ID = 2**63 - 1
+#: Letters whose numbers two lines must have nearly in common; an edit changes at most two of them by one.
+LETTERS = "etaonirs"
 #: Bits of the filter that tells which lines' texts are asked for.
 ASKED = 1 << 22
 
@@ -103,12 +105,25 @@ def asked_for(ids: DataFrame) -> str:
     return f"shiftright(get((SELECT bits FROM {view}), cast(pmod(id, {ASKED}) div 64 AS int)), cast(pmod(id, {ASKED}) % 64 AS int)) & 1L = 1L"
 
 
+def letter_counts() -> Column:
+    """How often each of LETTERS is in a line, modulo 256, in a byte each."""
+    counts = [f"shiftleft(cast((chars - length(replace(line, '{c}', ''))) & 255 AS bigint), {8 * k})" for k, c in enumerate(LETTERS)]
+    return F.expr(" | ".join(counts))
+
+
+def alike(a: str, b: str, edits: int) -> str:
+    """Whether letter counts allow that few edits, as SQL."""
+    steps = [f"abs((shiftright({a}, {8 * k}) & 255) - (shiftright({b}, {8 * k}) & 255))" for k in range(len(LETTERS))]
+    return f"{' + '.join(f'least({x}, 256 - {x})' for x in steps)} <= {2 * edits}"
+
+
 def links(lines: DataFrame, edits: int, least: int) -> DataFrame:
     """Pairs (a, b) of different lines of at least `least` characters, by id, that are within `edits` edits."""
     long = lines.where(f"chars >= {least}")
-    index = long.select("id", F.explode(index_keys(edits)).alias("key")).distinct()
-    probe = long.select(F.col("id").alias("other"), F.explode(probe_keys(edits)).alias("key")).distinct()
-    pairs = index.join(probe, "key").where("id <> other").selectExpr("least(id, other) AS a", "greatest(id, other) AS b").distinct()
+    counted = long.withColumn("letters", letter_counts())
+    index = counted.select("id", "letters", F.explode(index_keys(edits)).alias("key")).distinct()
+    probe = counted.select(F.col("id").alias("other"), F.col("letters").alias("other_letters"), F.explode(probe_keys(edits)).alias("key")).distinct()
+    pairs = index.join(probe, "key").where("id <> other").where(alike("letters", "other_letters", edits)).selectExpr("least(id, other) AS a", "greatest(id, other) AS b").distinct()
     pairs = cut(pairs)
     ids = pairs.selectExpr("a AS id").unionByName(pairs.selectExpr("b AS id")).distinct()
     texts = long.where(asked_for(ids)).groupBy("id").agg(F.min("line").alias("line"))
