@@ -7,7 +7,7 @@ the full sets decide. Equal sets are one class from the start, so copies never m
 
 In a band, up to SMALL classes are paired directly. A larger group first proposes only a spanning forest by
 estimate; once these links are confirmed, pairs are only proposed between different components. No link between
-components can get lost that way, and no group is expanded into all its pairs. A group's task holds a kilobyte a class.
+components can get lost that way, and no group is expanded into all its pairs. A group's task holds 512 bytes a class.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from sparkprep.llm import words as W
 from sparkprep.llm.frames import binary, columns, components, cut, groups, matrix, table
 
-#: 2**9 registers of 6 + 10 bits; 42 bands of 6 of them. At a similarity of 0.85 a pair shares no band once in 10**9.
-REGISTER_BITS, MANTISSA = 9, 10
+#: 2**8 registers of 6 + 10 bits; 42 bands of 6 of them. At a similarity of 0.85 a pair shares no band once in 10**9.
+REGISTER_BITS, MANTISSA = 8, 10
 REGISTERS = 1 << REGISTER_BITS
 BAND, BANDS_USED = 6, 42
 SMALL, BLOCK = 16, 1024
@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, key: str
     component of rows with its set, but names none and links none: without them its component_id is null and it is kept. Other columns are not read.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = cut(docs.mapInArrow(partial(signature, words=words), "doc_id long, node long, n_shingles long, sketch binary"))
+    signed = docs.mapInArrow(partial(signature, words=words), "doc_id long, node long, n_shingles long, sketch binary")
     classes = cut(signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n")))
     proposed = cut(classes.select("node", "sketch").mapInArrow(bands, "key long, node long").repartition("key").sortWithinPartitions("key", "node").mapInArrow(pair_up, "key long, a long, b long"))
     sketch = classes.select("node", "n", "sketch")
