@@ -2,7 +2,7 @@ import random
 import re
 
 import numpy as np
-from made_corpus import AWKWARD
+from made_corpus import AWKWARD, docs  # noqa: F401
 
 from sparkprep.llm import decontaminate
 

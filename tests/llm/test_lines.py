@@ -1,7 +1,7 @@
 import random
 import re
 
-from made_corpus import AWKWARD
+from made_corpus import AWKWARD, docs  # noqa: F401
 
 from sparkprep.llm import lines
 

@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 import pytest
-from made_corpus import AWKWARD, invented
+from made_corpus import AWKWARD, docs, invented  # noqa: F401
 
 from sparkprep.llm import minhash
 

@@ -1,6 +1,6 @@
 import re
 
-from made_corpus import AWKWARD, invented
+from made_corpus import AWKWARD, docs, invented  # noqa: F401
 
 from sparkprep.llm import substrings, suffixes
 
