@@ -117,7 +117,7 @@ def links(lines: DataFrame, edits: int, least: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, edits: int = 2, least: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_lines, n_removed, n_near, kept_text) of each row.
+    """(doc_id, tag, n_lines, n_removed, n_near, kept_text) of each row; tag is the hash of its text, a null one as empty.
 
     Removes each line that equals a line further up in the corpus (a smaller key, or the same text), or is within
     `edits` edits of it, if both have `least` characters or more. Lines are the parts between line feeds and are judged
@@ -129,7 +129,7 @@ def remove_repeats(docs: DataFrame, edits: int = 2, least: int = 20, key: str =
     """
     if least < (edits + 1) * (edits + 1):
         raise ValueError("segments must be longer than the number of edits")
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumns({"doc": F.coalesce("doc_id", F.lit(NO_ID)), "tag": F.xxhash64("text")})
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumns({"doc": F.coalesce("doc_id", F.lit(NO_ID)), "tag": F.xxhash64(F.coalesce("text", F.lit("")))})
     lines = docs.select("doc", "tag", F.posexplode(F.split("text", "\n")).alias("no", "line")).where("line RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
     lines = lines.select("doc", "tag", "no", "line", F.xxhash64("line").alias("id"), F.length("line").alias("chars"))
     first = lines.groupBy("id").agg(F.min(F.struct("doc", "tag", "no")).alias("first"))
@@ -143,6 +143,7 @@ def remove_repeats(docs: DataFrame, edits: int = 2, least: int = 20, key: str =
     kept = F.expr("array_join(filter(lines, (x, i) -> NOT array_contains(gone, i)), '\n')")
     return out.select(
         "doc_id",
+        "tag",
         F.expr("coalesce(size(filter(lines, x -> x RLIKE '[^\\\\x20\\\\x09-\\\\x0D]')), 0)").cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.size("close"), F.lit(0)).cast("long").alias("n_near"),

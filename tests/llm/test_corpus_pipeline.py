@@ -60,3 +60,29 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     assert {r.doc_id: r.text for r in docs.collect()} == expected
     assert all(r.n_chars == len(r.text) for r in docs.collect())
+
+
+def test_null_repeated_and_clashing_ids(spark, tmp_path):
+    rng = random.Random(21)
+    line = lambda n: " ".join("".join(rng.choice("abcdefghilmnorstu") for _ in range(7)) for _ in range(n))
+    table = lambda rows: spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    order = lambda rows: sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    run = lambda stage, rows: order((r.doc_id, r.text) for r in stage(spark, table(rows), str(tmp_path)).collect())
+
+    a, b, c, d, e, f, g = (line(8) for _ in range(7))
+    found = run(corpus_pipeline.line_dedup, [(1, g), (None, f"{a}\n{b}\n{g}"), (None, f"{b}\n{c}"), (5, f"{d}\n{e}"), (5, f"{d}\n{f}"), (6, f"{e}\n{c}")])
+    assert sorted(x for _, t in found for x in t.split("\n")) == sorted([a, b, c, d, e, f, g])
+    assert [k for k, _ in found] == [1, 5, 5, 6, None]
+    assert {c, f, e, d} == {x for k, t in found if k in (5, 6) for x in t.split("\n")}
+
+    one, two, clean, other = (line(120) for _ in range(4))
+    edited = lambda t: t + " " + line(2)
+    found = run(corpus_pipeline.near_dedup, [(None, one), (None, edited(one)), (None, other), (7, two), (7, clean), (8, edited(two)), (9, g), (9, g), (None, f), (None, f), (None, edited(clean))])
+    assert [k for k, _ in found] == [7, 7, 9, None, None, None]
+    assert {(7, two), (7, clean), (9, g), (None, other), (None, f)} < set(found)
+
+    item = line(20)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    leak = lambda: line(9) + " " + item + " " + line(4)
+    found = run(corpus_pipeline.decontamination, [(None, one), (None, leak()), (3, two), (3, leak()), (4, g), (4, g)])
+    assert found == order([(None, one), (3, two), (4, g), (4, g)])
