@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from sparkprep.llm import words as W
 from sparkprep.llm.frames import binary, columns, components, cut, groups, matrix, table
 
-#: 2**8 registers of 6 + 10 bits; 42 bands of 6 of them. At a similarity of 0.85 a pair shares no band once in 10**9.
+#: 2**8 registers of 6 + 10 bits; 42 bands of 6 of them. At a similarity of 0.85 a pair shares no band
+#: twice in 10**9, at 0.8 three times in 10**6.
 REGISTER_BITS, MANTISSA = 8, 10
 REGISTERS = 1 << REGISTER_BITS
 BAND, BANDS_USED = 6, 42

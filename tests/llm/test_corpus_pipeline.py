@@ -86,3 +86,19 @@ def test_null_repeated_and_clashing_ids(spark, tmp_path):
     leak = lambda: line(9) + " " + item + " " + line(4)
     found = run(corpus_pipeline.decontamination, [(None, one), (None, leak()), (3, two), (3, leak()), (4, g), (4, g)])
     assert found == order([(None, one), (3, two), (4, g), (4, g)])
+
+
+def test_near_copies_from_four_fifths_on_go(spark, tmp_path):
+    rng = random.Random(22)
+    rows = []
+    for k in range(12):
+        own = ["".join(rng.choice("abcdefghilmnorstu") for _ in range(7)) for _ in range(120)]
+        rows.append((10 * k, " ".join(own)))
+        other = list(own)
+        for at in range(1 + k % 3):  # similarities of 0.92, 0.84 and 0.77
+            other[20 + 30 * at] = "changed"
+        rows.append((10 * k + 1, " ".join(other)))
+    table = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near, nearer = test_minhash.brute(rows, 80), test_minhash.brute(rows, 85)
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, table, str(tmp_path)).collect()} == {k for k in near if near[k][2]}
+    assert [k for k in near if near[k][2]] != [k for k in nearer if nearer[k][2]]
