@@ -219,6 +219,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, percent: int = 20, least: int
     found = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], LEAKS_DDL)
     best = found.groupBy("doc", "tag", "item").agg(F.min(F.struct("edits", "start", "words")).alias("b"))
     spans = best.groupBy("doc", "tag").agg(F.sort_array(F.collect_list(F.struct("item", "b.start", "b.words", "b.edits"))).alias("spans"))
-    out = docs.select("id", "doc", "tag", F.xxhash64("text").alias("hash")).join(spans, ["doc", "tag"], "left")
+    out = docs.select("id", "doc", "tag").join(spans, ["doc", "tag"], "left")
     spans = F.coalesce("spans", F.expr("cast(array() AS array<struct<item: bigint, start: bigint, words: bigint, edits: bigint>>)"))
-    return out.select(F.col("id").alias("doc_id"), F.col("hash").alias("tag"), (F.size(spans) > 0).alias("contaminated"), F.size(spans).cast("long").alias("n_items"), spans["item"].alias("items"), spans.alias("spans"))
+    return out.select(F.col("id").alias("doc_id"), "tag", (F.size(spans) > 0).alias("contaminated"), F.size(spans).cast("long").alias("n_items"), spans["item"].alias("items"), spans.alias("spans"))

@@ -30,20 +30,17 @@ GRAM = 6
 ROWS = 2_000_000
 #: An anchor is hot with 1/HOT of a sample's blocks; so there are at most HOT.
 HOT, SAMPLE, SAMPLE_LEAST = 4096, 0.02, 200
-#: Bits of a place that hold the position; the bits above tell texts under one doc_id apart.
-PLACE = 39
 NO_ID = 2**63 - 1
 
-BLOCKS = {"part": pa.int32(), "block": pa.int64(), "doc": pa.int64(), "place": pa.int64(), "n": pa.int32(), "kind": pa.int8(), "ref_doc": pa.int64(), "ref_place": pa.int64()}
-BLOCKS_DDL = "part int, block long, doc long, place long, n int, kind byte, ref_doc long, ref_place long"
+BLOCKS = {"part": pa.int32(), "block": pa.int64(), "doc": pa.int64(), "tag": pa.int64(), "place": pa.int64(), "n": pa.int32(), "kind": pa.int8(), "ref_doc": pa.int64(), "ref_tag": pa.int64(), "ref_place": pa.int64()}
+BLOCKS_DDL = "part int, block long, doc long, tag long, place long, n int, kind byte, ref_doc long, ref_tag long, ref_place long"
 #: Kinds of block: compared by anchor, dealt by block, known copy; of a found row: copy, border.
 PLAIN, SPREAD, COPY, BORDER = 0, 1, 2, 3
 
 
 def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, doc, tag, text): doc orders the rows, null last; tag tells different texts under one id apart."""
-    tag = F.expr(f"xxhash64(text) & {(1 << 62 - PLACE) - 1}")
-    return docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("id", F.coalesce("id", F.lit(NO_ID)).alias("doc"), tag.alias("tag"), "text")
+    """(id, doc, tag, text): doc orders the rows, null last; tag, the hash of the text, tells texts under one id apart."""
+    return docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("id", F.coalesce("id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("tag"), "text")
 
 
 def least(values: np.ndarray, width: int) -> np.ndarray:
@@ -59,20 +56,20 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
 
 def reduced(rows: list[tuple[np.ndarray, ...]], hot: np.ndarray) -> pa.RecordBatch:
     """The first of equal blocks, and the others as copies of it."""
-    anchor, block, doc, place, n = (np.concatenate(x) for x in zip(*rows, strict=True))
-    order = np.lexsort((place, doc, block))
-    anchor, block, doc, place, n = (x[order] for x in (anchor, block, doc, place, n))
+    anchor, block, doc, tag, place, n = (np.concatenate(x) for x in zip(*rows, strict=True))
+    order = np.lexsort((place, tag, doc, block))
+    anchor, block, doc, tag, place, n = (x[order] for x in (anchor, block, doc, tag, place, n))
     new = np.ones(len(block), bool)
     new[1:] = block[1:] != block[:-1]
     ref = np.maximum.accumulate(np.where(new, np.arange(len(block)), 0))
-    same = (doc == doc[ref]) & (place == place[ref])
+    same = (doc == doc[ref]) & (tag == tag[ref]) & (place == place[ref])
     spread = np.isin((anchor >> np.uint64(32)).astype(np.uint32).view(np.int32), hot)
     kind = np.where(new, np.where(spread, SPREAD, PLAIN), COPY).astype(np.int8)
-    part = np.where(kind == PLAIN, anchor, W.mix((block + place.view(np.uint64)) * W.BASE if len(block) else block))
+    part = np.where(kind == PLAIN, anchor, W.mix((block + tag.view(np.uint64) + place.view(np.uint64)) * W.BASE if len(block) else block))
     part = np.where(kind == SPREAD, W.mix(block), part)
     keep = new | ~same
-    refs = [pa.array(x[ref][keep], pa.int64(), mask=new[keep]) for x in (doc, place)]
-    return table(BLOCKS, (part[keep] >> np.uint64(32)).astype(np.uint32).view(np.int32), W.signed(block[keep]), doc[keep], place[keep], n[keep], kind[keep], *refs)
+    refs = [pa.array(x[ref][keep], pa.int64(), mask=new[keep]) for x in (doc, tag, place)]
+    return table(BLOCKS, (part[keep] >> np.uint64(32)).astype(np.uint32).view(np.int32), W.signed(block[keep]), doc[keep], tag[keep], place[keep], n[keep], kind[keep], *refs)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], window: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -99,8 +96,8 @@ def blocks(batches: Iterator[pa.RecordBatch], window: int, hot: np.ndarray) -> I
             block = W.mix(W.runs_between(sums, first, count + window - 1) + (at[first] - first).astype(np.uint64) * W.BASE)
             doc = np.array([docs[k] for k in keys], np.int64)[owner[first]]
             tag = np.array([tags[k] for k in keys], np.int64)[owner[first]]
-            place = tag << PLACE | (first - begins[owner[first]])
-            rows.append((grams[at[first]], block, doc, place, count.astype(np.int32)))
+            place = first - begins[owner[first]]
+            rows.append((grams[at[first]], block, doc, tag, place, count.astype(np.int32)))
             size += len(first)
             if size >= ROWS:
                 yield reduced(rows, hot)
@@ -109,26 +106,26 @@ def blocks(batches: Iterator[pa.RecordBatch], window: int, hot: np.ndarray) -> I
         yield reduced(rows, hot)
 
 
-FOUND = {"doc": pa.int64(), "place": pa.int64(), "n": pa.int32(), "kind": pa.int8(), "ref_doc": pa.int64(), "ref_place": pa.int64()}
-FOUND_DDL = "doc long, place long, n int, kind byte, ref_doc long, ref_place long"
+FOUND = {"doc": pa.int64(), "tag": pa.int64(), "place": pa.int64(), "n": pa.int32(), "kind": pa.int8(), "ref_doc": pa.int64(), "ref_tag": pa.int64(), "ref_place": pa.int64()}
+FOUND_DDL = "doc long, tag long, place long, n int, kind byte, ref_doc long, ref_tag long, ref_place long"
 
 
 def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of blocks sorted by part, block, doc and place: copies with their source, and the borders.
+    """Of blocks sorted by part, block, doc, tag and place: copies with their source, and the borders.
 
     A border is the first of a block whose anchor has other blocks too. Kept between batches: the last row, the
     source of its block, and the first row of its anchor until that is known to be a border.
     """
-    last, source, waiting = (None, None), (0, 0), None
+    last, source, waiting = (None, None), (0, 0, 0), None
     for batch in batches:
-        part, block, doc, place, n, kind, *refs = columns(batch, *BLOCKS)
+        part, block, doc, tag, place, n, kind, *refs = columns(batch, *BLOCKS)
         if not len(part):
             continue
         copies = kind == COPY
         if copies.any():
             known = batch.filter(pa.array(copies))
             yield known.select(list(FOUND))
-        part, block, doc, place, n, kind = (x[~copies] for x in (part, block, doc, place, n, kind))
+        part, block, doc, tag, place, n, kind = (x[~copies] for x in (part, block, doc, tag, place, n, kind))
         if not len(part):
             continue
         new_part, new_block = np.ones(len(part), bool), np.ones(len(part), bool)
@@ -137,25 +134,25 @@ def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new_part[0] = part[0] != last[0]
         new_block[0] = new_part[0] or block[0] != last[1]
         ref = np.maximum.accumulate(np.where(new_block, np.arange(len(part)), -1))
-        ref_doc, ref_place = np.where(ref < 0, source[0], doc[ref]), np.where(ref < 0, source[1], place[ref])
-        copy = ~new_block & ((doc != ref_doc) | (place != ref_place))
-        yield table(FOUND, doc[copy], place[copy], n[copy], np.full(int(copy.sum()), COPY), ref_doc[copy], ref_place[copy])
+        ref_doc, ref_tag, ref_place = (np.where(ref < 0, s, x[ref]) for s, x in zip(source, (doc, tag, place), strict=True))
+        copy = ~new_block & ((doc != ref_doc) | (tag != ref_tag) | (place != ref_place))
+        yield table(FOUND, doc[copy], tag[copy], place[copy], n[copy], np.full(int(copy.sum()), COPY), ref_doc[copy], ref_tag[copy], ref_place[copy])
         run = np.cumsum(new_part)
         further = new_block & ~new_part
         many = np.zeros(run[-1] + 1, bool)
         many[run[further]] = True
         border = new_block & (many[run] | (kind == SPREAD))
         if border.any():
-            yield table(FOUND, doc[border], place[border], n[border], np.full(int(border.sum()), BORDER), pa.nulls(int(border.sum()), pa.int64()), pa.nulls(int(border.sum()), pa.int64()))
+            yield table(FOUND, doc[border], tag[border], place[border], n[border], np.full(int(border.sum()), BORDER), *[pa.nulls(int(border.sum()), pa.int64())] * 3)
         if many[0] and waiting:
-            yield table(FOUND, *([x] for x in waiting), [BORDER], [None], [None])
+            yield table(FOUND, *([x] for x in waiting), [BORDER], [None], [None], [None])
         if many[0] and run[-1] == 0:
             waiting = None
         opens = np.flatnonzero(new_part)
         if len(opens):
             k = opens[-1]
-            waiting = None if border[k] else (doc[k], place[k], n[k])
-        last, source = (part[-1], block[-1]), (ref_doc[-1], ref_place[-1])
+            waiting = None if border[k] else (doc[k], tag[k], place[k], n[k])
+        last, source = (part[-1], block[-1]), (ref_doc[-1], ref_tag[-1], ref_place[-1])
 
 
 def windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -176,7 +173,7 @@ def windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
             first = np.repeat(at[low:high] - np.concatenate(([0], np.cumsum(each)[:-1])), each) + np.arange(each.sum())
             own = np.repeat(own, each)
             hashes = W.runs_between(sums, begins[own] + first, np.full(len(own), window))
-            rows.append((hashes, hashes, docs[keys][own], tags[keys][own] << PLACE | first, np.ones(len(own), np.int32)))
+            rows.append((hashes, hashes, docs[keys][own], tags[keys][own], first, np.ones(len(own), np.int32)))
             size += len(own)
             if size >= ROWS:
                 yield reduced(rows, none)
@@ -185,38 +182,38 @@ def windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
         yield reduced(rows, none)
 
 
-def factors(start: np.ndarray, n: np.ndarray, ref_doc: np.ndarray, ref_place: np.ndarray) -> np.ndarray:
-    """Rows (start, windows, source document, source place) of one document, in order: runs in the same source merged."""
+def factors(start: np.ndarray, n: np.ndarray, ref_doc: np.ndarray, ref_tag: np.ndarray, ref_place: np.ndarray) -> np.ndarray:
+    """Rows (start, windows, source document, its tag, source place) of one document, in order: runs in the same source merged."""
     order = np.lexsort((n, start))
-    start, n, ref_doc, ref_place = start[order], n[order].astype(np.int64), ref_doc[order], ref_place[order]
+    start, n, ref_doc, ref_tag, ref_place = start[order], n[order].astype(np.int64), ref_doc[order], ref_tag[order], ref_place[order]
     again = np.zeros(len(start), bool)
     again[1:] = (start[1:] == start[:-1]) & (n[1:] == n[:-1])
-    start, n, ref_doc, ref_place = (x[~again] for x in (start, n, ref_doc, ref_place))
+    start, n, ref_doc, ref_tag, ref_place = (x[~again] for x in (start, n, ref_doc, ref_tag, ref_place))
     new = np.ones(len(start), bool)
-    new[1:] = (start[1:] != start[:-1] + n[:-1]) | (ref_doc[1:] != ref_doc[:-1]) | (ref_place[1:] != ref_place[:-1] + n[:-1])
+    new[1:] = (start[1:] != start[:-1] + n[:-1]) | (ref_doc[1:] != ref_doc[:-1]) | (ref_tag[1:] != ref_tag[:-1]) | (ref_place[1:] != ref_place[:-1] + n[:-1])
     head = np.flatnonzero(new)
-    return np.stack((start[head], np.add.reduceat(n, head), ref_doc[head], ref_place[head]), axis=1) if len(head) else np.zeros((0, 4), np.int64)
+    return np.stack((start[head], np.add.reduceat(n, head), ref_doc[head], ref_tag[head], ref_place[head]), axis=1) if len(head) else np.zeros((0, 5), np.int64)
 
 
-COPIES = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "n", "ref_doc", "ref_place")]))
+COPIES = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "n", "ref_doc", "ref_tag", "ref_place")]))
 BORDERS = pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64())]))
-COPIES_DDL = "array<struct<start: bigint, n: bigint, ref_doc: bigint, ref_place: bigint>>"
+COPIES_DDL = "array<struct<start: bigint, n: bigint, ref_doc: bigint, ref_tag: bigint, ref_place: bigint>>"
 
 
 def condensed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The factors and borders of each document from its marks."""
     for batch in batches:
         lists = batch.column("marks")
-        kind, start, n, *refs = (lists.flatten().field(f).fill_null(0).to_numpy(zero_copy_only=False) for f in ("kind", "start", "n", "ref_doc", "ref_place"))
+        kind, start, n, *refs = (lists.flatten().field(f).fill_null(0).to_numpy(zero_copy_only=False) for f in ("kind", "start", "n", "ref_doc", "ref_tag", "ref_place"))
         edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        found = {COPY: ([0], [np.zeros((0, 4), np.int64)]), BORDER: ([0], [np.zeros((0, 4), np.int64)])}
+        found = {COPY: ([0], [np.zeros((0, 5), np.int64)]), BORDER: ([0], [np.zeros((0, 5), np.int64)])}
         for a, z in zip(edges[:-1], edges[1:], strict=True):
             for which, (ends, rows) in found.items():
                 own = a + np.flatnonzero(kind[a:z] == which)
                 if which == COPY:
                     rows.append(factors(start[own], n[own], *(x[own] for x in refs)))
                 else:
-                    rows.append(np.unique(np.stack((start[own], n[own]), axis=1), axis=0) @ np.eye(2, 4, dtype=np.int64))
+                    rows.append(np.unique(np.stack((start[own], n[own]), axis=1), axis=0) @ np.eye(2, 5, dtype=np.int64))
                 ends.append(ends[-1] + len(rows[-1]))
         out = []
         for which, shape in ((COPY, COPIES), (BORDER, BORDERS)):
@@ -232,7 +229,7 @@ def parsed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
     kind = pa.struct([("start", pa.int64()), ("words", pa.int64()), ("source", pa.int64()), ("source_start", pa.int64())])
     for batch in batches:
         lists = batch.column("copies")
-        cells = [lists.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("start", "n", "ref_doc", "ref_place")]
+        cells = [lists.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("start", "n", "ref_doc", "ref_tag", "ref_place")]
         edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         out = [[], [], [], []]
         for i, text in enumerate(batch.column("text").to_pylist()):
@@ -244,7 +241,7 @@ def parsed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
                 np.add.at(mark, spans[:, 0], 1)
                 np.add.at(mark, spans[:, 0] + spans[:, 1] + window - 1, -1)
                 keep = np.cumsum(mark[:-1]) == 0
-                found = [(int(s), int(k) + window - 1, int(d), int(p) & ((1 << PLACE) - 1)) for s, k, d, p in spans]
+                found = [(int(s), int(k) + window - 1, int(d), int(p)) for s, k, d, _, p in spans]
                 left = list(compress(own, keep))
             else:
                 left = own
@@ -273,11 +270,11 @@ def remove_repeats(docs: DataFrame, window: int = 20, key: str = "doc_id", text:
     hot = np.array(hot, np.int32)
 
     def found(rows: DataFrame) -> DataFrame:
-        return rows.repartition("part").sortWithinPartitions("part", "block", "doc", "place").mapInArrow(looked_up, FOUND_DDL)
+        return rows.repartition("part").sortWithinPartitions("part", "block", "doc", "tag", "place").mapInArrow(looked_up, FOUND_DDL)
 
     def marks(rows: DataFrame) -> DataFrame:
-        place = [F.expr(f"place & {(1 << PLACE) - 1}").alias("start"), F.col("n").cast("long").alias("n")]
-        rows = rows.select("doc", F.expr(f"place >> {PLACE}").alias("tag"), F.struct("kind", *place, "ref_doc", "ref_place").alias("mark"))
+        place = [F.col("place").alias("start"), F.col("n").cast("long").alias("n")]
+        rows = rows.select("doc", "tag", F.struct("kind", *place, "ref_doc", "ref_tag", "ref_place").alias("mark"))
         lists = rows.groupBy("doc", "tag").agg(F.collect_list("mark").alias("marks"))
         return lists.mapInArrow(condensed, f"doc long, tag long, copies {COPIES_DDL}, borders array<struct<start: bigint, n: bigint>>")
 

@@ -24,18 +24,18 @@ from pyspark.sql import functions as F
 
 from sparkprep.llm import words as W
 from sparkprep.llm.frames import columns, cut, table
-from sparkprep.llm.substrings import HOT, PLACE, ROWS, SAMPLE, SAMPLE_LEAST, identified
+from sparkprep.llm.substrings import HOT, ROWS, SAMPLE, SAMPLE_LEAST, identified
 
 GRAM, STEP = 128, 48
 #: Of an anchor's bucket: looked up, dealt by the next identifier, settled in its task. Of a result: repeats, border.
 PLAIN, SPREAD, SETTLED, BORDER = 0, 1, 2, 3
 
-SUFFIXES = {"part": pa.int32(), "bucket": pa.int64(), "doc": pa.int64(), "place": pa.int64(), "n": pa.int32(), "offset": pa.int32(), "kind": pa.int8(), "known": pa.bool_()}
-SUFFIXES_DDL = "part int, bucket long, doc long, place long, n int, offset int, kind byte, known boolean"
-REFINED = {"doc": pa.int64(), "place": pa.int64(), "n": pa.int32(), "offset": pa.int32(), "kind": pa.int8()}
-REFINED_DDL = "doc long, place long, n int, offset int, kind byte"
+SUFFIXES = {"part": pa.int32(), "bucket": pa.int64(), "doc": pa.int64(), "tag": pa.int64(), "place": pa.int64(), "n": pa.int32(), "offset": pa.int32(), "kind": pa.int8(), "known": pa.bool_()}
+SUFFIXES_DDL = "part int, bucket long, doc long, tag long, place long, n int, offset int, kind byte, known boolean"
+REFINED = {"doc": pa.int64(), "tag": pa.int64(), "place": pa.int64(), "n": pa.int32(), "offset": pa.int32(), "kind": pa.int8()}
+REFINED_DDL = "doc long, tag long, place long, n int, offset int, kind byte"
 
-Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def sums_of(data: np.ndarray) -> np.ndarray:
@@ -68,18 +68,18 @@ def upper(x: np.ndarray) -> np.ndarray:
 
 def settled(rows: list[Rows], hot: np.ndarray) -> pa.RecordBatch:
     """One row of each bucket to look up, and the others as settled; the one knows whether there are others."""
-    part, bucket, doc, place, n, offset = (np.concatenate(x) for x in zip(*rows, strict=True))
-    order = np.lexsort((place, doc, bucket))
-    part, bucket, doc, place, n, offset = (x[order] for x in (part, bucket, doc, place, n, offset))
+    part, bucket, doc, tag, place, n, offset = (np.concatenate(x) for x in zip(*rows, strict=True))
+    order = np.lexsort((place, tag, doc, bucket))
+    part, bucket, doc, tag, place, n, offset = (x[order] for x in (part, bucket, doc, tag, place, n, offset))
     new = np.ones(len(part), bool)
     new[1:] = bucket[1:] != bucket[:-1]
     again = np.zeros(len(part), bool)
-    again[1:] = ~new[1:] & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])
-    part, bucket, doc, place, n, offset, new = (x[~again] for x in (part, bucket, doc, place, n, offset, new))
+    again[1:] = ~new[1:] & (doc[1:] == doc[:-1]) & (tag[1:] == tag[:-1]) & (place[1:] == place[:-1])
+    part, bucket, doc, tag, place, n, offset, new = (x[~again] for x in (part, bucket, doc, tag, place, n, offset, new))
     known = np.append(~new[1:], False) if len(new) else new
     kind = np.where(new, np.where(np.isin(upper(part), hot), SPREAD, PLAIN), SETTLED).astype(np.int8)
-    part = np.where(kind == PLAIN, part, W.mix(bucket + np.where(kind == SETTLED, place, 0).astype(np.uint64)))
-    return table(SUFFIXES, upper(part), W.signed(bucket), doc, place, n, offset, kind, known)
+    part = np.where(kind == PLAIN, part, W.mix(bucket + np.where(kind == SETTLED, tag + place, 0).view(np.uint64)))
+    return table(SUFFIXES, upper(part), W.signed(bucket), doc, tag, place, n, offset, kind, known)
 
 
 def suffixes(batches: Iterator[pa.RecordBatch], length: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -108,8 +108,8 @@ def suffixes(batches: Iterator[pa.RecordBatch], length: int, hot: np.ndarray) ->
                 distance = at[first] - first
                 bucket = W.mix(named(sums, first, n + length - 1) + distance.astype(np.uint64) * W.BASE)
                 own = owner[first]
-                place = tags[keys[own]] << PLACE | (first + low - offsets[own])
-                rows.append((grams[at[first]], bucket, docs[keys[own]], place, n.astype(np.int32), distance.astype(np.int32)))
+                place = first + low - offsets[own]
+                rows.append((grams[at[first]], bucket, docs[keys[own]], tags[keys[own]], place, n.astype(np.int32), distance.astype(np.int32)))
                 size += len(first)
             if size >= ROWS:
                 yield settled(rows, hot)
@@ -131,7 +131,7 @@ def refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = batch.filter(pa.array(done))
             yield table(REFINED, *(out.column(c) for c in REFINED))
             batch = batch.filter(pa.array(~done))
-        part, bucket, doc, place, n, offset, kind, known = columns(batch, *SUFFIXES)
+        part, bucket, doc, tag, place, n, offset, kind, known = columns(batch, *SUFFIXES)
         if not len(part):
             continue
         new_part, new_bucket = np.ones(len(part), bool), np.ones(len(part), bool)
@@ -140,8 +140,8 @@ def refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new_part[0] = part[0] != last[0]
         new_bucket[0] = new_part[0] or bucket[0] != last[1]
         again = np.zeros(len(part), bool)  # the same row of another task: a document given twice
-        again[1:] = ~new_bucket[1:] & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])
-        again[0] = not new_bucket[0] and (doc[0], place[0]) == last[2:]
+        again[1:] = ~new_bucket[1:] & (doc[1:] == doc[:-1]) & (tag[1:] == tag[:-1]) & (place[1:] == place[:-1])
+        again[0] = not new_bucket[0] and (doc[0], tag[0], place[0]) == last[2:]
         followed = np.zeros(len(part), bool)
         run = np.cumsum(new_bucket)
         others = np.zeros(run[-1] + 1, bool)
@@ -155,14 +155,14 @@ def refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opens = np.flatnonzero(new_bucket)
         if len(opens):
             k = opens[-1]
-            alone = None if repeats[k] else (doc[k], place[k], n[k], offset[k])
+            alone = None if repeats[k] else (doc[k], tag[k], place[k], n[k], offset[k])
         run = np.cumsum(new_part)
         many = np.zeros(run[-1] + 1, bool)
         many[run[new_bucket & ~new_part]] = True
         border = new_bucket & (many[run] | (kind == SPREAD))
         for which, name in ((repeats, SETTLED), (border, BORDER)):
             if which.any():
-                yield table(REFINED, doc[which], place[which], n[which], offset[which], np.full(int(which.sum()), name))
+                yield table(REFINED, doc[which], tag[which], place[which], n[which], offset[which], np.full(int(which.sum()), name))
         if many[0] and waiting:
             yield table(REFINED, *([x] for x in waiting), [BORDER])
         if many[0] and run[-1] == 0:
@@ -170,8 +170,8 @@ def refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opens = np.flatnonzero(new_part)
         if len(opens):
             k = opens[-1]
-            waiting = None if border[k] else (doc[k], place[k], n[k], offset[k])
-        last = (part[-1], bucket[-1], doc[-1], place[-1])
+            waiting = None if border[k] else (doc[k], tag[k], place[k], n[k], offset[k])
+        last = (part[-1], bucket[-1], doc[-1], tag[-1], place[-1])
 
 
 def later(batches: Iterator[pa.RecordBatch], length: int, step: int) -> Iterator[pa.RecordBatch]:
@@ -198,8 +198,8 @@ def later(batches: Iterator[pa.RecordBatch], length: int, step: int) -> Iterator
             for at in range(0, len(own), ROWS):
                 s = slice(at, at + ROWS)
                 name = W.mix(_by_block(data, begin[s], end[s]) + (index[s] if step > 1 else np.zeros_like(index[s])).astype(np.uint64) * W.BASE)
-                place = tags[keys[own[s]]] << PLACE | (anchor[s] - top[s] - offsets[own[s]])
-                rows.append((name, name, docs[keys[own[s]]], place, (top[s] - bottom[s] + 1).astype(np.int32), top[s].astype(np.int32)))
+                place = anchor[s] - top[s] - offsets[own[s]]
+                rows.append((name, name, docs[keys[own[s]]], tags[keys[own[s]]], place, (top[s] - bottom[s] + 1).astype(np.int32), top[s].astype(np.int32)))
                 size += len(name)
                 if size >= ROWS:
                     yield settled(rows, none)
@@ -299,11 +299,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
     hot = np.array(hot, np.int32)
 
     def refine(rows: DataFrame) -> DataFrame:
-        return rows.repartition("part").sortWithinPartitions("part", "bucket", "doc", "place").mapInArrow(refined, REFINED_DDL)
+        return rows.repartition("part").sortWithinPartitions("part", "bucket", "doc", "tag", "place").mapInArrow(refined, REFINED_DDL)
 
     def marks(rows: DataFrame) -> DataFrame:
-        place = [F.expr(f"place & {(1 << PLACE) - 1}").alias("start"), F.col("n"), F.col("offset")]
-        lists = rows.select("doc", F.expr(f"place >> {PLACE}").alias("tag"), F.struct("kind", *place).alias("mark")).groupBy("doc", "tag").agg(F.collect_list("mark").alias("marks"))
+        place = [F.col("place").alias("start"), F.col("n"), F.col("offset")]
+        lists = rows.select("doc", "tag", F.struct("kind", *place).alias("mark")).groupBy("doc", "tag").agg(F.collect_list("mark").alias("marks"))
         return lists.mapInArrow(condensed, f"doc long, tag long, repeats {RUNS_DDL}, borders {STARTS_DDL}")
 
     def again(rows: DataFrame, step: int) -> DataFrame:

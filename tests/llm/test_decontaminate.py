@@ -108,3 +108,11 @@ def test_odd_rows(docs, spark):
     for rows in ([], AWKWARD + AWKWARD, [(None, None)]):
         assert decontaminate.find_leaks(docs(rows), items).count() == len(rows)
         assert decontaminate.find_leaks(docs(rows), items.limit(0)).where("contaminated").count() == 0
+
+
+def test_many_texts_under_a_null_key(docs, spark):
+    item = "one two three four five six seven eight nine ten"
+    rows = [(None, f"a{k} b{k} {item if k % 2 else ''} c{k}") for k in range(20_000)]
+    found = decontaminate.find_leaks(docs(rows), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert found.where("contaminated").count() == 10_000
+    assert found.select("tag").distinct().count() == 20_000

@@ -78,3 +78,10 @@ def test_odd_rows(docs):
     for rows in ([], AWKWARD + AWKWARD, [(None, None)]):
         found = ngrams.score(docs(rows)).collect()
         assert len(found) == len(rows) and all(math.isfinite(r.score) for r in found)
+
+
+def test_many_texts_under_a_null_key(docs):
+    rows = [(None, f"a{k} b{k}" + " c" * (k % 7)) for k in range(20_000)]
+    found = ngrams.score(docs(rows), most_bytes=50_000).collect()  # several passes
+    sizes = [r.n_tokens for r in found]
+    assert len(found) == 20_000 and [sizes.count(n) for n in range(3, 10)] == [sum(k % 7 == n for k in range(20_000)) for n in range(7)]

@@ -96,3 +96,13 @@ def test_hot_anchors_change_nothing(docs, monkeypatch):
     assert found == brute_words(rows, 8)
     found = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffixes.remove_repeats(docs(rows), 40).collect()}
     assert found == brute_bytes(rows, 40)
+
+
+def test_many_texts_under_a_null_key(docs):
+    """20000 different texts without a key: each is a document of its own, however their hashes fall."""
+    passage = " ".join(f"p{i}" for i in range(12))
+    rows = [(None, f"a{k} b{k} {passage if k % 2 else ''} " + " ".join(f"{k}x{i}" for i in range(k % 5 + 8))) for k in range(20_000)]
+    found = sorted(r.n_removed for r in substrings.remove_repeats(docs(rows), 8).select("n_removed").collect())
+    assert found == [0] * 10_001 + [12] * 9_999
+    found = [r.n_removed for r in suffixes.remove_repeats(docs(rows), 30).select("n_removed").collect()]
+    assert (found.count(0), len(found)) == (10_000, 20_000)
