@@ -1,13 +1,14 @@
 """Personal data: known forms, and the words that give them away, by information-theoretic sanitisation.
 
 Known forms are e-mail and IP addresses, card and phone numbers. Each different one is a protected entity. A word is a
-term of an entity if both occur in a line. How much a term reveals is its pointwise mutual information with the entity,
+term of an entity if both occur in a document. How much a term reveals is its pointwise mutual information with the entity,
 
     PMI(t; e) = log(N * co(t, e) / (df(t) * n(e)))
 
 with counts of documents over the whole corpus. Nothing can reveal more than the information of the entity,
-log(N / n(e)); a term that reveals at least `disclosure` of it, and does so in `support` different lines or more, is a
-span too. (In one line alone every rare word seems to reveal everything.) Sanitising puts a generalisation, the kind, in
+log(N / n(e)); a term that reveals at least `disclosure` of it, and does so in `support` documents or more, is a span
+too, wherever it stands in a document with the entity. (In one document alone every rare word seems to reveal
+everything.) Sanitising puts a generalisation, the kind, in
 the place of a span.
 """
 
@@ -28,6 +29,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 #: A text without any of these contains nothing of the known forms.
 WHEN = {"email": r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": CARD_WHEN, "phone": r"\+[0-9]"}
+ANY_FORM = "|".join(f"(?:{p})" for p in WHEN.values())
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -47,41 +49,38 @@ def known_forms(text: Column) -> dict[str, Column]:
     return dict(zip(KINDS, (email, ip, card, phone), strict=True))
 
 
-def entities(line: Column) -> Column:
-    """The different protected entities of a line, spelt in one way."""
+def entities(text: Column) -> Column:
+    """The different protected entities of a text, spelt in one way. No known form goes beyond a line."""
     def spelt(kind: str, found: Column) -> Column:
         one = F.lower if kind in ("email", "ip") else lambda m: F.regexp_replace(m, "[^0-9]", "")
         return F.transform(found, lambda x: F.concat(F.lit(f"{kind}:"), one(x["match"])))
 
-    return F.array_distinct(F.concat(*(spelt(k, found) for k, found in known_forms(line).items())))
+    return F.array_distinct(F.concat(*(spelt(k, found) for k, found in known_forms(text).items())))
 
 
 def disclosing(docs: DataFrame, disclosure: float, support: int) -> DataFrame:
     """(entity, word, co, df, n) of the terms above the threshold, from rows with a text."""
-    any_form = "|".join(f"(?:{p})" for p in WHEN.values())
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), "text")
-    rows = texts.where(F.col("text").rlike(any_form)).select("row", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(any_form))
-    rows = rows.select("row", "line", entities(F.col("line")).alias("entities"))
-    words = F.array_distinct(F.filter(F.split(F.lower("line"), r"[\x20\x09-\x0D]+"), lambda w: w.rlike(r"\p{L}") & ~w.contains("@")))
-    pairs = rows.select("row", F.xxhash64("line").alias("at"), F.explode("entities").alias("entity"), words.alias("words"))
-    # only entities of several lines can have terms of several lines
-    often = pairs.groupBy("entity").agg(F.countDistinct("at").alias("lines"), F.countDistinct("row").alias("n")).where(f"lines >= {support}").select("entity", "n")
-    terms = pairs.join(often, "entity").select("entity", "n", "row", "at", F.explode("words").alias("word"))
-    terms = terms.groupBy("entity", "n", "word").agg(F.countDistinct("at").alias("lines"), F.countDistinct("row").alias("co")).where(f"lines >= {support}")
-    terms = cut(terms.withColumn("id", F.xxhash64("word")))
+    texts = docs.select("text")
+    rows = texts.where(F.col("text").rlike(ANY_FORM)).select("text", F.explode(entities(F.col("text"))).alias("entity")).withColumn("id", F.xxhash64("entity"))
+    often = cut(rows.groupBy("id", "entity").agg(F.count("*").alias("n")).where(f"n >= {support}"))
+    # a text has each entity and each word once, so counts of hashes add up before the shuffle
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w.rlike(r"\p{L}") & ~w.contains("@")))
+    pairs = rows.where(asked_for(often.select("id"))).select(F.col("id").alias("of"), F.explode(F.transform(words, lambda w: F.xxhash64(w))).alias("id"))
+    terms = pairs.groupBy("of", "id").agg(F.count("*").alias("co")).where(f"co >= {support}")
+    terms = cut(terms.join(often.withColumnRenamed("id", "of"), "of").select("entity", "n", "id", "co"))
     # a text has each word once, so counts add up before the shuffle
     asked = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"))).alias("word")).withColumn("id", F.xxhash64("word")).where(asked_for(terms.select("id").distinct()))
-    df = asked.groupBy("word").agg(F.count("*").alias("df"))
+    df = asked.groupBy("word", "id").agg(F.count("*").alias("df"))
     total = texts.agg(F.count("*").alias("total"))
-    found = terms.join(df, "word").join(F.broadcast(total))
+    found = terms.join(df, "id").join(F.broadcast(total))
     return found.where(f"log(total * co / (df * n)) >= {disclosure} * log(total / n) AND n < total").select("entity", "word", "co", "df", "n")
 
 
 def find_personal_data(docs: DataFrame, disclosure: float = 0.9, support: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base, terms, sanitised) of each row.
 
-    base has (start, order, end, kind) of the known forms, in order; terms those of disclosing words that stand in a line
-    with their entity. Each kind's matches are leftmost and do not overlap; different kinds may. sanitised is the text
+    base has (start, order, end, kind) of the known forms, in order; terms those of disclosing words, anywhere in
+    a text with their entity. Each kind's matches are leftmost and do not overlap; different kinds may. sanitised is the text
     with <KIND> in the place of the spans; where spans overlap, the one that starts first wins, then the kind in order.
 
     A null text is empty. Repeated rows count as often as they occur and get the same answer. Null keys are keys like
@@ -92,15 +91,12 @@ def find_personal_data(docs: DataFrame, disclosure: float = 0.9, support: int =
     known = docs.select("doc_id", "tag", "text", *(S.named(forms[k], k, i).alias(k) for i, k in enumerate(KINDS)))
     known = known.withColumn("base", F.array_sort(F.concat(*KINDS)))
     terms = disclosing(docs, disclosure, support).select("entity", "word")
-    any_form = "|".join(f"(?:{p})" for p in WHEN.values())
-    texts = docs.where(F.col("text").rlike(any_form)).select("tag", "text").dropDuplicates(["tag"])
-    lines = texts.select("tag", F.split("text", "\n").alias("lines")).withColumn("ends", S.running(F.transform("lines", lambda x: F.length(x).cast("long") + 1)))
-    lines = lines.select("tag", F.explode(F.arrays_zip("lines", F.slice("ends", 1, F.size("lines")).alias("at"))).alias("x")).select("tag", F.col("x.lines").alias("line"), F.col("x.at").alias("at")).where(F.col("line").rlike(any_form))
-    lines = lines.select("tag", "line", "at", F.explode(entities(F.col("line"))).alias("entity"))
-    words = lines.join(terms.groupBy("entity").agg(F.collect_set("word").alias("words")), "entity").select("tag", "at", "words", F.explode(S.matches(F.col("line"), WORD)).alias("x")).where("array_contains(words, lower(x.match))")
-    found = words.select("tag", F.struct((F.col("at") + F.col("x.start")).alias("start"), F.lit(4).alias("order"), (F.col("at") + F.col("x.end")).alias("end"), F.lit("term").alias("kind")).alias("s")).groupBy("tag").agg(F.sort_array(F.collect_set("s")).alias("terms"))
+    holds = docs.where(F.col("text").rlike(ANY_FORM)).select("tag", F.explode(entities(F.col("text"))).alias("entity")).distinct()
+    words = holds.join(terms, "entity").groupBy("tag").agg(F.collect_set("word").alias("words"))
+    out = known.join(words, "tag", "left")
+    found = F.filter(S.matches(F.col("text"), WORD), lambda x: F.array_contains("words", F.lower(x["match"])))
     empty = "cast(array() AS array<struct<start: bigint, order: int, end: bigint, kind: string>>)"
-    out = known.join(found, "tag", "left").withColumn("terms", F.expr(f"coalesce(terms, {empty})"))
+    out = out.withColumn("terms", F.when(F.col("words").isNull(), F.expr(empty)).otherwise(S.named(found, "term", 4)))
     step = "IF(x.start < s.at, s, named_struct('at', x.end, 'done', concat(s.done, array(substring(text, cast(s.at + 1 AS int), cast(x.start - s.at AS int)), concat('<', upper(x.kind), '>')))))"
     clean = f"aggregate(array_sort(concat(base, terms)), named_struct('at', 0L, 'done', cast(array() AS array<string>)), (s, x) -> {step}, s -> concat(array_join(s.done, ''), substring(text, cast(s.at + 1 AS int))))"
     sizes = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]

@@ -90,3 +90,18 @@ def test_odd_rows_and_plan(docs):
         assert pii.find_personal_data(docs(rows)).count() == len(rows)
     plan = pii.find_personal_data(docs(AWKWARD))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_terms_of_other_lines_and_of_copied_lines(docs):
+    rng = random.Random(9)
+    common = [f"w{chr(97 + i)}" for i in range(20)]
+    line = lambda: " ".join(rng.choice(common) for _ in range(6))
+    rows = [(d, f"{line()}\n{line()}") for d in range(120)]
+    for d in range(0, 40, 8):  # a name above its address; a line copied unchanged
+        rows[d] = (d, f"{line()}\nNéstor {line()}\nmail: nn@mail.example.com\n{line()}")
+        rows[d + 1] = (d + 1, f"{line()}\nask Ximena at +44 20 7946 0999\n{line()}\nXimena")
+    for r in pii.find_personal_data(docs(rows)).collect():
+        text = dict(rows)[r.doc_id]
+        expected = {0: {"Néstor", "mail:"}, 1: {"ask", "Ximena", "at"}}.get(r.doc_id % 8, set()) if r.doc_id < 40 else set()
+        assert {text[x.start : x.end] for x in r.terms} == expected
+        assert not expected or ("Ximena" not in r.sanitised and "Néstor" not in r.sanitised)
