@@ -2,8 +2,8 @@
 
 The reference is the whole corpus, cut into blocks by its content: the windows of `window` words that share their
 least GRAM-word hash (the anchor) form a block, so equal passages are cut alike wherever they stand. The index has
-one entry for each different block: where it occurs first. A document is then parsed greedily: blocks that occur
-earlier are copies, and copies that run on in the same source merge into one factor. Where a factor ends, blocks
+one entry for each different block: where it occurs first. Blocks of a document that occur
+earlier are copies, and copies that run on in the same source are merged into one factor afterwards. Where a factor ends, blocks
 share their anchor but not their whole content; only there are single windows looked up.
 
 Equal blocks of one task are reduced to their first before any shuffle. Anchors with a large part of all blocks, told
