@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkprep.llm import decontaminate, lines, minhash, ngrams, pieces, pii, rules, secret_scan, spans, substrings, suffixes
+from sparkprep.llm import decontaminate, dialogue, lines, minhash, ngrams, pieces, pii, repetition, rules, secret_scan, spans, substrings, suffixes
 from sparkprep.llm.oracles import ORACLE  # noqa: F401
 
 
@@ -68,6 +68,48 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.score(documents(spark, sf_dir))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows, some of them dropped, emptied, cut short, repeated or with another role, by a hash of conv_id and turn."""
+    named = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    fate = F.crc32(F.concat_ws(":", *named)) % 20
+    role, text = F.coalesce("role", F.lit(" ")), F.coalesce("text", F.lit(" "))
+    text = F.when(fate == 1, "").when(fate == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    copies = F.when(fate == 0, 0).when(fate == 3, 2).otherwise(1)
+    return rows.select("conv_id", "turn", F.when(fate == 4, "user").otherwise(role).alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), copies)).alias("copy")).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return dialogue.summary(rows, damaged(rows))
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """Documents, a tenth of them with everything from some word on replaced by repeats of a few of its words."""
+    hashed = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+    def planted(x: Column) -> Column:
+        g, n = F.floor(hashed / 10), F.size(x)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        tail = F.flatten(F.array_repeat(F.slice(x, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(x, F.lit(1), a), F.slice(tail, F.lit(1), n - a)), " ")).otherwise("")
+
+    text = F.when(hashed % 10 == 0, F.transform(F.array(words), planted)[0]).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repetition.find_runs(repeated(documents(spark, sf_dir)), least=12)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("most"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("kept_text", 256).alias("collapsed_sha256"))
+    return found.select(
+        "doc_id", "n_runs", (-F.col("most.start")).alias("start"), F.col("most.length").alias("length"), (-F.col("most.period")).alias("period"),
+        F.expr("-(1000 * most.length div most.period)").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,5 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_array_dedup,
         op9_pii,
         op10_lm_scoring,
+        op12_conversation_repair,
+        op13_periodic_runs,
     )
 }
