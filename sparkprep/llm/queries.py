@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkprep.llm import decontaminate, dialogue, lines, minhash, ngrams, pieces, pii, repetition, rules, secret_scan, spans, substrings, suffixes
+from sparkprep.llm import decontaminate, dialogue, lines, minhash, ngrams, pieces, pii, pivots, repetition, rules, secret_scan, spans, substrings, suffixes
 from sparkprep.llm.oracles import ORACLE  # noqa: F401
 
 
@@ -68,6 +68,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.score(documents(spark, sf_dir))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.95)
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """Conversation rows, some of them dropped, emptied, cut short, repeated or with another role, by a hash of conv_id and turn."""
     named = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
@@ -123,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_array_dedup,
         op9_pii,
         op10_lm_scoring,
+        op11_embedding_near_dedup,
         op12_conversation_repair,
         op13_periodic_runs,
     )
