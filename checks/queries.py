@@ -170,10 +170,7 @@ def snk_7(f):
 
 # ---------------------------------------------------------------- schema mapping
 
-_HEADER_STYLES = ["{}", "{} ", "x{}"]
-_HEADERS = [
-    (ds, i, c) for ds in ("customer_master", "production_history", "shipment_history") for i, c in enumerate(fixtures.raw_columns(ds))
-]
+_HEADERS = [(ds, i, c) for ds in schema.DATASETS for i, c in enumerate(fixtures.raw_columns(ds))]
 
 
 def header_table(f: Frames) -> DataFrame:
@@ -220,19 +217,44 @@ def map_2(f):
     return mapping.match_aliases(header_table(f))
 
 
-@check("map_3_fuzzy")
+_SPELLED_SQL = "(VALUES " + ", ".join(
+    f"('{ds}', {i}, '{n}', '{a}')" for ds in schema.DATASETS for i, n in enumerate(schema.field_names(ds))
+    for a in dict.fromkeys(aliases.normalize(x) for x in [n, *aliases.ALIASES.get(n, [])])) + ") AS sp(sds, field_ordinal, field, spelling)"
+# the table of the recurrence, one row a step: a row is the running maximum of what each cell gets from the row before
+_LCS_SQL = """SELECT norm, spelling, 1 AS i, length(norm) AS steps, list_transform(range(length(spelling) + 1), lambda x: 0) AS cells FROM wanted
+    UNION ALL SELECT norm, spelling, i + 1, steps, list_transform(range(1, length(spelling) + 2), lambda j: list_max(list_slice(
+        list_transform(range(1, length(spelling) + 2), lambda k: CASE WHEN k > 1 AND substr(norm, i, 1) = substr(spelling, k - 1, 1) THEN greatest(cells[k], cells[k - 1] + 1) ELSE cells[k] END), 1, j)))
+    FROM lcs WHERE i <= steps"""
+_FUZZY_SQL = f"""WITH RECURSIVE hits AS ({_ALIAS_HIT_SQL}),
+    candidates AS (SELECT DISTINCT dataset, norm, field_ordinal, field, spelling FROM hits JOIN {_SPELLED_SQL} ON sds = dataset),
+    wanted AS (SELECT DISTINCT norm, spelling FROM candidates), lcs AS ({_LCS_SQL}),
+    scored AS (SELECT dataset, norm, field_ordinal, field, 2.0::DOUBLE * cells[-1] / (length(norm) + length(spelling)) AS score FROM candidates JOIN lcs USING (norm, spelling) WHERE i > steps),
+    best AS (SELECT dataset, norm, arg_max(field, struct_pack(s := score, o := -field_ordinal)) AS field, max(score) AS score FROM scored GROUP BY ALL)
+    SELECT hits.*, CASE WHEN score > 0 THEN field END AS fuzzy_field, score AS fuzzy_score FROM hits JOIN best USING (dataset, norm)"""
+
+
+@check("map_3_fuzzy", f"SELECT * REPLACE (round(fuzzy_score, 6) AS fuzzy_score) FROM ({_FUZZY_SQL})")
 def map_3(f):
     return mapping.match_fuzzy(mapping.match_aliases(header_table(f))).withColumn("fuzzy_score", F.round("fuzzy_score", 6))
 
 
-@check("map_4_claim")
+_CLAIM_SQL = f"""WITH RECURSIVE matched AS (SELECT *, row_number() OVER (PARTITION BY project_id, dataset ORDER BY ordinal) AS nth FROM ({_FUZZY_SQL})),
+    walk AS (SELECT DISTINCT project_id, dataset, 0::BIGINT AS nth, []::VARCHAR[] AS used, NULL::INT AS ordinal, NULL::VARCHAR AS raw_column, NULL::VARCHAR AS canonical_field, 0.0::DOUBLE AS confidence, '' AS source FROM matched
+    UNION ALL SELECT project_id, dataset, nth, list_append(used, picked), ordinal, raw_column, picked,
+        CASE kind WHEN 'rule_based' THEN 1.0 WHEN 'ai_suggested' THEN round(fuzzy_score + 1e-9, 2) ELSE 0.0 END, kind FROM (
+        SELECT *, CASE kind WHEN 'rule_based' THEN alias_field WHEN 'ai_suggested' THEN fuzzy_field ELSE '' END AS picked FROM (
+            SELECT m.*, w.used, CASE WHEN m.alias_field IS NOT NULL AND NOT list_contains(w.used, m.alias_field) THEN 'rule_based'
+                WHEN m.fuzzy_score >= 0.55 AND NOT list_contains(w.used, m.fuzzy_field) THEN 'ai_suggested' ELSE 'unmapped' END AS kind
+            FROM walk w JOIN matched m ON m.project_id = w.project_id AND m.dataset = w.dataset AND m.nth = w.nth + 1)))
+    SELECT project_id, dataset, ordinal, raw_column, canonical_field, confidence, source FROM walk WHERE nth > 0"""
+
+
+@check("map_4_claim", _CLAIM_SQL)
 def map_4(f):
     return mapping.claim(mapping.match_fuzzy(mapping.match_aliases(header_table(f))))
 
 
-_RULE_BASED_SQL = (
-    f"SELECT project_id, dataset, ordinal, raw_column, alias_field AS canonical_field FROM ({_ALIAS_HIT_SQL}) WHERE alias_field IS NOT NULL"
-)
+_RULE_BASED_SQL = f"SELECT project_id, dataset, ordinal, raw_column, canonical_field FROM ({_CLAIM_SQL}) WHERE source = 'rule_based'"
 
 
 @check("map_5_auto_approve", f"SELECT *, TRUE AS approved, 'system' AS approver FROM ({_RULE_BASED_SQL})")
@@ -840,13 +862,15 @@ for _ds, (_numeric, _types) in _PROFILED.items():
         return p.select("column", "dtype", "null_count", "null_pct", "distinct_count", *[F.round(s, 6).alias(s) for s in profile.STATS])
 
 
-_DUP = ["location_id", "product_id", "inventory_status"]
+_TWICE_SQL = f"{ROWS} silver_shipment_history UNION ALL {ROWS} silver_shipment_history WHERE shipment_mode = 'Air'"
 
 
-@check("prf_2_duplicates", f"""SELECT CAST(sum(n) AS BIGINT) AS row_count, 3 AS column_count, CAST(sum(n - 1) AS BIGINT) AS duplicate_row_count
-    FROM (SELECT count(*) AS n FROM silver_inventory_history GROUP BY {', '.join(_DUP)})""")
+@check("prf_2_duplicates", f"""SELECT count(*) AS row_count, {len(oracle.columns("shipment_history"))} AS column_count, count(*) - count(DISTINCT t) AS duplicate_row_count
+    FROM ({_TWICE_SQL}) AS t""")
 def prf_2(f):
-    return profile.duplicate_rows(f.silver("inventory_history").select(*_DUP))
+    """Whole rows, all columns: a shipment table of which the air shipments came twice."""
+    df = bare(f.silver("shipment_history"))
+    return profile.duplicate_rows(df.unionByName(df.where("shipment_mode = 'Air'")))
 
 
 def _schema_sql(table: str) -> str:

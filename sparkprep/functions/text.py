@@ -80,7 +80,61 @@ def lcs_length(a: Column, b: Column) -> Column:
     return F.when((F.length(a) > 0) & (F.length(b) > 0), F.element_at(table, -1)).otherwise(F.lit(0))
 
 
-def indel_ratio(a: Column, b: Column) -> Column:
-    """2 * LCS / (len a + len b); two empty strings are equal."""
-    total = F.length(a) + F.length(b)
-    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * lcs_length(a, b) / total)
+#: A spelling of up to this many ASCII characters fits one word of bits, with room for the carry.
+WORD = 62
+
+
+def spelling(text: str) -> dict:
+    """What the comparisons below need to know of a known text: for each ASCII character the places it stands at, as
+    bits (null if the text is too long for that), and which characters it has at least once, twice and three times."""
+    masks = None
+    if len(text) <= WORD and text.isascii():
+        masks = [sum(1 << i for i, c in enumerate(text) if ord(c) == code) for code in range(128)]
+    counts = [0] * 64
+    for c in text:
+        counts[ord(c) % 64] += 1
+    levels = [_signed(sum(1 << k for k, n in enumerate(counts) if n >= level)) for level in (1, 2, 3)]
+    return {"text": text, "n": len(text), "masks": masks, "levels": levels}
+
+
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+SPELLING = "text: string, n: int, masks: array<bigint>, levels: array<bigint>"
+
+
+def codes(text: Column) -> Column:
+    """Code points of a text."""
+    every = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.ascii(F.substr(text, i, F.lit(1))))
+    return F.when(F.length(text) > 0, every).otherwise(F.array().cast("array<int>"))
+
+
+def char_levels(points: Column) -> Column:
+    """For code points as classes modulo 64: the classes there at least once, twice and three times, as bits."""
+    def add(levels: Column, code: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(code, F.lit(64)))
+        one, two, three = levels[0], levels[1], levels[2]
+        return F.array(one.bitwiseOR(bit), two.bitwiseOR(one.bitwiseAND(bit)), three.bitwiseOR(two.bitwiseAND(bit)))
+
+    return F.aggregate(points, F.array(*[F.lit(0).cast("long")] * 3), add)
+
+
+def common_at_most(levels: Column, length: Column, known: Column) -> Column:
+    """No common subsequence with a known spelling is longer: characters common to both, at most three of a class
+    counted each, and all beyond three as common."""
+    parts = [F.bit_count(levels[k]) for k in range(3)]
+    both = [F.bit_count(levels[k].bitwiseAND(known["levels"][k])) for k in range(3)]
+    return both[0] + both[1] + both[2] + length - parts[0] - parts[1] - parts[2]
+
+
+def lcs_of_codes(points: Column, text: Column, known: Column) -> Column:
+    """lcs_length() of a text and a known spelling: all places of the spelling in one word, one step a character."""
+    zero = F.lit(0).cast("long")
+    full = F.call_function("shiftleft", F.lit(1).cast("long"), known["n"]) - F.lit(1)
+
+    def step(open_: Column, code: Column) -> Column:
+        here = F.coalesce(F.get(known["masks"], code), zero)
+        return (open_ + open_.bitwiseAND(here)).bitwiseOR(open_.bitwiseAND(F.bitwise_not(here))).bitwiseAND(full)
+
+    return F.when(known["masks"].isNull(), lcs_length(text, known["text"])).otherwise(known["n"] - F.bit_count(F.aggregate(points, full, step)))

@@ -76,32 +76,39 @@ def match_aliases(header_table: DataFrame, extra: dict[str, list[str]] | None =
 
 
 def _candidates(spark: SparkSession, extra: dict[str, list[str]] | None) -> DataFrame:
-    """(dataset, candidates): per dataset the fields with their normalised names and aliases."""
+    """(dataset, candidates): per dataset each field's normalised name and aliases, fields in schema order."""
     table = aliases.alias_dictionary(extra)
     rows = [
-        (ds, [(f, list(dict.fromkeys(map(aliases.normalize, [f, *table[f]])))) for f in schema.field_names(ds)])
+        (ds, [
+            {"field": f, **text.spelling(known)}
+            for f in schema.field_names(ds) for known in dict.fromkeys(map(aliases.normalize, [f, *table.get(f, [])]))
+        ])
         for ds in schema.DATASETS
     ]
-    return spark.createDataFrame(
-        rows, "dataset string, candidates array<struct<field string, spellings array<string>>>"
-    )
+    return spark.createDataFrame(rows, f"dataset string, candidates array<struct<field: string, {text.SPELLING}>>")
 
 
 def match_fuzzy(header_table: DataFrame, extra: dict[str, list[str]] | None = None) -> DataFrame:
-    """Adds `fuzzy_field`, `fuzzy_score`: the first field with the highest similarity between the
-    header and the field's name or aliases. Each distinct (dataset, header) is scored once, next to
-    its dataset's candidate array, without pairing rows."""
+    """Adds `fuzzy_field`, `fuzzy_score`: the first field with the highest similarity 2 * LCS / (sum of lengths)
+    between the header and the field's name or aliases; none at a similarity of 0. Each distinct (dataset, header) is
+    scored once, next to its dataset's candidate array, without pairing rows. A spelling whose characters cannot beat
+    the best so far is not compared."""
     spark = header_table.sparkSession
+    best_of_none = F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("field"))
+
+    def better(best: Column, known: Column) -> Column:
+        total = F.col("length") + known["n"]
+        score = 2.0 * text.lcs_of_codes(F.col("points"), F.col("norm"), known) / total
+        new = F.transform(F.array(score), lambda x: F.when(x > best["score"], F.struct(x.alias("score"), known["field"].alias("field"))).otherwise(best))[0]
+        return F.when(2.0 * text.common_at_most(F.col("levels"), F.col("length"), known) / total <= best["score"], best).otherwise(new)
+
     scored = (
         header_table.select("dataset", "norm").distinct()
+        .withColumns({"points": text.codes(F.col("norm")), "length": F.length("norm")})
+        .withColumn("levels", text.char_levels(F.col("points")))
         .join(F.broadcast(_candidates(spark, extra)), "dataset")  # ten rows, one per schema
-        .withColumn("scores", F.transform("candidates", lambda c: F.struct(
-            F.array_max(F.transform(c["spellings"], lambda s: text.indel_ratio(F.col("norm"), s))).alias("score"),
-            c["field"].alias("field"),
-        )))
-        .withColumn("fuzzy_score", F.array_max(F.transform("scores", lambda s: s["score"])))
-        .withColumn("fuzzy_field", F.filter("scores", lambda s: s["score"] == F.col("fuzzy_score"))[0]["field"])
-        .select("dataset", "norm", "fuzzy_field", "fuzzy_score")
+        .withColumn("best", F.aggregate("candidates", best_of_none, better))
+        .select("dataset", "norm", F.col("best.field").alias("fuzzy_field"), F.col("best.score").alias("fuzzy_score"))
     )
     return header_table.join(scored, ["dataset", "norm"], "left")
 
