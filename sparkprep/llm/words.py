@@ -23,9 +23,12 @@ SEPARATOR[[32, *range(9, 14)]] = True
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A one-to-one scramble of 64-bit numbers."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    x = x ^ (x >> _U(30))
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(27)
+    x *= _U(0x94D049BB133111EB)
+    x ^= x >> _U(31)
+    return x
 
 
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * BASE)
