@@ -20,7 +20,8 @@ from sparkprep.operators import (
 )
 from sparkprep.operators.joins import BROADCAST_BYTES_CONF
 from sparkprep.session import scratch_path
-from sparkprep.sources import exports, layers, readers
+from sparkprep.plans import pipeline
+from sparkprep.sources import exports, layers, mappings, readers, state
 from sparkprep.streaming import landing
 
 Query = Callable[[Frames], DataFrame]
@@ -79,6 +80,50 @@ def src_5(f):
     return readers.incremental(events, "ts", events.where("ts < timestamp '2024-01-20'"))
 
 
+def _loads(f: Frames, ds: str, old: str, changed: dict[str, str]) -> DataFrame:
+    """A dataset's Silver brought by two loads: the first has half of the keys as they are, and an earlier state of some
+    others; the second has the other half, those among them."""
+    store, silver = layers.Store(f.spark, scratch_path(f.spark, "loads"), "p1"), f.silver(ds)
+    half = F.expr(f"pmod(crc32({old}), 2) = 0")
+    earlier = silver.where(~half).where(f"pmod(crc32({old}), 3) = 0").withColumns({c: F.expr(e) for c, e in changed.items()})
+    kept = state.KeyState(store, buckets=8)
+    kept.merge(silver.where(half).unionByName(earlier), ds, "run_1")
+    return kept.merge(silver.where(~half), ds, "run_2")
+
+
+@check("src_5_key_state", f"{ROWS} silver_shipment_history")
+def src_5_state(f):
+    return bare(_loads(f, "shipment_history", "shipment_id", {"volume": "volume + 1000", "product_id": "'gone'"}))
+
+
+@check("src_5_gold_over_loads", "SELECT shipment_id, cost_type, shipment_id_valid_ref, row_status FROM gold_shipment_cost")
+def src_5_gold(f):
+    """Costs of one load whose shipments came with the other are no misses."""
+    silver = {**f.silvers(*schema.MASTERS), "shipment_history": _loads(f, "shipment_history", "shipment_id", {"volume": "-1D"}),
+              "shipment_cost": _loads(f, "shipment_cost", "concat(shipment_id, cost_type, 'x')", {"cost_amount": "0D"})}
+    gold = pipeline.gold_tables(silver, fixtures.SCOPE_RULES, RUN, only=("shipment_cost",))
+    return gold.tables["shipment_cost"].select("shipment_id", "cost_type", "shipment_id_valid_ref", "row_status")
+
+
+@check("src_3_file_order", """SELECT user_id, arg_min(event_id, CASE WHEN value > 150 THEN -1e12 ELSE 0 END - event_id) AS event_id FROM events GROUP BY user_id""")
+def src_3_order(f):
+    """The first event of each user in files of unlike size that are split: large values first, then by falling id."""
+    spark, folder = f.spark, scratch_path(f.spark, "files")
+    events = f.base("events").select("event_id", "user_id", F.when(F.col("value") > 150, 0).otherwise(1).alias("part"))
+    events.repartitionByRange(3, "part", F.desc("event_id")).sortWithinPartitions("part", F.desc("event_id")).write.partitionBy("part").option("header", True).csv(folder)
+    store = layers.Store(spark, scratch_path(spark, "ordered"), "p1")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:  # landing reads the files, in small splits
+        for c in before:
+            spark.conf.set(c, "65536")
+        store.land(readers.in_file_order(readers.read_csv(spark, folder)), "events", RUN, "file")
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    first = ranking.dedup_first(store.read(layers.BRONZE, "events", RUN), ["user_id"], schema.ROW_ORD)
+    return first.select(F.col("user_id").cast("long").alias("user_id"), F.col("event_id").cast("long").alias("event_id"))
+
+
 @check("src_7_split_address", """SELECT Cust_Nbr, Address, CASE WHEN len(p) > 1 THEN p[2] END AS City,
     CASE WHEN len(p) > 2 THEN substr(array_to_string(p[3:], ','), 2, 2) END AS State,
     CASE WHEN len(p) > 2 THEN substr(array_to_string(p[3:], ','), 5, 20) END AS PostalCode
@@ -325,7 +370,10 @@ def map_9(f):
 @check("map_10_resolve", f"""SELECT project_id, dataset, raw_column, 'quantity_uom' AS canonical_field FROM ({_HEADER_SQL}) WHERE lower(raw_column) LIKE '%uom%'
     UNION ALL SELECT project_id, dataset, raw_column, canonical_field FROM ({_RULE_BASED_SQL}) WHERE lower(raw_column) NOT LIKE '%uom%'""")
 def map_10(f):
-    entries = mapping.resolve_mapping(_previous(f), header_table(f), overwrite=True)
+    """Earlier approvals are one version of the stored table, what is resolved anew is the next."""
+    kept = mappings.MappingStore(layers.Store(f.spark, scratch_path(f.spark, "mappings"), "p1"))
+    kept.save(_previous(f).withColumn("ordinal", F.lit(0)), base=0)
+    entries = kept.resolve(header_table(f), overwrite=True)
     return entries.where("approved").select("project_id", "dataset", "raw_column", "canonical_field")
 
 
@@ -445,7 +493,7 @@ def _changed_sql(ds: str, rawname: str, field: str) -> str:
 def cln_9(f):
     ds = "inventory_history"
     silver = clean.flag_outliers(f.silver(ds), ds)
-    log = clean.transform_log(clean.clean_strings(f.mapped(ds)), f.typed(ds), silver, ds, len(fixtures.MAPPINGS[ds]))
+    log = clean.transform_log(clean.clean_strings(f.mapped(ds)), f.silver(ds), silver, ds, len(fixtures.MAPPINGS[ds]))
     return log.select("column", "transformation", "records_affected")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,3 +45,11 @@ def to_timestamp(column: str, kind: T.DataType) -> Column:
 
 def is_numeric(kind: T.DataType) -> bool:
     return isinstance(kind, T.NumericType)
+
+
+def mark_of(df: DataFrame, watermark: str) -> Column:
+    """A watermark in its own order: text is read as a time, else as a number, never compared as text."""
+    kind = df.schema[watermark].dataType
+    if not isinstance(kind, T.StringType):
+        return F.col(name_sql(watermark))
+    return F.coalesce(F.unix_micros(to_timestamp(watermark, kind)).cast("double"), to_double(watermark))

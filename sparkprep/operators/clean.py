@@ -184,9 +184,10 @@ def missing_profile(df: DataFrame) -> DataFrame:
     )
 
 
-def transform_log(mapped: DataFrame, typed_rows: DataFrame, silver: DataFrame, dataset: str, n_mapped: int) -> DataFrame:
-    """Log rows (column, transformation, records_affected, note) of one Bronze -> Silver run.
-    `mapped`: after MAP and string cleaning; `typed_rows`: before dedup; `silver`: the result."""
+def transform_log(mapped: DataFrame, deduplicated: DataFrame, silver: DataFrame, dataset: str, n_mapped: int) -> DataFrame:
+    """Log rows (column, transformation, records_affected, note) of one Bronze -> Silver run, from one narrow pass over
+    `mapped` (after MAP and string cleaning). `deduplicated`: its Silver rows as written, which are only counted;
+    `silver`: the rows with outlier flags."""
     def entry(column: str, transformation: str, affected: Column, note: str | None) -> Column:
         return F.struct(
             F.lit(column).alias("column"), F.lit(transformation).alias("transformation"),
@@ -199,9 +200,8 @@ def transform_log(mapped: DataFrame, typed_rows: DataFrame, silver: DataFrame, d
         entry("ALL", "column_mapping", F.col("rows"), f"Mapped {n_mapped} raw columns to canonical schema."),
         *[entry(c, "categorical_normalization", F.col(c), None) for c in present],
     )))
-    keys = _keys_in(typed_rows, dataset)
-    by = keys or data_columns(typed_rows)
-    removed = typed_rows.groupBy(*by).agg((F.count("*") - 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    keys = _keys_in(silver, dataset)
+    removed = changes.select((F.col("rows") - deduplicated.agg(F.count("*")).scalar()).alias("n"))
     dedup = removed.select(
         F.lit("ALL").alias("column"), F.lit("deduplication").alias("transformation"), F.col("n").alias("records_affected"),
         F.format_string("Removed %d duplicate rows; kept first occurrence.", F.col("n")).alias("note"),

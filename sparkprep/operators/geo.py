@@ -11,7 +11,7 @@ from sparkprep.functions import text
 from sparkprep.functions.address import parse_address
 from sparkprep.functions.lookup import literal_map
 from sparkprep.operators.joins import lookup_join
-from sparkprep.operators.validate import record_id
+from sparkprep.operators.validate import finding_log
 from sparkprep.schema import ROW_ORD
 
 # --- fixed values: confidence of each kind of evidence, and the threshold for applying it ---
@@ -23,6 +23,7 @@ _ITEM = (
     "manual_review_required boolean"
 )
 LOG_SCHEMA = f"dataset_name string, run_id string, record_id string, {_ITEM}"
+REVIEW = "_review"  # the column that holds a row's tries to fill a field
 
 # --- fixed values: city, state, latitude, longitude ---
 CITIES = """
@@ -164,10 +165,10 @@ def _with_attempts(df: DataFrame, threshold: float, gazetteer: DataFrame | None)
     return df, has
 
 
-def enrich_geo(
-    gold: DataFrame, dataset: str, run_id: str, threshold: float = THRESHOLD, gazetteer: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """(rows with missing city, state, postal code, latitude, longitude filled, review queue).
+def with_review(
+    gold: DataFrame, dataset: str, threshold: float = THRESHOLD, gazetteer: DataFrame | None = None
+) -> DataFrame:
+    """Rows with missing city, state, postal code, latitude, longitude filled, and what was tried in `_review`.
 
     Evidence in order: the row's own address, the first record with the same postal code, the city
     table. A fill needs a confidence of at least `threshold` and marks the row for review.
@@ -192,13 +193,16 @@ def enrich_geo(
             'confidence', _try_{f}.confidence, 'rationale', _try_{f}.rationale, 'applied', {applied[f]},
             'manual_review_required', true))"""
 
-    items = ", ".join(map(item, fields)) or f"CAST(NULL AS {T.StructType.fromDDL(_ITEM).simpleString()})"
-    order = [ROW_ORD] if ROW_ORD in df.columns else []
-    review = df.select(
-        F.lit(dataset).alias("dataset_name"), F.lit(run_id).alias("run_id"),
-        record_id(df, dataset).alias("record_id"), *order, F.expr(f"inline(array_compact(array({items})))"),
-    )
-    return df.selectExpr(*map(filled, gold.columns)), review
+    tried = f"CAST(array_compact(array({', '.join(map(item, fields))})) AS array<{T.StructType.fromDDL(_ITEM).simpleString()}>)"
+    return df.selectExpr(*map(filled, gold.columns), f"{tried} AS {REVIEW}")
+
+
+def enrich_geo(
+    gold: DataFrame, dataset: str, run_id: str, threshold: float = THRESHOLD, gazetteer: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(rows as of with_review(), review queue)."""
+    df = with_review(gold, dataset, threshold, gazetteer)
+    return df.drop(REVIEW), finding_log(df, F.col(REVIEW), dataset, run_id)
 
 
 PLACE_PARTS = ["address_line_1", "address_line_2", "city", "state", "postal_code", "country"]

@@ -178,11 +178,21 @@ def suggest(header_table: DataFrame, extra: dict[str, list[str]] | None = None)
     return rationale(auto_approve(claim(match_fuzzy(match_aliases(header_table, extra), extra))))
 
 
+def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """One row a key: the last by those of the `order` columns that are there, then by all other columns."""
+    rest = [c for c in df.columns if c not in key]
+    by = [c for c in order if c in rest]
+    last = df.groupBy(*key).agg(F.max(F.struct(*by, *[c for c in rest if c not in by])).alias("_last"))
+    return last.select(*key, *[F.col("_last")[c].alias(c) for c in rest])
+
+
 def merge_approved(previous: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Entries for the fresh headers; an entry approved before is kept as it was."""
+    """Entries for the fresh headers; an entry approved before is kept as it was. Of several earlier entries for one
+    header the one of the last `version` counts, without that column the greatest."""
     key = [*FILE_KEY, "raw_column"]
     fields = ["canonical_field", "confidence", "source", "approved", "approver"]
-    kept = previous.where(F.col("approved") & (F.col("canonical_field") != "")).select(
+    known = previous.select(*key, *[c for c in ("version",) if c in previous.columns], *fields)
+    kept = latest(known, key, ["version"]).where(F.col("approved") & (F.col("canonical_field") != "")).select(
         *key, F.struct(*fields).alias("_kept")
     )
     joined = fresh.join(kept, key, "left")
@@ -194,11 +204,11 @@ def merge_approved(previous: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def decide(entries: DataFrame, decisions: DataFrame, approver: str = "user") -> DataFrame:
     """Manual approvals and replacements: `decisions` has the file key, raw_column, canonical_field
-    (null keeps the suggested field) and approved."""
+    (null keeps the suggested field) and approved. Of several decisions on one header the one of the last `decided_at`
+    counts, without that column the greatest."""
     key = [*FILE_KEY, "raw_column"]
-    d = decisions.select(
-        *key, F.struct("canonical_field", "approved").alias("_decision")
-    )
+    given = decisions.select(*key, *[c for c in ("decided_at",) if c in decisions.columns], "canonical_field", "approved")
+    d = latest(given, key, ["decided_at"]).select(*key, F.struct("canonical_field", "approved").alias("_decision"))
     made = F.col("_decision").isNotNull()
     field = F.coalesce(F.col("_decision.canonical_field"), F.col("canonical_field"))
     return (
@@ -240,14 +250,3 @@ def with_fallbacks(df: DataFrame, *columns: str) -> DataFrame:
             value = typed.to_double(raw) if name in _NUMERIC_FALLBACKS else F.col(raw)
             df = df.withColumn(name, value)
     return df
-
-
-def resolve_mapping(
-    existing: DataFrame | None, header_table: DataFrame, overwrite: bool = False, extra: dict | None = None
-) -> DataFrame:
-    """The stored entries if there are any and no refresh is asked for; else fresh suggestions that
-    keep what was approved before."""
-    if existing is not None and not overwrite:
-        return existing
-    fresh = suggest(header_table, extra)
-    return merge_approved(existing, fresh) if existing is not None else fresh

@@ -121,10 +121,3 @@ def profile_run(df: DataFrame, dataset: str, run_id: str, profiles: DataFrame |
     rows = column_profile(df).select(F.lit(dataset).alias("dataset_name"), F.lit(run_id).alias("run_id"), "*")
     before = None if profiles is None else previous_run(profiles, dataset, run_id)
     return rows, schema_drift(schema_table(df), before)
-
-
-def empty_profiles(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [], "dataset_name string, run_id string, column string, dtype string, null_count bigint, null_pct double, "
-        "distinct_count bigint, min double, max double, mean double, median double",
-    )

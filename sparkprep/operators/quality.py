@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkprep import schema
+from sparkprep.operators import validate
 from sparkprep.operators.joins import lookup_join, quoted
 from sparkprep.operators.ranking import union_all
 from sparkprep.operators.scope import INCLUDED
@@ -104,6 +108,23 @@ def run_summary(
     return union_all(parts)
 
 
+def counters(df: DataFrame, findings: tuple[str, ...]) -> list[Column]:
+    """What a summary needs of one dataset's checked rows, as aggregates to observe while they are written."""
+    out = F.count_if(~F.col(INCLUDED)) if INCLUDED in df.columns else F.lit(0).cast("bigint")
+    found = [(F.coalesce(F.sum(F.size(f)), F.lit(0)) if f in df.columns else F.lit(0).cast("bigint")).alias(f) for f in findings]
+    return [F.count(F.lit(1)).alias("row_count"), *_status_counts(df), F.coalesce(out, F.lit(0)).alias("scope_excluded"), *found]
+
+
+def summary_of(spark: SparkSession, counts: dict[str, dict[str, int]], skipped: dict[str, str], unprofiled: dict[str, str]) -> DataFrame:
+    """The run summary from observed counters(): one row a dataset and one a log."""
+    names = ("row_count", "valid", "needs_review", "invalid", "scope_excluded")
+    rows = [(ds, "rows", *[c[n] for n in names], None) for ds, c in counts.items()]
+    rows += [("ALL", kind, sum(c[f] for c in counts.values()), None, None, None, None, None) for kind, f in
+             (("issues", "_issues"), ("review_queue", "_review"), ("cross_reference_exceptions", "_misses"))]
+    rows += [(ds, kind, None, None, None, None, None, why) for kind, which in (("skipped", skipped), ("profiling_failed", unprofiled)) for ds, why in which.items()]
+    return spark.createDataFrame(rows, "dataset string, kind string, " + ", ".join(f"{n} bigint" for n in names) + ", reason string")
+
+
 def stage_view(layers: dict[str, DataFrame | None], sample: int | None = 5) -> tuple[DataFrame, dict[str, DataFrame]]:
     """(layer, available, row_count, column_count, scope and status counts) and a sample per layer
     (all rows with None)."""
@@ -139,23 +160,36 @@ def latest_run(summary: DataFrame) -> DataFrame:
     return summary.agg(F.max("run_id").alias("run_id"))
 
 
-def apply_review_decisions(gold: DataFrame, dataset: str, key: str, review: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Apply decisions on filled values: `replace` writes the corrected value, `reject` takes the fill
-    back, `approve` and `unresolved` leave it. `decisions`: record_id, field, decision, corrected_value, and
-    decided_at where a value can be decided on more than once: the last decision counts (of equal times, and without
-    the column, the greatest decision and value)."""
-    when = F.col("decided_at") if "decided_at" in decisions.columns else F.lit(None).cast("timestamp")
-    order = F.struct(when.alias("at"), "decision", "corrected_value")
-    decisions = decisions.groupBy("record_id", "field").agg(F.max(order).alias("d")).select("record_id", "field", "d.*")
-    fields = [f for f in ("city", "state", "postal_code", "latitude", "longitude") if f in gold.columns]
-    made = (
-        review.where((F.col("dataset_name") == dataset) & F.col("applied"))
-        .join(decisions, ["record_id", "field"])
-        .where(F.col("decision").isin("replace", "reject"))
-        .groupBy("record_id")
-        .agg(*[
-            F.max(F.when(F.col("field") == f, F.struct("decision", "corrected_value"))).alias(f"_d_{f}") for f in fields
-        ])
+DECISIONS = "dataset_name string, record_id string, field string, decision string, corrected_value string, reviewer string, comment string, decided_at timestamp"
+KINDS = ("approve", "reject", "replace", "unresolved")
+
+
+def last_decisions(decisions: DataFrame, at: datetime | None = None) -> DataFrame:
+    """(record_id, field, decision, corrected_value): the last decision on each value, up to a time. Of equal times, and
+    without the column decided_at, the greatest decision and value counts."""
+    timed = "decided_at" in decisions.columns
+    if at is not None and timed:
+        decisions = decisions.where(F.col("decided_at") <= F.lit(at))
+    order = F.struct((F.col("decided_at") if timed else F.lit(None).cast("timestamp")).alias("at"), "decision", "corrected_value")
+    return decisions.groupBy("record_id", "field").agg(F.max(order).alias("d")).select("record_id", "field", "d.decision", "d.corrected_value")
+
+
+def apply_review_decisions(
+    gold: DataFrame, dataset: str, key: str, review: DataFrame, decisions: DataFrame, at: datetime | None = None
+) -> DataFrame:
+    """Gold as of a time, after the decisions on its filled values: `replace` writes the corrected value, `reject` takes
+    the fill back, `approve` and `unresolved` leave it. `decisions`: record_id, field, decision, corrected_value, and
+    decided_at where a value can be decided on more than once; the last one counts.
+
+    The status of a row with filled values is found anew: its checks run on the values it has now, references keep their
+    result, and the row waits for review as long as a fill is undecided or unresolved."""
+    if "dataset_name" in decisions.columns:
+        decisions = decisions.where(F.col("dataset_name") == dataset)
+    fields = [f for f in schema.GEO_FIELDS if f in gold.columns]
+    fills = review.where((F.col("dataset_name") == dataset) & F.col("applied")).join(last_decisions(decisions, at), ["record_id", "field"], "left")
+    made = fills.groupBy("record_id").agg(
+        F.bool_or(F.col("decision").isNull() | (F.col("decision") == "unresolved")).alias("_open"),
+        *[F.max(F.when((F.col("field") == f) & F.col("decision").isin("replace", "reject"), F.struct("decision", "corrected_value"))).alias(f"_d_{f}") for f in fields],
     )
     joined = lookup_join(gold.withColumn("record_id", F.col(key).cast("string")), made, "record_id")
     out = []
@@ -165,4 +199,18 @@ def apply_review_decisions(gold: DataFrame, dataset: str, key: str, review: Data
             value = F.when(d["decision"] == "replace", d["corrected_value"]).try_cast(gold.schema[name].dataType)
             c = F.when(d.isNotNull(), value).otherwise(c)
         out.append(c.alias(name))
-    return joined.select(*out)
+    now = joined.select(*out, "_open")
+    if "row_status" not in gold.columns:
+        return now.drop("_open")
+    todo = validate.checks(now, dataset)
+    sound = ~F.expr(" OR ".join(c.fails for c in todo if c.invalidates) or "false")
+    for ref in [c for c in gold.columns if c.endswith("_valid_ref")]:
+        sound = sound & F.col(ref)
+    review_again = F.col("_open") | F.expr(" OR ".join(c.fails for c in todo if c.review) or "false")
+    status = {
+        "is_valid": sound, "needs_review": review_again,
+        "row_status": F.when(review_again, "needs_review").when(sound, "valid").otherwise("invalid"),
+    }
+    return now.select(*[
+        (F.when(F.col("_open").isNotNull(), status[n]).otherwise(c) if n in status else c).alias(n) for c, n in zip(quoted(gold), gold.columns)
+    ])

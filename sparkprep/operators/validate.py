@@ -14,10 +14,12 @@ from sparkprep.functions.lookup import sql_literal
 from sparkprep.schema import ROW_ORD
 
 
-LOG_SCHEMA = (
-    "dataset_name string, run_id string, record_id string, canonical_field string, issue_type string, "
-    "issue_description string, severity string, raw_value string, manual_review_required boolean"
+ITEM = (
+    "canonical_field string, issue_type string, issue_description string, severity string, raw_value string, "
+    "manual_review_required boolean"
 )
+LOG_SCHEMA = f"dataset_name string, run_id string, record_id string, {ITEM}"
+ISSUES = "_issues"  # the column that holds a row's failed checks
 
 
 @dataclass(frozen=True)
@@ -98,19 +100,33 @@ def add_status(df: DataFrame, dataset: str, strict: bool = False, todo: list[Che
     )
 
 
+def issues_of(todo: list[Check]) -> Column:
+    """The failed checks of a row as an array."""
+    return F.expr(f"array_compact(array({', '.join(c.item() for c in todo)}))").cast(f"array<struct<{ITEM}>>")
+
+
+def finding_log(df: DataFrame, findings: Column, dataset: str, run_id: str) -> DataFrame:
+    """One row per finding of each row's array, with the record's id and order."""
+    order = [ROW_ORD] if ROW_ORD in df.columns else []
+    return df.select(
+        F.lit(dataset).alias("dataset_name"), F.lit(run_id).alias("run_id"), record_id(df, dataset).alias("record_id"), *order, F.inline(findings)
+    )
+
+
 def issue_log(
     df: DataFrame, dataset: str, run_id: str, strict: bool = False, todo: list[Check] | None = None
 ) -> DataFrame:
     """One row per failed check, from one pass over the rows."""
-    todo = checks(df, dataset, strict) if todo is None else todo
-    order = [ROW_ORD] if ROW_ORD in df.columns else []
-    return df.select(
-        F.lit(dataset).alias("dataset_name"), F.lit(run_id).alias("run_id"),
-        record_id(df, dataset).alias("record_id"), *order, F.expr(f"inline(array_compact(array({', '.join(c.item() for c in todo)})))"),
-    )
+    return finding_log(df, issues_of(checks(df, dataset, strict) if todo is None else todo), dataset, run_id)
 
 
 def validate(df: DataFrame, dataset: str, run_id: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows with status, issue log)."""
     todo = checks(df, dataset, strict)
     return add_status(df, dataset, todo=todo), issue_log(df, dataset, run_id, todo=todo)
+
+
+def with_issues(df: DataFrame, dataset: str, strict: bool = False) -> DataFrame:
+    """Rows with status, and the failed checks in `_issues`."""
+    todo = checks(df, dataset, strict)
+    return add_status(df, dataset, todo=todo).withColumn(ISSUES, issues_of(todo))

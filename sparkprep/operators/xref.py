@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from sparkprep import schema
 from sparkprep.functions import text
 from sparkprep.operators.joins import lookup_join, quoted
-from sparkprep.operators.validate import record_id
+from sparkprep.operators.validate import finding_log
 from sparkprep.schema import ROW_ORD, ForeignKey
 
 _ITEM = (
@@ -19,6 +19,7 @@ _ITEM = (
     "destination_type string"
 )
 LOG_SCHEMA = f"dataset_name string, run_id string, record_id string, {_ITEM}, count int"
+MISSES = "_misses"  # the column that holds a row's exceptions
 
 
 def _keys(parents: dict[str, DataFrame], name: str) -> DataFrame | None:
@@ -91,11 +92,9 @@ def _check(df: DataFrame, fk: ForeignKey, keys: DataFrame) -> tuple[DataFrame, d
     return df, added, item
 
 
-def cross_reference(
-    gold: DataFrame, dataset: str, run_id: str, parents: dict[str, DataFrame]
-) -> tuple[DataFrame, DataFrame]:
-    """(rows with `<field>_valid_ref` and updated status, exception log). A null key is valid; a rule
-    without parent table is skipped. `parents` only needs the key columns."""
+def with_misses(gold: DataFrame, dataset: str, parents: dict[str, DataFrame]) -> DataFrame:
+    """Rows with `<field>_valid_ref` and updated status, and their exceptions in `_misses`. A null key is valid; a
+    rule without parent table is skipped. `parents` only needs the key columns."""
     df, added, items = gold, {}, []
     for fk in schema.FOREIGN_KEYS.get(dataset, ()):
         keys = available_keys(fk, parents) if fk.field in gold.columns else None
@@ -104,26 +103,29 @@ def cross_reference(
             added.update(new)
             items.append(item)
     if not items:
-        return gold, _exceptions(gold, dataset, run_id, [F.lit(None).cast(T.StructType.fromDDL(_ITEM))])
-    log = _exceptions(df, dataset, run_id, items)
+        return gold.withColumn(MISSES, F.array().cast(f"array<struct<{_ITEM}>>"))
     all_found = reduce(lambda a, b: a & b, [c for n, c in added.items() if n.endswith("_valid_ref")])
     replaced = (*added, "is_valid", "row_status")
     kept = [c for c, name in zip(quoted(gold), gold.columns) if name not in replaced]
-    checked = df.select(
+    return df.select(
         *kept, *[c.alias(n) for n, c in added.items()],
         (F.col("is_valid") & all_found).alias("is_valid"),
         F.when(all_found | (F.col("row_status") == "needs_review"), F.col("row_status")).otherwise("invalid").alias("row_status"),
+        F.array_compact(F.array(*items)).alias(MISSES),
     )
-    return checked, log
 
 
-def _exceptions(df: DataFrame, dataset: str, run_id: str, items: list[Column]) -> DataFrame:
-    order = [ROW_ORD] if ROW_ORD in df.columns else []
-    return df.select(
-        F.lit(dataset).alias("dataset_name"), F.lit(run_id).alias("run_id"),
-        record_id(df, dataset).alias("record_id"), *order,
-        F.inline(F.array_compact(F.array(*items))), F.lit(1).alias("count"),
-    )
+def exception_log(df: DataFrame, dataset: str, run_id: str) -> DataFrame:
+    """One row per exception in `_misses`."""
+    return finding_log(df, F.col(MISSES), dataset, run_id).withColumn("count", F.lit(1))
+
+
+def cross_reference(
+    gold: DataFrame, dataset: str, run_id: str, parents: dict[str, DataFrame]
+) -> tuple[DataFrame, DataFrame]:
+    """(rows as of with_misses(), exception log)."""
+    df = with_misses(gold, dataset, parents)
+    return df.drop(MISSES), exception_log(df, dataset, run_id)
 
 
 def grouped_exceptions(log: DataFrame) -> DataFrame:

@@ -8,19 +8,23 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
+from functools import partial
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from sparkprep.schema import ROW_ORD
+from sparkprep.functions.typed import mark_of
+from sparkprep.operators.quality import apply_review_decisions
+from sparkprep.schema import RECORD_ID, ROW_ORD
 
-BRONZE, SILVER, GOLD, LOGS = "bronze", "silver", "gold", "logs"
+BRONZE, SILVER, CHECKED, GOLD, LOGS = "bronze", "silver", "checked", "gold", "logs"
 LANDING_SCHEMA = (
     "dataset string, run_id string, project_id string, source string, row_count bigint, duration_seconds double, "
-    "success boolean, path string, error string"
+    "success boolean, path string, error string, watermark string, high_mark string, unmarked bigint, last_row bigint"
 )
 
 
@@ -29,8 +33,13 @@ def new_run_id() -> str:
     return f"run_{datetime.now(timezone.utc):%Y%m%dT%H%M%S}_{uuid.uuid4().hex[:8]}"
 
 
+def reason(error: BaseException) -> str:
+    return (str(error).splitlines() or [type(error).__name__])[0]
+
+
 def with_row_order(df: DataFrame) -> DataFrame:
-    """Adds `_row_ord` in file order. It is fixed by being written at landing: never recompute it later."""
+    """Adds `_row_ord` where the reader has not (readers.in_file_order()): the order in which Spark has the rows. It is
+    fixed by being written at landing: never recompute it later."""
     return df if ROW_ORD in df.columns else df.withColumn(ROW_ORD, F.monotonically_increasing_id())
 
 
@@ -46,13 +55,40 @@ class Store:
         df.write.mode(mode).parquet(path)
         return path
 
-    def write_all(self, tables: dict[str, DataFrame], layer: str, run_id: str, at_once: int = 4) -> None:
-        """Write several datasets as concurrent jobs, so a small or single-file one does not leave the
-        cluster idle. The first failure is raised after all have ended."""
+    def tag(self, layer: str, dataset: str, run_id: str) -> str:
+        return f"sparkprep.{self.project_id}.{run_id}.{layer}.{dataset}"
+
+    def cancel(self, layer: str, dataset: str, run_id: str) -> None:
+        """Ends the jobs that write one dataset of a run; the other datasets go on."""
+        self.spark.sparkContext.cancelJobsWithTag(self.tag(layer, dataset, run_id))
+
+    def try_all(self, work: dict[str, Callable[[], object]], layer: str, run_id: str, at_once: int = 4) -> tuple[dict[str, object], dict[str, str]]:
+        """(results, reasons of failures) of several datasets' work, as concurrent jobs, so a small or single-file
+        one does not leave the cluster idle. Each dataset is a fault domain: its jobs have a tag of their own, and
+        its failure, or cancel(), leaves the others alone."""
+        def tagged(ds: str) -> object:
+            sc = self.spark.sparkContext
+            sc.addJobTag(self.tag(layer, ds, run_id))
+            try:
+                return work[ds]()
+            finally:
+                sc.removeJobTag(self.tag(layer, ds, run_id))
+
+        done, failed = {}, {}
         with ThreadPoolExecutor(at_once) as pool:
-            jobs = [pool.submit(self.write, df, layer, ds, run_id) for ds, df in tables.items()]
-        for job in jobs:
-            job.result()
+            jobs = {ds: pool.submit(tagged, ds) for ds in work}
+        for ds, job in jobs.items():
+            if job.exception() is None:
+                done[ds] = job.result()
+            else:
+                failed[ds] = reason(job.exception())
+        return done, failed
+
+    def write_all(self, tables: dict[str, DataFrame], layer: str, run_id: str, at_once: int = 4) -> None:
+        """Write several datasets as concurrent jobs. Failures are raised after all have ended."""
+        _, failed = self.try_all({ds: partial(self.write, df, layer, ds, run_id) for ds, df in tables.items()}, layer, run_id, at_once)
+        if failed:
+            raise RuntimeError("; ".join(f"[{ds}] {why}" for ds, why in failed.items()))
 
     def read(self, layer: str, dataset: str, run_id: str) -> DataFrame:
         return self.spark.read.parquet(self.path(layer, dataset, run_id))
@@ -73,23 +109,46 @@ class Store:
         except AnalysisException:
             return None
 
-    def land(self, raw: DataFrame, dataset: str, run_id: str, source: str) -> DataFrame:
+    def loads(self, dataset: str) -> DataFrame | None:
+        """The extraction log of a dataset: one row for each landing that succeeded."""
+        log = self.history(LOGS, "extraction")
+        return None if log is None else log.where((F.col("dataset") == dataset) & F.col("success"))
+
+    def land(self, raw: DataFrame, dataset: str, run_id: str, source: str, watermark: str | None = None, after: int | None = None) -> DataFrame:
         """Write the raw rows unchanged, once, and log the extraction; returns the log row. A failing
-        source is logged with its error."""
+        source is logged with its error. With a watermark column the log keeps its highest value and how many rows have
+        none; row order goes on `after` the one that an earlier load ended with."""
         seen, started, error = Observation(), time.monotonic(), None
         path = self.path(BRONZE, dataset, run_id)
+        got = {"n": 0, "high": None, "unmarked": None, "last": None}
         try:
-            self.write(with_row_order(raw).observe(seen, F.count(F.lit(1)).alias("n")), BRONZE, dataset, run_id)
-            rows = seen.get["n"]
+            rows = with_row_order(raw)
+            if after is not None:
+                rows = rows.withColumn(ROW_ORD, F.col(ROW_ORD) + F.lit(after + 1))
+            metrics = [F.count(F.lit(1)).alias("n")]
+            if watermark:
+                mark = mark_of(rows, watermark)
+                metrics += [
+                    F.max(mark).cast("string").alias("high"), F.count_if(mark.isNull()).alias("unmarked"),
+                    F.max(F.col(ROW_ORD).cast("bigint")).alias("last"),
+                ]
+            self.write(rows.observe(seen, *metrics), BRONZE, dataset, run_id)
+            got |= seen.get
         except Exception as failure:  # any source error belongs in the log
-            rows, error = 0, str(failure).splitlines()[0]
-        row = (dataset, run_id, self.project_id, source, rows, time.monotonic() - started, error is None, path, error)
+            error = reason(failure)
+        row = (
+            dataset, run_id, self.project_id, source, got["n"], time.monotonic() - started, error is None, path, error, watermark,
+            got["high"], got["unmarked"], got["last"],
+        )
         record = self.spark.createDataFrame([row], LANDING_SCHEMA)
-        self.append_log(record, "extraction", run_id)
+        self.append_log(record, "extraction", run_id, dataset=dataset)
         return record
 
-    def append_log(self, df: DataFrame, name: str, run_id: str) -> None:
-        df.drop("run_id").write.mode("append").parquet(self.path(LOGS, name, run_id))
+    def append_log(self, df: DataFrame, name: str, run_id: str, **part: str) -> None:
+        """`part` names a column and its one value, as a directory of its own: logs of several datasets can then be
+        written at once."""
+        below = "".join(f"/{c}={v}" for c, v in part.items())
+        df.drop("run_id", *part).write.mode("append").parquet(self.path(LOGS, name, run_id) + below)
 
     def read_log(self, name: str, run_id: str, dataset: str | None = None) -> DataFrame | None:
         log = self.find(LOGS, name, run_id)
@@ -97,3 +156,16 @@ class Store:
             return None
         log = log.withColumn("run_id", F.lit(run_id))
         return log if dataset is None else log.where(F.col("dataset_name") == dataset)
+
+    def record_decisions(self, decisions: DataFrame, run_id: str) -> None:
+        """Appends review decisions on a run's filled values to its decision log, as of now where they have no time."""
+        if "decided_at" not in decisions.columns:
+            decisions = decisions.withColumn("decided_at", F.current_timestamp())
+        self.append_log(decisions, "review_decisions", run_id)
+
+    def reviewed(self, dataset: str, run_id: str, at: datetime | None = None) -> DataFrame:
+        """A run's Gold with all decisions on it up to a time."""
+        gold, log = self.read(GOLD, dataset, run_id), self.find(LOGS, "review_decisions", run_id)
+        if log is None:
+            return gold
+        return apply_review_decisions(gold, dataset, RECORD_ID[dataset], self.read_log("review_queue", run_id), log, at)

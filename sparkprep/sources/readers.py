@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparkprep import schema
-from sparkprep.functions import typed
 from sparkprep.functions.address import split_address
 from sparkprep.functions.text import name_sql
+from sparkprep.functions.typed import mark_of
+from sparkprep.operators.joins import BROADCAST_BYTES, BROADCAST_BYTES_CONF, quoted
+from sparkprep.operators.ranking import running_sum
+from sparkprep.session import cut_lineage
+from sparkprep.sources.layers import BRONZE, Store
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -46,33 +50,83 @@ def read_jdbc(spark: SparkSession, **options) -> DataFrame:
     return spark.read.format("jdbc").options(**jdbc_options(**options)).load()
 
 
-def _mark(df: DataFrame, watermark: str) -> Column:
-    """A watermark in its own order: text is read as a time, else as a number, never compared as text."""
-    kind = df.schema[watermark].dataType
-    if not isinstance(kind, T.StringType):
-        return F.col(name_sql(watermark))
-    stamp = typed.to_timestamp(watermark, kind)
-    return F.coalesce(F.unix_micros(stamp).cast("double"), typed.to_double(watermark))
-
-
-def incremental(df: DataFrame, watermark: str | None, previous: DataFrame | None) -> DataFrame:
+def incremental(df: DataFrame, watermark: str | None, previous: DataFrame | None, high: Column | None = None) -> DataFrame:
     """Rows that the previous load did not have, told by a watermark column. Without one, or without an
     earlier load, everything is new.
 
     Rows beyond the previous high-water mark are new. Rows at the mark, and rows whose watermark is null or
     cannot be read, are new as far as the previous load has no equal row (counting repeated rows), so a mark
-    that many rows share loses nothing. A column that the previous load lacks counts as null there.
+    that many rows share loses nothing. A column that the previous load lacks counts as null there. Where the mark is
+    known (`high`), `previous` only has to have the earlier rows at the mark and those without one.
     """
     if watermark is None or previous is None:
         return df
-    high = previous.agg(F.max(_mark(previous, watermark))).scalar()
-    mark, had = _mark(df, watermark), _mark(previous, watermark)
+    had, mark = mark_of(previous, watermark), mark_of(df, watermark)
+    if high is None:
+        high = previous.agg(F.max(had)).scalar()
+    data = [f for f in df.schema if f.name != schema.ROW_ORD]
     same_shape = [
-        (F.col(name_sql(f.name)) if f.name in previous.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema
+        (F.col(name_sql(f.name)) if f.name in previous.columns else F.lit(None)).cast(f.dataType).alias(f"_{i}") for i, f in enumerate(data)
     ]
-    loaded = previous.where(had.isNull() | (had == high)).select(*same_shape)
+    loaded = previous.where(had.isNull() | (had == high)).select(*same_shape).groupBy(*[f"_{i}" for i in range(len(data))]).agg(F.count("*").alias("_loaded"))
     beyond = df.where(mark.isNotNull() & (high.isNull() | (mark > high)))
-    return beyond.unionByName(df.where(mark.isNull() | (mark == high)).exceptAll(loaded))
+    columns = [F.col(name_sql(f.name)) for f in data]
+    order = F.col(schema.ROW_ORD) if schema.ROW_ORD in df.columns else F.lit(0)
+    again = df.where(mark.isNull() | (mark == high)).withColumn("_nth", F.row_number().over(Window.partitionBy(*columns).orderBy(order)))
+    same = reduce(lambda a, b: a & b, [c.eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(columns)])
+    again = again.join(loaded, same, "left").where("_nth > coalesce(_loaded, 0)")
+    return beyond.unionByName(again.select(*quoted(df)))
+
+
+def since_last(store: Store, df: DataFrame, dataset: str, watermark: str | None) -> tuple[DataFrame, int | None]:
+    """(new rows of a dataset, last row number of its earlier loads). Mark and row number come from the extraction
+    log; only the loads that hold rows at the mark, or rows without one, are read again."""
+    loads = store.loads(dataset) if watermark else None
+    # one row a load
+    log = [] if loads is None else loads.where(F.col("watermark") == watermark).select("run_id", "high_mark", "unmarked", "last_row").collect()
+    if not log:
+        return df, None
+    kind = next(iter(df.select(mark_of(df, watermark).alias("m")).schema)).dataType
+    marks = store.spark.createDataFrame([(r["run_id"], r["high_mark"]) for r in log], "run_id string, mark string").select("run_id", F.col("mark").cast(kind).alias("mark"))
+    top = marks.where(F.col("mark") == marks.agg(F.max("mark")).scalar()).collect()
+    high = F.lit(next((r["high_mark"] for r in log if top and r["run_id"] == top[0]["run_id"]), None)).cast(kind)
+    holding = {r["run_id"] for r in top} | {r["run_id"] for r in log if r["unmarked"]}
+    paths = [store.path(BRONZE, dataset, run) for run in sorted(holding)]
+    last = max((r["last_row"] for r in log if r["last_row"] is not None), default=None)
+    if not paths:
+        return df, last
+    return incremental(df, watermark, store.spark.read.option("mergeSchema", True).parquet(*paths), high), last
+
+
+ROW_BITS = 33  # rows of one task
+
+
+def in_file_order(df: DataFrame) -> DataFrame:
+    """Adds `_row_ord` to a frame read from files: by path, then by place in the file, whatever the order in which
+    Spark packs splits of files into tasks.
+
+    A row's number is that of its split, and below it the row's number in its task, which rises within a split. Splits
+    are numbered by path and start with a running sum over their list, which one narrow scan yields; no task sees all
+    of them. The frame has to be read under the settings for splits that it was made under; a row of a split that is not
+    in the list ends the read. Frames that do not come straight from files are returned as they are.
+    """
+    places = {"_path": "_metadata.file_path", "_start": "_metadata.file_block_start"}
+    try:
+        placed = df.select(*quoted(df), *[F.col(p).alias(n) for n, p in places.items()])
+    except AnalysisException:
+        return df
+    splits = placed.select(*places).groupBy(*places).agg(F.lit(1).cast("long").alias("n"))
+    numbered = cut_lineage(running_sum(splits, "n", [F.col("_path").asc(), F.col("_start").asc()], "_split").select(*places, "_split"))
+    if numbered.count() * SPLIT_BYTES <= int(df.sparkSession.conf.get(BROADCAST_BYTES_CONF, str(BROADCAST_BYTES))):
+        numbered = F.broadcast(numbered)
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    found = placed.withColumn("_within", within).join(numbered, list(places), "left")
+    split = F.when(F.col("_split").isNull(), F.raise_error(F.lit("the files are split in another way now")).cast("long")).otherwise(F.col("_split"))
+    order = F.call_function("shiftleft", split, F.lit(ROW_BITS)) + F.col("_within")
+    return found.select(*quoted(df), order.alias(schema.ROW_ORD))
+
+
+SPLIT_BYTES = 400  # of one numbered split in a broadcast: a path and two numbers
 
 
 def with_split_address(df: DataFrame, column: str, names: tuple[str, str, str] = ("City", "State", "PostalCode")) -> DataFrame:
@@ -130,7 +184,7 @@ def open_sources(
             if kind == "file":
                 if not source.path:
                     raise ValueError("no file given")
-                frames[ds] = read_csv(spark, source.path)
+                frames[ds] = in_file_order(read_csv(spark, source.path))
             elif kind == "sql":
                 frames[ds] = read_jdbc(spark, **source.options)
             elif kind == "sample" and (source.frame is not None or samples is not None):
