@@ -176,8 +176,8 @@ def ordered(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", rows:
 def cascade(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...], counters: tuple[str, ...], key: str, passed: bool) -> Iterator[pa.RecordBatch]:
     names = [key, *counters, "rejected_by", "kept"]
     for batch in batches:
-        batch = batch.append_column("row of batch", pa.array(np.arange(batch.num_rows)))
-        for rows, offsets, data in W.chunks(batch, "row of batch"):
+        numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column("text")], names=["row", "text"])
+        for rows, offsets, data in W.chunks(numbered, "row"):
             texts = Texts(offsets, data)
             values = [pa.array(texts[c], pa.int64()) for c in counters]
             reason, left, alive = np.full(len(rows), None, object), texts, np.arange(len(rows))
@@ -192,7 +192,7 @@ def cascade(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...], counters
             kept = np.zeros(len(rows), bool)
             kept[alive] = True
             if passed:
-                yield batch.take(pa.array(rows[alive])).drop_columns(["row of batch"])
+                yield batch.take(pa.array(rows[alive]))
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows)), *values, pa.array(reason, pa.string()), pa.array(kept)], names=names)
 
@@ -214,6 +214,6 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, counters: tuple[str,
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows, with all their columns, that no rule rejects."""
     rules = ordered(docs, rules, text)
-    named = docs.withColumnRenamed(text, "text") if text != "text" else docs
-    out = named.mapInArrow(partial(cascade, rules=rules, counters=(), key=named.columns[0], passed=True), named.schema)
-    return out.withColumnRenamed("text", text) if text != "text" else out
+    # names that mapInArrow cannot find, with a dot say, go by their place
+    named = docs.toDF(*["text" if c == text else f"c{i}" for i, c in enumerate(docs.columns)])
+    return named.mapInArrow(partial(cascade, rules=rules, counters=(), key=named.columns[0], passed=True), named.schema).toDF(*docs.columns)

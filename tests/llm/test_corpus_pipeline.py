@@ -88,6 +88,21 @@ def test_null_repeated_and_clashing_ids(spark, tmp_path):
     assert found == order([(None, one), (3, two), (4, g), (4, g)])
 
 
+def test_columns_with_names_of_decisions(spark, tmp_path):
+    rows, items = made()
+    names = ["kept_text", "emptied", "found_id", "id", "stays", "copies", "tag", "row", "_row", "node", "_node", "found_tag", "a.b", "key"]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    table = spark.createDataFrame([(k, t, "en", "s", len(t or ""), *[f"{n}{k}" for n in names]) for k, t in rows], ddl)
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = table
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.schema.simpleString() == table.schema.simpleString(), name
+    found = {r["doc_id"]: r for r in docs.collect()}
+    assert {k: r["text"] for k, r in found.items()} == brute(rows, items)
+    assert all(r[n] == f"{n}{k}" for k, r in found.items() for n in names)
+
+
 def test_near_copies_from_four_fifths_on_go(spark, tmp_path):
     rng = random.Random(22)
     rows = []
