@@ -16,7 +16,7 @@ from checks.frames import Frames
 from checks.oracle import RUN
 from sparkprep import aliases, schema
 from sparkprep.operators import (
-    clean, cleanup, geo, lanes, mapping, metrics, profile, quality, ranking, rates, scenario, scope, validate, xref,
+    clean, cleanup, geo, lanes, mapping, metrics, profile, quality, ranking, rates, scenario, scope, sketches, validate, xref,
 )
 from sparkprep.operators.joins import BROADCAST_BYTES_CONF
 from sparkprep.session import scratch_path
@@ -910,6 +910,28 @@ for _ds, (_numeric, _types) in _PROFILED.items():
         return p.select("column", "dtype", "null_count", "null_pct", "distinct_count", *[F.round(s, 6).alias(s) for s in profile.STATS])
 
 
+@check("prf_1_merged_sketches", f"""SELECT "column", dtype, null_count, null_pct, min, max, round(mean, 4) AS mean, TRUE AS distinct_ok, TRUE AS median_ok
+    FROM ({_profile_sql("silver_shipment_history", oracle.columns("shipment_history"), *_PROFILED["shipment_history"])})""")
+def prf_1_sketches(f):
+    """Three runs' sketches merged: what is exact in them, and that the rest is within the stated errors."""
+    df = f.silver("shipment_history")
+    runs = ranking.union_all([
+        sketches.column_sketches(df.where(F.pmod(F.crc32("shipment_id"), F.lit(3)) == k), "shipment_history", f"run_{k}") for k in range(3)
+    ])
+    exact = profile.column_profile(df).select("column", F.col("distinct_count").alias("n"), F.col("median").alias("mid"))
+    counts = ranking.value_counts(df, [c for c in clean.data_columns(df) if df.schema[c].dataType.simpleString() == "double"])
+    got = sketches.profile_of(sketches.merged(runs)).join(exact, "column")
+    ranks = counts.join(got.select("column", "median"), "column").groupBy("column").agg(
+        F.sum("n").alias("all"), F.sum(F.expr("IF(value < median, n, 0)")).alias("below"), F.sum(F.expr("IF(value <= median, n, 0)")).alias("upto"))
+    got = got.join(ranks, "column", "left")
+    middle = F.expr("below - 0.02 * `all` <= 0.5 * `all` AND 0.5 * `all` <= upto + 0.02 * `all`")
+    return got.select(
+        "column", "dtype", "null_count", "null_pct", *[F.round(c, 6).alias(c) for c in ("min", "max")], F.round("mean", 4).alias("mean"),
+        (F.abs(F.col("distinct_count") - F.col("n")) <= 0.06 * F.col("n")).alias("distinct_ok"),
+        F.when(F.col("mid").isNull(), F.col("median").isNull()).otherwise(middle).alias("median_ok"),
+    )
+
+
 _TWICE_SQL = f"{ROWS} silver_shipment_history UNION ALL {ROWS} silver_shipment_history WHERE shipment_mode = 'Air'"
 
 

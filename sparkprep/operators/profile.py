@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.functions import typed
@@ -11,6 +11,7 @@ from sparkprep.operators import ranking
 from sparkprep.operators.clean import data_columns
 
 STATS = ["min", "max", "mean", "median"]
+PROFILE = ["column", "dtype", "null_count", "null_pct", "distinct_count", *STATS]
 
 
 def _long(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -116,8 +117,9 @@ def previous_run(profiles: DataFrame, dataset: str, run_id: str) -> DataFrame:
     return others.where(F.col("run_id") == latest).select("column", "dtype")
 
 
-def profile_run(df: DataFrame, dataset: str, run_id: str, profiles: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(profile rows ready to append to the profile table, drift against the previous run)."""
-    rows = column_profile(df).select(F.lit(dataset).alias("dataset_name"), F.lit(run_id).alias("run_id"), "*")
+def profile_run(df: DataFrame, dataset: str, run_id: str, profiles: DataFrame | None, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(profile rows ready to append to the profile table, drift against the previous run). `found`: the profile, where it
+    is known already, from sketches say."""
+    rows = (column_profile(df) if found is None else found).select(F.lit(dataset).alias("dataset_name"), F.lit(run_id).alias("run_id"), *PROFILE)
     before = None if profiles is None else previous_run(profiles, dataset, run_id)
     return rows, schema_drift(schema_table(df), before)

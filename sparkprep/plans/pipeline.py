@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from sparkprep import schema
-from sparkprep.operators import clean, cleanup, geo, mapping, profile, quality, scope, validate, xref
+from sparkprep.operators import clean, cleanup, geo, mapping, profile, quality, scope, sketches, validate, xref
 from sparkprep.operators.ranking import union_all
 from sparkprep.sources import readers
 from sparkprep.sources.layers import BRONZE, CHECKED, GOLD, LOGS, SILVER, Store, new_run_id
@@ -38,6 +38,7 @@ class Project:
     scope_rules: dict[str, list[dict]] = field(default_factory=dict)
     cleanup: dict[str, list[dict]] = field(default_factory=dict)
     aliases: dict[str, list[str]] | None = None
+    exact_profiles: bool = False  # else from sketches, which are kept to be merged over runs
 
 
 def approved_mappings(entries: DataFrame, datasets: Iterable[str]) -> dict[str, dict[str, str]]:
@@ -195,7 +196,11 @@ def refine(store: Store, run_id: str, project: Project, skipped: dict[str, str]
     profiles = store.history(LOGS, "profile")
 
     def profile_one(ds: str) -> None:
-        rows, drift = profile.profile_run(store.read(SILVER, ds, run_id), ds, run_id, profiles)
+        df, found = store.read(SILVER, ds, run_id), None
+        if not project.exact_profiles:
+            store.append_log(sketches.column_sketches(df, ds, run_id), "sketches", run_id, dataset_name=ds)
+            found = sketches.profile_of(sketches.merged(store.read_log("sketches", run_id, ds)))
+        rows, drift = profile.profile_run(df, ds, run_id, profiles, found)
         store.append_log(rows, "profile", run_id, dataset_name=ds)
         store.append_log(drift, "schema_drift", run_id, dataset_name=ds)
 
