@@ -225,9 +225,9 @@ def parsed(c: str) -> dict[str, str]:
 
 
 def gazetteer_values() -> str:
-    from sparkprep.operators.geo import cities
+    from sparkprep.operators.geo import CITIES
 
-    return "(VALUES " + ", ".join(f"('{c}', '{s}', CAST({lat} AS DOUBLE), CAST({lon} AS DOUBLE))" for c, s, lat, lon in cities()) + ") AS gz(gc, gs, glat, glon)"
+    return "(VALUES " + ", ".join(f"('{c}', '{s}', CAST({lat} AS DOUBLE), CAST({lon} AS DOUBLE))" for c, s, lat, lon in CITIES) + ") AS gz(gc, gs, glat, glon)"
 
 
 def _geo(dataset: str) -> None:

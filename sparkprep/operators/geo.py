@@ -26,52 +26,47 @@ LOG_SCHEMA = f"dataset_name string, run_id string, record_id string, {_ITEM}"
 REVIEW = "_review"  # the column that holds a row's tries to fill a field
 
 # --- fixed values: city, state, latitude, longitude ---
-CITIES = """
-chicago,il,41.8827,-87.6233
-dallas,tx,32.7767,-96.7970
-houston,tx,29.7604,-95.3698
-atlanta,ga,33.7490,-84.3880
-columbus,oh,39.9612,-82.9988
-memphis,tn,35.1495,-90.0490
-denver,co,39.7392,-104.9903
-phoenix,az,33.4484,-112.0740
-newark,nj,40.7357,-74.1724
-sacramento,ca,38.5816,-121.4944
-charlotte,nc,35.2271,-80.8431
-los angeles,ca,34.0522,-118.2437
-new york,ny,40.7128,-74.0060
-seattle,wa,47.6062,-122.3321
-miami,fl,25.7617,-80.1918
-boston,ma,42.3601,-71.0589
-minneapolis,mn,44.9778,-93.2650
-portland,or,45.5051,-122.6750
-san francisco,ca,37.7749,-122.4194
-las vegas,nv,36.1699,-115.1398
-detroit,mi,42.3314,-83.0458
-baltimore,md,39.2904,-76.6122
-louisville,ky,38.2527,-85.7585
-jacksonville,fl,30.3322,-81.6557
-indianapolis,in,39.7684,-86.1581
-nashville,tn,36.1627,-86.7816
-san antonio,tx,29.4241,-98.4936
-austin,tx,30.2672,-97.7431
-fort worth,tx,32.7555,-97.3308
-el paso,tx,31.7619,-106.4850
-albuquerque,nm,35.0844,-106.6504
-tucson,az,32.2226,-110.9747
-fresno,ca,36.7378,-119.7871
-mesa,az,33.4152,-111.8315
-kansas city,mo,39.0997,-94.5786
-omaha,ne,41.2565,-95.9345
-cleveland,oh,41.4993,-81.6944
-raleigh,nc,35.7796,-78.6382
-virginia beach,va,36.8529,-75.9780
-"""
-
-
-def cities() -> list[tuple[str, str, float, float]]:
-    rows = (line.split(",") for line in CITIES.split("\n") if line)
-    return [(city, state, float(lat), float(lon)) for city, state, lat, lon in rows]
+CITIES: list[tuple[str, str, float, float]] = [
+    ("chicago", "il", 41.8827, -87.6233),
+    ("dallas", "tx", 32.7767, -96.7970),
+    ("houston", "tx", 29.7604, -95.3698),
+    ("atlanta", "ga", 33.7490, -84.3880),
+    ("columbus", "oh", 39.9612, -82.9988),
+    ("memphis", "tn", 35.1495, -90.0490),
+    ("denver", "co", 39.7392, -104.9903),
+    ("phoenix", "az", 33.4484, -112.0740),
+    ("newark", "nj", 40.7357, -74.1724),
+    ("sacramento", "ca", 38.5816, -121.4944),
+    ("charlotte", "nc", 35.2271, -80.8431),
+    ("los angeles", "ca", 34.0522, -118.2437),
+    ("new york", "ny", 40.7128, -74.0060),
+    ("seattle", "wa", 47.6062, -122.3321),
+    ("miami", "fl", 25.7617, -80.1918),
+    ("boston", "ma", 42.3601, -71.0589),
+    ("minneapolis", "mn", 44.9778, -93.2650),
+    ("portland", "or", 45.5051, -122.6750),
+    ("san francisco", "ca", 37.7749, -122.4194),
+    ("las vegas", "nv", 36.1699, -115.1398),
+    ("detroit", "mi", 42.3314, -83.0458),
+    ("baltimore", "md", 39.2904, -76.6122),
+    ("louisville", "ky", 38.2527, -85.7585),
+    ("jacksonville", "fl", 30.3322, -81.6557),
+    ("indianapolis", "in", 39.7684, -86.1581),
+    ("nashville", "tn", 36.1627, -86.7816),
+    ("san antonio", "tx", 29.4241, -98.4936),
+    ("austin", "tx", 30.2672, -97.7431),
+    ("fort worth", "tx", 32.7555, -97.3308),
+    ("el paso", "tx", 31.7619, -106.4850),
+    ("albuquerque", "nm", 35.0844, -106.6504),
+    ("tucson", "az", 32.2226, -110.9747),
+    ("fresno", "ca", 36.7378, -119.7871),
+    ("mesa", "az", 33.4152, -111.8315),
+    ("kansas city", "mo", 39.0997, -94.5786),
+    ("omaha", "ne", 41.2565, -95.9345),
+    ("cleveland", "oh", 41.4993, -81.6944),
+    ("raleigh", "nc", 35.7796, -78.6382),
+    ("virginia beach", "va", 36.8529, -75.9780),
+]
 
 
 def with_gazetteer(df: DataFrame, city: Column, state: Column, out: str, gazetteer: DataFrame | None = None) -> DataFrame:
@@ -80,7 +75,7 @@ def with_gazetteer(df: DataFrame, city: Column, state: Column, out: str, gazette
     key = F.concat_ws("|", F.lower(F.trim(city)), F.lower(F.trim(state)))
     key = F.when(city.isNotNull() & state.isNotNull(), key)
     if gazetteer is None:
-        table = literal_map({f"{c}|{s}": {"lat": lat, "lon": lon} for c, s, lat, lon in cities()})
+        table = literal_map({f"{c}|{s}": {"lat": lat, "lon": lon} for c, s, lat, lon in CITIES})
         return df.withColumn(out, F.try_element_at(table, key))
     places = gazetteer.groupBy(
         F.concat_ws("|", text.lower_strip(F.col("city")), text.lower_strip(F.col("state"))).alias("_place")

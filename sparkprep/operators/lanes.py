@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.operators import geo, metrics
+from sparkprep.operators.joins import BROADCAST_BYTES, BROADCAST_BYTES_CONF
 from sparkprep.operators.mapping import with_fallbacks
 from sparkprep.operators.ranking import dedup_first, first_rows
 from sparkprep.schema import ROW_ORD
@@ -101,11 +102,20 @@ def _registry(gold: metrics.Gold, dataset: str, id_column: str, name_column: str
     return [] if df is None else [entity_points(df, id_column, name_column, gazetteer)]
 
 
+LANE_BYTES = 4096  # of a lane's two ends, each under two spellings, as broadcast
+
+
+def _few(gold: metrics.Gold, top_n: int | None) -> bool:
+    """Whether the ends of that many lanes are small enough to be broadcast."""
+    spark = next(df for df in gold.values() if df is not None).sparkSession
+    return top_n is not None and top_n * LANE_BYTES <= int(spark.conf.get(BROADCAST_BYTES_CONF, str(BROADCAST_BYTES)))
+
+
 def inbound_map(gold, status="all", top_n=TOP_N, by="volume", gazetteer=None) -> tuple[DataFrame, DataFrame] | None:
     """(nodes, lanes); both ends are looked up among the locations."""
     lanes = _lanes(gold, "inbound", status, top_n, by)
     points = _registry(gold, "location_master", "location_id", "location_name", gazetteer)
-    return None if lanes is None or not points else locate_lanes(lanes, points, few=top_n is not None)
+    return None if lanes is None or not points else locate_lanes(lanes, points, few=_few(gold, top_n))
 
 
 def outbound_map(gold, status="all", top_n=TOP_N, by="volume", gazetteer=None) -> tuple[DataFrame, DataFrame] | None:
@@ -113,4 +123,4 @@ def outbound_map(gold, status="all", top_n=TOP_N, by="volume", gazetteer=None) -
     lanes = _lanes(gold, "outbound", status, top_n, by)
     points = _registry(gold, "customer_master", "customer_id", "customer_name", gazetteer)
     points += _registry(gold, "location_master", "location_id", "location_name", gazetteer)
-    return None if lanes is None or not points else locate_lanes(lanes, points, few=top_n is not None)
+    return None if lanes is None or not points else locate_lanes(lanes, points, few=_few(gold, top_n))

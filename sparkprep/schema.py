@@ -1,16 +1,10 @@
-"""Canonical schemas of the ten supply-chain datasets, and their rule tables.
-
-A schema is an ordered list of typed fields. Recurring blocks (address, flow
-endpoints, shipment core) are declared once and spliced into each dataset.
-"""
+"""Canonical schemas of the ten supply-chain datasets, and their rule tables."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import lru_cache
 
-from pyspark.sql import types as T
-
 ROW_ORD = "_row_ord"  # row order given at landing; decides every "keep first"
 
 MASTERS = ("customer_master", "location_master", "vendor_master", "product_master")
@@ -34,88 +28,309 @@ class Field:
     export_name: str | None = None
 
 
-# --- fixed values: canonical fields. "!" = required, ":f" = float, ":d" = date ---
-
-_PLACE = """contact_name phone email address_line_1 address_line_2 city! state! postal_code!
-country! region latitude:f longitude:f"""
-
-
-def _endpoint(side: str) -> str:
-    return " ".join(
-        [f"{side}_location_id!"]
-        + [f"{side}_{part}" for part in ("location_name", "city", "state", "postal_code", "country")]
-    )
-
-
-def _shipment(dates: str, direction: str) -> str:
-    return f"""shipment_id! order_id lane_id {_endpoint("origin")} {_endpoint("destination")}
-    product_id! product_name product_category volume:f! volume_uom weight_shipped:f weight_uom
-    pallet_count:f shipment_date:d! {dates} order_date:d shipment_mode! carrier_id carrier_name
-    service_level freight_class tracking_number {direction}"""
-
-
-_FIELDS = {
-    "customer_master": f"""customer_id! customer_name! customer_number account_type customer_status
-        {_PLACE} segment credit_limit:f payment_terms currency created_date:d last_modified_date:d""",
-    "location_master": f"""location_id! location_name! location_type location_status company_code
-        {_PLACE} storage_capacity:f capacity_uom throughput_capacity:f operating_days_per_week:f
-        fixed_cost:f variable_cost_per_unit:f currency open_date:d close_date:d created_date:d""",
-    "vendor_master": f"""vendor_id! vendor_name! vendor_number vendor_type vendor_status carrier_flag
-        {_PLACE} payment_terms currency lead_time_days:f minimum_order_quantity:f service_areas
-        created_date:d last_modified_date:d""",
-    "product_master": """product_id! product_name! upc product_status product_category product_family
-        product_group brand product_line weight:f! weight_uom length:f width:f height:f dimension_uom
-        volume:f volume_uom units_per_case:f cases_per_pallet:f units_per_pallet:f pallet_type
-        unit_cost:f unit_price:f currency hazmat_flag temperature_class storage_class freight_class
-        lead_time_days:f shelf_life_days:f abc_class created_date:d""",
-    "production_history": """production_id work_order_id batch_id location_id! location_name product_id!
-        product_name product_category production_date:d! start_date:d end_date:d quantity_produced:f!
-        planned_quantity:f reject_quantity:f yield_quantity:f quantity_uom line_id shift operator_id
-        production_status""",
-    "shipment_history": _shipment("promised_date:d delivery_date:d", "direction!"),
-    "inbound_shipment_history": _shipment("delivery_date:d promised_date:d", "direction"),
-    "outbound_shipment_history": _shipment("delivery_date:d promised_date:d", "direction destination_type"),
-    "shipment_cost": """shipment_id! invoice_number cost_record_id vendor_id carrier_name
-        origin_location_id destination_location_id cost_amount:f! base_freight_amount:f
-        fuel_surcharge_amount:f fuel_surcharge_pct:f accessorial_amount:f insurance_amount:f
-        discount_amount:f currency! cost_type shipment_mode service_level invoice_date:d shipment_date:d
-        payment_terms""",
-    "inventory_history": """inventory_record_id location_id! location_name warehouse_id zone bin product_id!
-        product_name product_category lot_number snapshot_date:d! last_receipt_date:d expiry_date:d
-        quantity_on_hand:f! quantity_available:f quantity_reserved:f quantity_in_transit:f
-        quantity_on_order:f safety_stock:f reorder_point:f max_stock:f quantity_uom inventory_status
-        abc_class""",
-}
-
-# --- fixed values: fields that the modelling-tool export carries ---
-_EXPORTED_PLACE = "city state postal_code country latitude longitude".split()
-_EXPORTED = {
-    "customer_master": ["customer_id", "customer_name", *_EXPORTED_PLACE],
-    "location_master": ["location_id", "location_name", "location_type", *_EXPORTED_PLACE],
-    "vendor_master": ["vendor_id", "vendor_name", *_EXPORTED_PLACE],
-    "product_master": """product_id product_name product_category weight weight_uom length width height
-        units_per_pallet""".split(),
+# --- fixed values: canonical fields as (name, type, required, name in the modelling-tool export) ---
+FIELDS: dict[str, list[tuple[str, str, bool, str | None]]] = {
+    "customer_master": [
+        ("customer_id", "string", True, "CustomerName"),
+        ("customer_name", "string", True, "CustomerName"),
+        ("customer_number", "string", False, None),
+        ("account_type", "string", False, None),
+        ("customer_status", "string", False, None),
+        ("contact_name", "string", False, None),
+        ("phone", "string", False, None),
+        ("email", "string", False, None),
+        ("address_line_1", "string", False, None),
+        ("address_line_2", "string", False, None),
+        ("city", "string", True, "City"),
+        ("state", "string", True, "State"),
+        ("postal_code", "string", True, "PostalCode"),
+        ("country", "string", True, "Country"),
+        ("region", "string", False, None),
+        ("latitude", "float", False, "Latitude"),
+        ("longitude", "float", False, "Longitude"),
+        ("segment", "string", False, None),
+        ("credit_limit", "float", False, None),
+        ("payment_terms", "string", False, None),
+        ("currency", "string", False, None),
+        ("created_date", "date", False, None),
+        ("last_modified_date", "date", False, None),
+    ],
+    "location_master": [
+        ("location_id", "string", True, "FacilityName"),
+        ("location_name", "string", True, "FacilityName"),
+        ("location_type", "string", False, "FacilityType"),
+        ("location_status", "string", False, None),
+        ("company_code", "string", False, None),
+        ("contact_name", "string", False, None),
+        ("phone", "string", False, None),
+        ("email", "string", False, None),
+        ("address_line_1", "string", False, None),
+        ("address_line_2", "string", False, None),
+        ("city", "string", True, "City"),
+        ("state", "string", True, "State"),
+        ("postal_code", "string", True, "PostalCode"),
+        ("country", "string", True, "Country"),
+        ("region", "string", False, None),
+        ("latitude", "float", False, "Latitude"),
+        ("longitude", "float", False, "Longitude"),
+        ("storage_capacity", "float", False, None),
+        ("capacity_uom", "string", False, None),
+        ("throughput_capacity", "float", False, None),
+        ("operating_days_per_week", "float", False, None),
+        ("fixed_cost", "float", False, None),
+        ("variable_cost_per_unit", "float", False, None),
+        ("currency", "string", False, None),
+        ("open_date", "date", False, None),
+        ("close_date", "date", False, None),
+        ("created_date", "date", False, None),
+    ],
+    "vendor_master": [
+        ("vendor_id", "string", True, "VendorName"),
+        ("vendor_name", "string", True, "VendorName"),
+        ("vendor_number", "string", False, None),
+        ("vendor_type", "string", False, None),
+        ("vendor_status", "string", False, None),
+        ("carrier_flag", "string", False, None),
+        ("contact_name", "string", False, None),
+        ("phone", "string", False, None),
+        ("email", "string", False, None),
+        ("address_line_1", "string", False, None),
+        ("address_line_2", "string", False, None),
+        ("city", "string", True, "City"),
+        ("state", "string", True, "State"),
+        ("postal_code", "string", True, "PostalCode"),
+        ("country", "string", True, "Country"),
+        ("region", "string", False, None),
+        ("latitude", "float", False, "Latitude"),
+        ("longitude", "float", False, "Longitude"),
+        ("payment_terms", "string", False, None),
+        ("currency", "string", False, None),
+        ("lead_time_days", "float", False, None),
+        ("minimum_order_quantity", "float", False, None),
+        ("service_areas", "string", False, None),
+        ("created_date", "date", False, None),
+        ("last_modified_date", "date", False, None),
+    ],
+    "product_master": [
+        ("product_id", "string", True, "ProductName"),
+        ("product_name", "string", True, "ProductName"),
+        ("upc", "string", False, None),
+        ("product_status", "string", False, None),
+        ("product_category", "string", False, "ProductCategory"),
+        ("product_family", "string", False, None),
+        ("product_group", "string", False, None),
+        ("brand", "string", False, None),
+        ("product_line", "string", False, None),
+        ("weight", "float", True, "Weight"),
+        ("weight_uom", "string", False, "WeightUOM"),
+        ("length", "float", False, "Length"),
+        ("width", "float", False, "Width"),
+        ("height", "float", False, "Height"),
+        ("dimension_uom", "string", False, None),
+        ("volume", "float", False, None),
+        ("volume_uom", "string", False, None),
+        ("units_per_case", "float", False, None),
+        ("cases_per_pallet", "float", False, None),
+        ("units_per_pallet", "float", False, "UnitsPerPallet"),
+        ("pallet_type", "string", False, None),
+        ("unit_cost", "float", False, None),
+        ("unit_price", "float", False, None),
+        ("currency", "string", False, None),
+        ("hazmat_flag", "string", False, None),
+        ("temperature_class", "string", False, None),
+        ("storage_class", "string", False, None),
+        ("freight_class", "string", False, None),
+        ("lead_time_days", "float", False, None),
+        ("shelf_life_days", "float", False, None),
+        ("abc_class", "string", False, None),
+        ("created_date", "date", False, None),
+    ],
+    "production_history": [
+        ("production_id", "string", False, None),
+        ("work_order_id", "string", False, None),
+        ("batch_id", "string", False, None),
+        ("location_id", "string", True, None),
+        ("location_name", "string", False, None),
+        ("product_id", "string", True, None),
+        ("product_name", "string", False, None),
+        ("product_category", "string", False, None),
+        ("production_date", "date", True, None),
+        ("start_date", "date", False, None),
+        ("end_date", "date", False, None),
+        ("quantity_produced", "float", True, None),
+        ("planned_quantity", "float", False, None),
+        ("reject_quantity", "float", False, None),
+        ("yield_quantity", "float", False, None),
+        ("quantity_uom", "string", False, None),
+        ("line_id", "string", False, None),
+        ("shift", "string", False, None),
+        ("operator_id", "string", False, None),
+        ("production_status", "string", False, None),
+    ],
+    "shipment_history": [
+        ("shipment_id", "string", True, None),
+        ("order_id", "string", False, None),
+        ("lane_id", "string", False, None),
+        ("origin_location_id", "string", True, None),
+        ("origin_location_name", "string", False, None),
+        ("origin_city", "string", False, None),
+        ("origin_state", "string", False, None),
+        ("origin_postal_code", "string", False, None),
+        ("origin_country", "string", False, None),
+        ("destination_location_id", "string", True, None),
+        ("destination_location_name", "string", False, None),
+        ("destination_city", "string", False, None),
+        ("destination_state", "string", False, None),
+        ("destination_postal_code", "string", False, None),
+        ("destination_country", "string", False, None),
+        ("product_id", "string", True, None),
+        ("product_name", "string", False, None),
+        ("product_category", "string", False, None),
+        ("volume", "float", True, None),
+        ("volume_uom", "string", False, None),
+        ("weight_shipped", "float", False, None),
+        ("weight_uom", "string", False, None),
+        ("pallet_count", "float", False, None),
+        ("shipment_date", "date", True, None),
+        ("promised_date", "date", False, None),
+        ("delivery_date", "date", False, None),
+        ("order_date", "date", False, None),
+        ("shipment_mode", "string", True, None),
+        ("carrier_id", "string", False, None),
+        ("carrier_name", "string", False, None),
+        ("service_level", "string", False, None),
+        ("freight_class", "string", False, None),
+        ("tracking_number", "string", False, None),
+        ("direction", "string", True, None),
+    ],
+    "inbound_shipment_history": [
+        ("shipment_id", "string", True, None),
+        ("order_id", "string", False, None),
+        ("lane_id", "string", False, None),
+        ("origin_location_id", "string", True, None),
+        ("origin_location_name", "string", False, None),
+        ("origin_city", "string", False, None),
+        ("origin_state", "string", False, None),
+        ("origin_postal_code", "string", False, None),
+        ("origin_country", "string", False, None),
+        ("destination_location_id", "string", True, None),
+        ("destination_location_name", "string", False, None),
+        ("destination_city", "string", False, None),
+        ("destination_state", "string", False, None),
+        ("destination_postal_code", "string", False, None),
+        ("destination_country", "string", False, None),
+        ("product_id", "string", True, None),
+        ("product_name", "string", False, None),
+        ("product_category", "string", False, None),
+        ("volume", "float", True, None),
+        ("volume_uom", "string", False, None),
+        ("weight_shipped", "float", False, None),
+        ("weight_uom", "string", False, None),
+        ("pallet_count", "float", False, None),
+        ("shipment_date", "date", True, None),
+        ("delivery_date", "date", False, None),
+        ("promised_date", "date", False, None),
+        ("order_date", "date", False, None),
+        ("shipment_mode", "string", True, None),
+        ("carrier_id", "string", False, None),
+        ("carrier_name", "string", False, None),
+        ("service_level", "string", False, None),
+        ("freight_class", "string", False, None),
+        ("tracking_number", "string", False, None),
+        ("direction", "string", False, None),
+    ],
+    "outbound_shipment_history": [
+        ("shipment_id", "string", True, None),
+        ("order_id", "string", False, None),
+        ("lane_id", "string", False, None),
+        ("origin_location_id", "string", True, None),
+        ("origin_location_name", "string", False, None),
+        ("origin_city", "string", False, None),
+        ("origin_state", "string", False, None),
+        ("origin_postal_code", "string", False, None),
+        ("origin_country", "string", False, None),
+        ("destination_location_id", "string", True, None),
+        ("destination_location_name", "string", False, None),
+        ("destination_city", "string", False, None),
+        ("destination_state", "string", False, None),
+        ("destination_postal_code", "string", False, None),
+        ("destination_country", "string", False, None),
+        ("product_id", "string", True, None),
+        ("product_name", "string", False, None),
+        ("product_category", "string", False, None),
+        ("volume", "float", True, None),
+        ("volume_uom", "string", False, None),
+        ("weight_shipped", "float", False, None),
+        ("weight_uom", "string", False, None),
+        ("pallet_count", "float", False, None),
+        ("shipment_date", "date", True, None),
+        ("delivery_date", "date", False, None),
+        ("promised_date", "date", False, None),
+        ("order_date", "date", False, None),
+        ("shipment_mode", "string", True, None),
+        ("carrier_id", "string", False, None),
+        ("carrier_name", "string", False, None),
+        ("service_level", "string", False, None),
+        ("freight_class", "string", False, None),
+        ("tracking_number", "string", False, None),
+        ("direction", "string", False, None),
+        ("destination_type", "string", False, None),
+    ],
+    "shipment_cost": [
+        ("shipment_id", "string", True, None),
+        ("invoice_number", "string", False, None),
+        ("cost_record_id", "string", False, None),
+        ("vendor_id", "string", False, None),
+        ("carrier_name", "string", False, None),
+        ("origin_location_id", "string", False, None),
+        ("destination_location_id", "string", False, None),
+        ("cost_amount", "float", True, None),
+        ("base_freight_amount", "float", False, None),
+        ("fuel_surcharge_amount", "float", False, None),
+        ("fuel_surcharge_pct", "float", False, None),
+        ("accessorial_amount", "float", False, None),
+        ("insurance_amount", "float", False, None),
+        ("discount_amount", "float", False, None),
+        ("currency", "string", True, None),
+        ("cost_type", "string", False, None),
+        ("shipment_mode", "string", False, None),
+        ("service_level", "string", False, None),
+        ("invoice_date", "date", False, None),
+        ("shipment_date", "date", False, None),
+        ("payment_terms", "string", False, None),
+    ],
+    "inventory_history": [
+        ("inventory_record_id", "string", False, None),
+        ("location_id", "string", True, None),
+        ("location_name", "string", False, None),
+        ("warehouse_id", "string", False, None),
+        ("zone", "string", False, None),
+        ("bin", "string", False, None),
+        ("product_id", "string", True, None),
+        ("product_name", "string", False, None),
+        ("product_category", "string", False, None),
+        ("lot_number", "string", False, None),
+        ("snapshot_date", "date", True, None),
+        ("last_receipt_date", "date", False, None),
+        ("expiry_date", "date", False, None),
+        ("quantity_on_hand", "float", True, None),
+        ("quantity_available", "float", False, None),
+        ("quantity_reserved", "float", False, None),
+        ("quantity_in_transit", "float", False, None),
+        ("quantity_on_order", "float", False, None),
+        ("safety_stock", "float", False, None),
+        ("reorder_point", "float", False, None),
+        ("max_stock", "float", False, None),
+        ("quantity_uom", "string", False, None),
+        ("inventory_status", "string", False, None),
+        ("abc_class", "string", False, None),
+    ],
 }
 
 
-def _export_name(field: str) -> str:
-    """Camel-case the canonical name; an id shares the header of its name, locations are facilities."""
-    if field.endswith("_id"):
-        field = field[: -len("id")] + "name"
-    words = field.replace("location", "facility").split("_")
-    return "".join("UOM" if w == "uom" else w.capitalize() for w in words)
-
-
 @lru_cache(maxsize=None)
 def fields(dataset: str) -> tuple[Field, ...]:
-    kinds = {"f": "float", "d": "date"}
-    out = []
-    for token in _FIELDS[dataset].split():
-        required = token.endswith("!")
-        name, _, kind = token.rstrip("!").partition(":")
-        export = _export_name(name) if name in _EXPORTED.get(dataset, ()) else None
-        out.append(Field(name, kinds.get(kind, "string"), required, export))
-    return tuple(out)
+    return tuple(Field(*row) for row in FIELDS[dataset])
 
 
 def field_names(dataset: str) -> list[str]:
@@ -134,22 +349,6 @@ def export_map(dataset: str) -> dict[str, str]:
     return {f.name: f.export_name for f in fields(dataset) if f.export_name}
 
 
-def struct_type(dataset: str) -> T.StructType:
-    """The canonical schema as a StructType; `required` and `export_name` go to field metadata."""
-    spark_type = {"string": T.StringType(), "float": T.DoubleType(), "date": T.TimestampType()}
-    return T.StructType(
-        [
-            T.StructField(
-                f.name,
-                spark_type[f.type],
-                True,
-                {"required": f.required, **({"export_name": f.export_name} if f.export_name else {})},
-            )
-            for f in fields(dataset)
-        ]
-    )
-
-
 # --- fixed values: business keys, record ids ---
 
 DEDUP_KEYS = {
@@ -174,63 +373,117 @@ RECORD_ID = {
 
 # --- fixed values: string cleaning leaves these fields to the type cast ---
 TYPED_BY_NAME = frozenset(
-    """shipment_date production_date snapshot_date delivery_date order_date promised_date start_date
-    end_date latitude longitude weight length width height units_per_pallet volume quantity_produced
-    quantity_on_hand cost_amount unit_cost unit_price pallet_count weight_shipped quantity_available
-    quantity_reserved quantity_in_transit quantity_on_order safety_stock reorder_point max_stock
-    fuel_surcharge_pct credit_limit""".split()
+    [
+        "shipment_date", "production_date", "snapshot_date", "delivery_date", "order_date", "promised_date",
+        "start_date", "end_date", "latitude", "longitude", "weight", "length", "width", "height", "units_per_pallet",
+        "volume", "quantity_produced", "quantity_on_hand", "cost_amount", "unit_cost", "unit_price", "pallet_count",
+        "weight_shipped", "quantity_available", "quantity_reserved", "quantity_in_transit", "quantity_on_order",
+        "safety_stock", "reorder_point", "max_stock", "fuel_surcharge_pct", "credit_limit",
+    ]
 )
 
 NULL_TOKENS = ["nan", "None", "", "N/A", "n/a", "NA", "NULL", "null", "-", "--"]
 
 
-def _synonyms(**groups: str) -> dict[str, str]:
-    """`Canonical="raw; raw"` -> {raw: Canonical}; underscores in a canonical name are dropped."""
-    return {raw.strip(): name.strip("_") for name, raws in groups.items() for raw in raws.split(";")}
-
-
 # --- fixed values: spellings of categorical values, matched on lower(trim(value)) ---
-CATEGORICALS = {
-    "shipment_mode": _synonyms(
-        Truck="truck; trk; tl; ltl; road; ground; ftl",
-        Rail="rail; railroad; train",
-        Air="air; airfreight; air freight; air_freight",
-        Ocean="ocean; sea; vessel; ship; fcl",
-        Parcel="parcel; courier; small parcel; ups; fedex; dhl",
-        Intermodal="intermodal; multi; multi-modal",
-    ),
-    "direction": _synonyms(
-        Inbound="inbound; in; receiving; receipt; i",
-        Outbound="outbound; out; shipping; dispatch; o; delivery",
-        Transfer="transfer; internal; t",
-    ),
-    "location_type": _synonyms(
-        DC="dc; distribution center; distribution centre; dist center",
-        Plant="plant; factory; manufacturing; mfg",
-        Port="port; terminal; seaport",
-        Store="store; retail; branch",
-        Warehouse="warehouse; whs; wh",
-        CrossDock="cross dock; crossdock; xdock",
-        Vendor="vendor; supplier",
-    ),
-    "vendor_type": _synonyms(
-        Carrier="carrier",
-        _3PL="3pl; third party",
-        Supplier="supplier",
-        Manufacturer="manufacturer",
-        Distributor="distributor",
-    ),
-    "account_type": _synonyms(
-        Customer="customer", Internal="internal", Partner="partner", External="external",
-        Distributor="distributor",
-    ),
-    "inventory_status": _synonyms(
-        Available="available; avail",
-        Hold="hold; on hold",
-        Damaged="damaged; dmg",
-        Expired="expired; exp",
-        Quarantine="quarantine; quar",
-    ),
+CATEGORICALS: dict[str, dict[str, str]] = {
+    "shipment_mode": {
+        "truck": "Truck",
+        "trk": "Truck",
+        "tl": "Truck",
+        "ltl": "Truck",
+        "road": "Truck",
+        "ground": "Truck",
+        "ftl": "Truck",
+        "rail": "Rail",
+        "railroad": "Rail",
+        "train": "Rail",
+        "air": "Air",
+        "airfreight": "Air",
+        "air freight": "Air",
+        "air_freight": "Air",
+        "ocean": "Ocean",
+        "sea": "Ocean",
+        "vessel": "Ocean",
+        "ship": "Ocean",
+        "fcl": "Ocean",
+        "parcel": "Parcel",
+        "courier": "Parcel",
+        "small parcel": "Parcel",
+        "ups": "Parcel",
+        "fedex": "Parcel",
+        "dhl": "Parcel",
+        "intermodal": "Intermodal",
+        "multi": "Intermodal",
+        "multi-modal": "Intermodal",
+    },
+    "direction": {
+        "inbound": "Inbound",
+        "in": "Inbound",
+        "receiving": "Inbound",
+        "receipt": "Inbound",
+        "i": "Inbound",
+        "outbound": "Outbound",
+        "out": "Outbound",
+        "shipping": "Outbound",
+        "dispatch": "Outbound",
+        "o": "Outbound",
+        "delivery": "Outbound",
+        "transfer": "Transfer",
+        "internal": "Transfer",
+        "t": "Transfer",
+    },
+    "location_type": {
+        "dc": "DC",
+        "distribution center": "DC",
+        "distribution centre": "DC",
+        "dist center": "DC",
+        "plant": "Plant",
+        "factory": "Plant",
+        "manufacturing": "Plant",
+        "mfg": "Plant",
+        "port": "Port",
+        "terminal": "Port",
+        "seaport": "Port",
+        "store": "Store",
+        "retail": "Store",
+        "branch": "Store",
+        "warehouse": "Warehouse",
+        "whs": "Warehouse",
+        "wh": "Warehouse",
+        "cross dock": "CrossDock",
+        "crossdock": "CrossDock",
+        "xdock": "CrossDock",
+        "vendor": "Vendor",
+        "supplier": "Vendor",
+    },
+    "vendor_type": {
+        "carrier": "Carrier",
+        "3pl": "3PL",
+        "third party": "3PL",
+        "supplier": "Supplier",
+        "manufacturer": "Manufacturer",
+        "distributor": "Distributor",
+    },
+    "account_type": {
+        "customer": "Customer",
+        "internal": "Internal",
+        "partner": "Partner",
+        "external": "External",
+        "distributor": "Distributor",
+    },
+    "inventory_status": {
+        "available": "Available",
+        "avail": "Available",
+        "hold": "Hold",
+        "on hold": "Hold",
+        "damaged": "Damaged",
+        "dmg": "Damaged",
+        "expired": "Expired",
+        "exp": "Expired",
+        "quarantine": "Quarantine",
+        "quar": "Quarantine",
+    },
 }
 
 # --- fixed values: outlier checks ---

@@ -28,11 +28,6 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def write_jsonl(df: DataFrame, path: str) -> str:
-    df.write.mode("append").json(path)
-    return path
-
-
 def export_columns(gold: DataFrame, dataset: str) -> DataFrame | None:
     """Gold projected to the fields of the modelling tool and renamed; the second field with the same
     export name gets the suffix `_1`. None where the schema has no export names."""
