@@ -5,9 +5,9 @@ the register keeps the least of the remaining bits as a count of leading zeros p
 compressed registers propose pairs, a collision-corrected estimate of the similarity drops the hopeless ones, and
 the full sets decide. Equal sets are one class from the start, so copies never meet each other.
 
-In a band, up to SMALL classes are paired directly. A larger group first proposes only a spanning forest by
-estimate; once these links are confirmed, pairs are only proposed between different components. No link between
-components can get lost that way, and no group is expanded into all its pairs. A group's task holds 512 bytes a class.
+In a band, up to SMALL classes are paired directly. A larger group first proposes only a spanning forest by estimate;
+once these links are confirmed, pairs are only proposed between different components. No link between components can get lost that way, and no group is expanded into all its pairs. A group's
+task holds 512 bytes a class.
 """
 
 from __future__ import annotations
@@ -255,8 +255,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, key: str
     sketch = classes.select("node", "n", "sketch")
     small = proposed.where("b IS NOT NULL").select("a", "b").distinct()
     small = small.join(sketch.withColumnsRenamed({"node": "a", "sketch": "left"}), "a").join(sketch.withColumnsRenamed({"node": "b", "sketch": "right", "n": "m"}), "b").mapInArrow(partial(likely, percent=percent), "a long, b long")
-    large = proposed.where("b IS NULL").selectExpr("key", "a AS node").join(sketch, "node")
-    trees = large.repartition("key").sortWithinPartitions("key", "sketch").mapInArrow(partial(forest, percent=percent), "key long, a long, b long")
+    # one row a member, with the keys of its large groups, at most one a band
+    large = cut(proposed.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.collect_list("key").alias("keys")).join(sketch, "node"))
+    some = large.select(F.explode("keys").alias("key"), "node", "n", "sketch")
+    trees = some.repartition("key").sortWithinPartitions("key", "sketch").mapInArrow(partial(forest, percent=percent), "key long, a long, b long")
     pairs = cut(small.unionByName(trees.select("a", "b")).distinct())
     members = pairs.selectExpr("a AS node").unionByName(pairs.selectExpr("b AS node")).unionByName(proposed.where("b IS NULL").selectExpr("a AS node"))
     needed = members.distinct().join(classes.select("node", "first"), "node").where("first IS NOT NULL").select(F.col("first").alias("doc_id"))
@@ -264,9 +266,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, key: str
     full = docs.where("doc_id IS NOT NULL").mapInArrow(partial(sets, words=words, asked=asked), "node long, shingles array<long>").dropDuplicates(["node"])
     links = cut(confirmed(pairs, full, percent))
     roots = cut(components(links))
-    named = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    more = named.join(split, "key", "left_semi").repartition("key").sortWithinPartitions("key").mapInArrow(partial(across, percent=percent), "key long, a long, b long")
+    named = large.select("node", "keys").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = named.select(F.explode("keys").alias("key"), "root").groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    # sketches only go where a group is still split
+    apart = named.select(F.explode("keys").alias("key"), "node", "root").join(split, "key", "left_semi").join(sketch, "node")
+    more = apart.repartition("key").sortWithinPartitions("key").mapInArrow(partial(across, percent=percent), "key long, a long, b long")
     more = cut(more.select("a", "b").join(pairs, ["a", "b"], "left_anti").join(pairs.selectExpr("b AS a", "a AS b"), ["a", "b"], "left_anti"))
     if not more.isEmpty():
         roots = components(links.unionByName(confirmed(more, full, percent)))
