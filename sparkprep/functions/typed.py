@@ -47,6 +47,11 @@ def is_numeric(kind: T.DataType) -> bool:
     return isinstance(kind, T.NumericType)
 
 
+def one_zero(c: Column, kind: T.DataType) -> Column:
+    """Negative zero as zero: SQL holds the two equal, their texts differ."""
+    return c + F.lit(0.0).cast(kind) if isinstance(kind, (T.DoubleType, T.FloatType)) else c
+
+
 def mark_of(df: DataFrame, watermark: str) -> Column:
     """A watermark in its own order: text is read as a time, else as a number, never compared as text."""
     kind = df.schema[watermark].dataType

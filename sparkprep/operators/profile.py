@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.functions import typed
@@ -15,14 +15,17 @@ PROFILE = ["column", "dtype", "null_count", "null_pct", "distinct_count", *STATS
 
 
 def _long(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, value as text, number) for every cell."""
+    """(column, value as text, number) for every cell; a negative zero is zero."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
+
+    def number(c: str) -> Column:
+        return F.col(f"`{c}`").cast("double") + F.lit(0.0) if typed.is_numeric(kinds[c]) else F.lit(None).cast("double")
+
+    def value(c: str) -> Column:
+        return typed.one_zero(F.col(f"`{c}`"), kinds[c]).cast("string")
+
     return df.select(F.inline(F.array(*[
-        F.struct(
-            F.lit(c).alias("column"),
-            F.col(f"`{c}`").cast("string").alias("value"),
-            (F.col(f"`{c}`").cast("double") if typed.is_numeric(kinds[c]) else F.lit(None).cast("double")).alias("number"),
-        ) for c in columns
+        F.struct(F.lit(c).alias("column"), value(c).alias("value"), number(c).alias("number")) for c in columns
     ])))
 
 

@@ -23,9 +23,9 @@ def column_sketches(df: DataFrame, dataset: str, run_id: str) -> DataFrame:
     for i, c in enumerate(columns):
         x = F.col(f"`{c}`")
         numeric = typed.is_numeric(kinds[c])
-        number = x.cast("double") if numeric else F.lit(None).cast("double")
+        number = x.cast("double") + F.lit(0.0) if numeric else F.lit(None).cast("double")
         aggregates += [
-            F.count_if(x.isNull()).alias(f"n{i}"), F.hll_sketch_agg(x.cast("string"), F.lit(LG_K)).alias(f"d{i}"),
+            F.count_if(x.isNull()).alias(f"n{i}"), F.hll_sketch_agg(typed.one_zero(x, kinds[c]).cast("string"), F.lit(LG_K)).alias(f"d{i}"),
             F.count(number).alias(f"c{i}"), F.min(number).alias(f"a{i}"), F.max(number).alias(f"z{i}"), F.sum(number).alias(f"s{i}"),
         ]
         if numeric:

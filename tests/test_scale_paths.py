@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkprep.operators import clean, joins, lanes, profile, ranking, scenario
+from sparkprep.operators import clean, joins, lanes, profile, ranking, scenario, sketches
 from sparkprep.sources import readers
 
 
@@ -92,6 +92,15 @@ def test_profile(frame):
     assert near["a"]["null_count"] == 1 and near["b"]["distinct_count"] == 2
 
 
+def test_profile_counts_both_zeros_once(frame):
+    df = frame("a double, b float", [{"a": 0.0, "b": 0.0}, {"a": -0.0, "b": -0.0}, {"a": 1.0, "b": None}])
+    got = {r["column"]: r for r in profile.column_profile(df).collect()}
+    assert (got["a"]["distinct_count"], got["b"]["distinct_count"]) == (2, 1)
+    assert str(got["a"]["min"]) == "0.0"
+    near = {r["column"]: r for r in sketches.profile_of(sketches.merged(sketches.column_sketches(df, "d", "r"))).collect()}
+    assert (near["a"]["distinct_count"], near["b"]["distinct_count"]) == (2, 1)
+
+
 def test_drift(spark):
     def table(**kinds):
         return spark.createDataFrame(list(kinds.items()), "column string, dtype string")
