@@ -13,7 +13,9 @@ from sparkprep.operators.joins import lookup_join, quoted
 from sparkprep.operators.ranking import union_all
 from sparkprep.operators.scope import INCLUDED
 from sparkprep.schema import ROW_ORD
+from sparkprep.session import cut_lineage
 
+LOGS = ("issues", "review_queue", "cross_reference_exceptions")
 STATUS_FILTERS = ("all", "validated", "flagged", "unresolved")
 
 
@@ -115,6 +117,17 @@ def counters(df: DataFrame, findings: tuple[str, ...]) -> list[Column]:
     return [F.count(F.lit(1)).alias("row_count"), *_status_counts(df), F.coalesce(out, F.lit(0)).alias("scope_excluded"), *found]
 
 
+def checked_summary(checked: dict[str, DataFrame], findings: tuple[str, str, str]) -> DataFrame:
+    """run_summary() of rows that still carry their findings (issues, review queue, exceptions): one aggregate row a dataset
+    gives its counts and those of the logs, so nothing is cleaned, joined or checked twice. One row a dataset is stored."""
+    counts = cut_lineage(union_all([df.agg(*counters(df, findings)).select(F.lit(ds).alias("dataset"), "*") for ds, df in checked.items()]))
+    rows = counts.select("dataset", F.lit("rows").alias("kind"), "row_count", "valid", "needs_review", "invalid", "scope_excluded")
+    logs = counts.agg(*[F.sum(f).alias(f) for f in findings]).select(F.lit("ALL").alias("dataset"), F.inline(F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.col(f).alias("row_count")) for kind, f in zip(LOGS, findings)
+    ])))
+    return union_all([rows, logs]).withColumn("reason", F.lit(None).cast("string"))
+
+
 def summary_of(spark: SparkSession, counts: dict[str, dict[str, int]], skipped: dict[str, str], unprofiled: dict[str, str]) -> DataFrame:
     """The run summary from observed counters(): one row a dataset and one a log."""
     names = ("row_count", "valid", "needs_review", "invalid", "scope_excluded")
