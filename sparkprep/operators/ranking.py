@@ -45,7 +45,7 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, n) for the given numeric columns, nulls left out."""
     return (
         df.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns
+            F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns
         ])))
         .where(F.col("value").isNotNull())
         .groupBy("column", "value")
