@@ -55,14 +55,24 @@ class Frames:
         return {ds: store.read(layer, ds, RUN) for ds in tables}
 
     def gold(self, *names: str, parents: tuple[str, ...] = ()) -> pipeline.Gold:
-        """Gold of the named datasets, checked against all masters and the shipment tables in `parents`,
-        which are read from written Silver as in a run."""
+        """Gold of the named datasets, checked against all masters and the shipment tables in `parents`. Where products
+        are flagged by their shipments, these are read from written Silver as in a run. References only ask for keys, and
+        removing duplicates takes no key away: then the keys of the typed rows are enough."""
         silver = self.silvers(*schema.MASTERS, *names)
-        big = self.written(layers.SILVER, {p: self.silver(p) for p in parents if p not in names})
+        others = [p for p in parents if p not in names]
+        if "product_master" in names:
+            big = self.written(layers.SILVER, {p: self.silver(p) for p in others})
+        else:
+            big = {p: self.typed(p).select(schema.key_of(p)) for p in others}
         return pipeline.gold_tables({**silver, **big}, fixtures.SCOPE_RULES, RUN, only=names)
 
-    def stored_gold(self, *names: str, parents: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-        return self.written(layers.GOLD, self.gold(*names, parents=parents).tables)
+    def stored_gold(self, *names: str, parents: tuple[str, ...] = (), read: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
+        """Written Gold; with `read`, of these columns only, so that Spark leaves out what no reader asks for."""
+        tables = self.gold(*names, parents=parents).tables
+        if read is not None:
+            # a table without any of them still has its rows
+            tables = {ds: df.select(*([c for c in df.columns if c in read] or [schema.key_of(ds)])) for ds, df in tables.items()}
+        return self.written(layers.GOLD, tables)
 
     @cached_property
     def everything(self) -> pipeline.Gold:

@@ -1078,10 +1078,10 @@ def qlt_10(f):
 # ---------------------------------------------------------------- metrics, lanes
 
 
-def _tables(f: Frames, *names: str) -> dict[str, DataFrame]:
+def _tables(f: Frames, *names: str, read: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
     """Metrics, lanes and scenarios read written Gold."""
     parents = [p for ds in names for p in _PARENTS.get(ds, ())]
-    return f.stored_gold(*names, parents=tuple(parents))
+    return f.stored_gold(*names, parents=tuple(parents), read=read)
 
 
 def _sum_sql(view: str, key: str, value: str, where: str = "TRUE") -> str:
@@ -1142,7 +1142,7 @@ def met_4(f):
 
 @check("met_5_spending", _sum_sql("gold_shipment_cost", "vendor_id", "cost_amount"))
 def met_5(f):
-    return _rounded(metrics.total_spending(_tables(f, "shipment_cost")), "cost_amount")
+    return _rounded(metrics.total_spending(_tables(f, "shipment_cost", read=("vendor_id", "cost_amount", scope.INCLUDED))), "cost_amount")
 
 
 @check("met_6_modes", """SELECT shipment_mode, round(v, 4) AS volume, round(v / sum(v) OVER (), 8) AS share FROM (SELECT shipment_mode, sum(volume) AS v FROM gold_outbound_shipment_history
@@ -1264,7 +1264,7 @@ _COMPARED = ("location_master", IN, OUT, "shipment_cost", "inventory_history")
 
 def _facts(f: Frames) -> DataFrame:
     """Scenario A: all Gold rows. Scenario B: the rows that are valid and in scope."""
-    gold = _tables(f, *_COMPARED)
+    gold = _tables(f, *_COMPARED, read=(*scenario.READ, scope.INCLUDED, "row_status"))
     valid = {ds: quality.status_filter(metrics.in_scope(df), "validated") for ds, df in gold.items()}
     return scenario.compare(gold, valid, A, B)
 
@@ -1297,7 +1297,7 @@ oracle.VIEWS["facts"] = (
 
 @check("scn_1_facts", "SELECT Category, SubCategory, CostSubCategory, OriginName, Mode, count(*) AS n, round(sum(FlowVolume), 3) AS FlowVolume, round(sum(Cost), 2) AS Cost FROM one_run GROUP BY ALL")
 def scn_1(f):
-    facts = scenario.reporting_facts(f.stored_gold(*schema.DATASETS), A)
+    facts = scenario.reporting_facts(f.stored_gold(*schema.DATASETS, read=scenario.READ), A)
     return facts.groupBy("Category", "SubCategory", "CostSubCategory", "OriginName", "Mode").agg(
         F.count("*").alias("n"), F.round(F.sum("FlowVolume"), 3).alias("FlowVolume"), F.round(F.sum("Cost"), 2).alias("Cost"))
 

@@ -15,6 +15,11 @@ from sparkprep.operators.ranking import first_rows
 NONE = "-"
 FLOWS = ["OutboundFlow", "InboundFlow", "TransferFlow", "ProductionFlow", "DemandVolume"]
 TOP_FACILITIES, SPREAD = 10, 20
+#: Columns of Gold that the facts are made of.
+READ = (
+    "quantity_on_hand", "volume", "raw__Quantity", "direction", "cost_amount", "origin_location_id", "location_id",
+    "destination_location_id", "customer_id", "product_id", "shipment_mode",
+)
 
 # --- fixed values: root-cause dimensions: name -> (column, measure, rows kept; None keeps all) ---
 DIMENSIONS = {

@@ -90,7 +90,7 @@ def cascade(df: DataFrame, dataset: str, excluded: dict[str, DataFrame]) -> Data
             continue
         key, hit = f"_fk{i}", f"_out{i}"
         lookup = excluded[master].select(F.col("key").alias(key), F.lit(True).alias(hit))
-        df = lookup_join(df.withColumn(key, F.col(field).cast("string")), lookup, key)
+        df = lookup_join(df.withColumn(key, F.col(field).cast("string")), lookup, key, schema.identity(dataset, columns))
         reasons.append(F.when(F.col(hit), F.format_string(
             f"Excluded via cascade: {field} '%s' is excluded in {master}", F.col(key)
         )))

@@ -55,13 +55,13 @@ def _stripped(keys: DataFrame, fk: ForeignKey, name: str) -> DataFrame:
     )
 
 
-def _check(df: DataFrame, fk: ForeignKey, keys: DataFrame) -> tuple[DataFrame, dict[str, Column], Column]:
+def _check(df: DataFrame, fk: ForeignKey, keys: DataFrame, identity: list[str] | None) -> tuple[DataFrame, dict[str, Column], Column]:
     """Joins both lookups; returns the frame, the new columns and the exception item of one rule."""
     name = f"_x_{fk.field}"
     raw = F.trim(F.col(fk.field).cast("string"))
     df = df.withColumn(f"{name}_raw", raw).withColumn(f"{name}_bare", text.strip_prefix(F.col(f"{name}_raw")))
-    df = lookup_join(df, _exact(keys, fk, name), f"{name}_raw")
-    df = lookup_join(df, _stripped(keys, fk, name), f"{name}_bare")
+    df = lookup_join(df, _exact(keys, fk, name), f"{name}_raw", identity)
+    df = lookup_join(df, _stripped(keys, fk, name), f"{name}_bare", identity)
     exact, soft, given = F.col(f"{name}_exact"), F.col(f"{name}_soft"), F.col(f"{name}_raw").isNotNull()
 
     def held(i: int) -> Column:
@@ -99,7 +99,7 @@ def with_misses(gold: DataFrame, dataset: str, parents: dict[str, DataFrame]) ->
     for fk in schema.FOREIGN_KEYS.get(dataset, ()):
         keys = available_keys(fk, parents) if fk.field in gold.columns else None
         if keys is not None:
-            df, new, item = _check(df, fk, keys)
+            df, new, item = _check(df, fk, keys, schema.identity(dataset, gold.columns))
             added.update(new)
             items.append(item)
     if not items:

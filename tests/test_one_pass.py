@@ -3,7 +3,8 @@
 import inspect
 
 from checks import queries
-from sparkprep.operators import quality
+from checks.frames import Frames
+from sparkprep.operators import joins, quality
 
 
 def test_checked_summary_counts_rows_and_findings(spark):
@@ -18,3 +19,23 @@ def test_checked_summary_counts_rows_and_findings(spark):
 
 def test_sketches_read_written_silver():
     assert "f.written(layers.SILVER" in inspect.getsource(queries.prf_1_sketches)
+
+
+def test_facts_of_stored_gold_carry_only_what_is_read(spark):
+    f = Frames(spark, "/root/testdata/sf0.001")
+    gold = queries._tables(f, "inventory_history", read=("volume", "quantity_on_hand", "row_status"))
+    assert sorted(gold["inventory_history"].columns) == ["quantity_on_hand", "row_status"]
+    assert f.stored_gold("vendor_master", read=("volume",))["vendor_master"].columns == ["vendor_id"]
+
+
+def test_null_keys_are_spread_by_the_business_key_alone(spark):
+    rows = spark.createDataFrame([(f"s{i}", None if i % 2 else f"k{i}", "wide") for i in range(40)], "shipment_id string, product_id string, note string")
+    lookup = spark.createDataFrame([("k0", 1), ("k2", 2)], "product_id string, v int")
+    spark.conf.set(joins.BROADCAST_BYTES_CONF, "0")
+    out = joins.lookup_join(rows, lookup, "product_id", ["shipment_id"])
+    plan = out.select("shipment_id", "v")._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset(joins.BROADCAST_BYTES_CONF)
+    above = [line for line in plan.splitlines() if "note" in line and "LogicalRDD" not in line]
+    assert not above, plan  # the column is cut off before the shuffle
+    assert {r["shipment_id"]: r["v"] for r in out.collect() if r["v"]} == {"s0": 1, "s2": 2}
+    assert out.count() == 40
