@@ -102,17 +102,22 @@ def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def filtered(ids: DataFrame) -> np.ndarray:
-    """A bitmap of hashed ids, of ASKED bits whatever their number."""
+    """A bitmap of hashed ids, of ASKED bits whatever their number: two megabytes, for the driver and each task."""
     rows = ids.mapInArrow(bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     out = np.zeros(ASKED >> 5, np.uint32)
     out[rows.column("word").to_numpy()] = rows.column("bit").to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+    return out
+
+
+def held(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = asked_bit(ids)
+    return (bitmap[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
 
 
 def sets(batches: Iterator[pa.RecordBatch], words: int, asked: object) -> Iterator[pa.RecordBatch]:
     """The full sets of documents that may be asked for."""
     for batch in batches:
-        some = asked.value[asked_bit(columns(batch, "doc_id")[0])]
+        some = held(asked.value, columns(batch, "doc_id")[0])
         if not some.any():
             continue
         batch = batch.filter(pa.array(some))

@@ -79,3 +79,11 @@ def test_odd_rows(docs):
         assert minhash.near_duplicates(docs(rows)).count() == len(rows)
     found = minhash.near_duplicates(docs([(None, "a b c d e f"), (4, "A b c d e f"), (9, "a b c d e F")])).collect()
     assert sorted((r.component_id, r.kept) for r in found) == [(4, False), (4, True), (4, True)]
+
+
+def test_asked_for_documents_are_a_packed_bitmap(spark):
+    ids = np.array([3, -7, 2**62, 99], np.int64)
+    bitmap = minhash.filtered(spark.createDataFrame([(int(i),) for i in ids], "doc_id long"))
+    assert bitmap.nbytes <= minhash.ASKED // 8
+    others = np.arange(1000, 3000)
+    assert minhash.held(bitmap, ids).all() and minhash.held(bitmap, others).sum() < 5
