@@ -83,7 +83,8 @@ def src_5(f):
 def _loads(f: Frames, ds: str, old: str, changed: dict[str, str]) -> DataFrame:
     """A dataset's Silver brought by two loads: the first has half of the keys as they are, and an earlier state of some
     others; the second has the other half, those among them."""
-    store, silver = layers.Store(f.spark, scratch_path(f.spark, "loads"), "p1"), f.silver(ds)
+    # as in a run, loads are merged from written Silver: each merge reads it more than once
+    store, silver = layers.Store(f.spark, scratch_path(f.spark, "loads"), "p1"), f.written(layers.SILVER, {ds: f.silver(ds)})[ds]
     half = F.expr(f"pmod(crc32({old}), 2) = 0")
     earlier = silver.where(~half).where(f"pmod(crc32({old}), 3) = 0").withColumns({c: F.expr(e) for c, e in changed.items()})
     kept = state.KeyState(store, buckets=8)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +48,14 @@ class KeyState:
         paths = [f"{self.store.path(STATE, dataset, run)}/{BUCKET}={b}" for b, _, run in sorted(parts)]
         return self.store.spark.read.option("mergeSchema", True).parquet(*paths)
 
+    def _written(self, path: str) -> list[int]:
+        """The buckets below a path; none where there were no rows, as then nothing was written."""
+        try:
+            found = self.store.spark.read.parquet(path)
+        except AnalysisException:
+            return []
+        return sorted(r[BUCKET] for r in found.select(BUCKET).distinct().collect()) if BUCKET in found.columns else []
+
     def read(self, dataset: str, as_of: str | None = None) -> DataFrame | None:
         """All keys' latest rows, up to a run; None without any load."""
         return self._rows(dataset, self._manifest(dataset, as_of))
@@ -58,14 +67,16 @@ class KeyState:
         keys = keys_of(changes, dataset)
         spread = F.pmod(F.xxhash64(*[F.col(f"`{k}`").cast("string") for k in keys]), F.lit(buckets)).cast("int")
         changes = changes.withColumn(BUCKET, spread)
-        touched = sorted(r[BUCKET] for r in changes.select(BUCKET).distinct().collect())
-        now = changes.withColumn("_new", F.lit(True))
-        before = self._rows(dataset, [p for p in parts if p[0] in set(touched)])
-        if before is not None:
-            now = now.unionByName(before.withColumns({BUCKET: spread, "_new": F.lit(False)}), allowMissingColumns=True)
+        now, path = changes.withColumn("_new", F.lit(True)), self.store.path(STATE, dataset, run_id)
+        if parts:  # only then does it matter beforehand where the changes fall
+            into = {r[BUCKET] for r in changes.select(BUCKET).distinct().collect()}
+            before = self._rows(dataset, [p for p in parts if p[0] in into])
+            if before is not None:
+                now = now.unionByName(before.withColumns({BUCKET: spread, "_new": F.lit(False)}), allowMissingColumns=True)
         latest = Window.partitionBy(BUCKET, *[f"`{k}`" for k in keys]).orderBy(F.col("_new").desc(), ROW_ORD)
         rows = now.withColumn("_nth", F.row_number().over(latest)).where("_nth = 1").drop("_nth", "_new")
-        rows.write.partitionBy(BUCKET).parquet(self.store.path(STATE, dataset, run_id))
+        rows.write.partitionBy(BUCKET).parquet(path)
+        touched = sorted(into) if parts else self._written(path)
         log = self.store.spark.createDataFrame([(b, buckets) for b in touched], "bucket int, buckets int")
         log.write.parquet(self.store.path(MANIFEST, dataset, run_id))
         return self.read(dataset)

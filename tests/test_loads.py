@@ -138,6 +138,22 @@ def test_state_as_of_a_run_and_untouched_buckets(loads, spark):
     assert rechecked({}, {}) is None
 
 
+def test_the_first_merge_takes_its_rows_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def one(i):
+        seen.add(1)
+        return i, f"P{i % 30}", i
+
+    changes = spark.createDataFrame(spark.sparkContext.parallelize(range(40), 2).map(one), "_row_ord bigint, product_id string, weight bigint")
+    state = KeyState(Store(spark, str(tmp_path), "p"), buckets=4)
+    assert {r.product_id: r.weight for r in state.merge(changes, "product_master", "run_1").collect()} == {f"P{i}": i for i in range(30)}
+    assert seen.value == 40
+    # a load without rows, later or first, touches no bucket
+    assert state.merge(changes.where("false"), "product_master", "run_2").count() == 30
+    assert KeyState(Store(spark, str(tmp_path / "none"), "p")).merge(changes.where("false"), "product_master", "run_1") is None
+
+
 def test_a_dataset_that_a_run_does_not_bring_is_a_parent(loads, tmp_path):
     store, _, _ = loads
     run = pipeline.run_pipeline(store, {"shipment_cost": source([cost(46, 3), cost(88, 3)], tmp_path, "late")}, PROJECT, run_id="run_2")[0]
