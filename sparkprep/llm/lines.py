@@ -106,8 +106,12 @@ def asked_for(ids: DataFrame) -> str:
 def links(lines: DataFrame, edits: int, least: int) -> DataFrame:
     """Pairs (a, b) of different lines of at least `least` characters, by id, that are within `edits` edits."""
     long = lines.where(f"chars >= {least}")
-    index = long.select("id", F.explode(index_keys(edits)).alias("key")).distinct()
-    probe = long.select(F.col("id").alias("other"), F.explode(probe_keys(edits)).alias("key")).distinct()
+    # a line that surely occurs once sends its keys straight to their join; the others are reduced to one row before
+    often = asked_for(long.groupBy("id").count().where("count > 1").select("id"))
+    lone = long.where(f"NOT ({often})").select("id", "line", "chars")
+    copied = long.where(often).groupBy("id").agg(F.min("line").alias("line")).withColumn("chars", F.length("line"))
+    index, probe = (lone.select("id", keys).unionByName(copied.select("id", keys)) for keys in (F.explode(index_keys(edits)).alias("key"), F.explode(F.array_distinct(probe_keys(edits))).alias("key")))
+    probe = probe.withColumnRenamed("id", "other")
     pairs = index.join(probe, "key").where("id <> other").selectExpr("least(id, other) AS a", "greatest(id, other) AS b").distinct()
     pairs = cut(pairs)
     ids = pairs.selectExpr("a AS id").unionByName(pairs.selectExpr("b AS id")).distinct()

@@ -82,6 +82,18 @@ def test_odd_rows(docs):
     assert found == {5: 0, 6: 1}
 
 
+def test_keys_of_lines_that_occur_once_are_shuffled_once(docs, monkeypatch):
+    plans = []
+    monkeypatch.setattr(lines, "cut", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or df)
+    rows = [(k, f"line number {k} of a text here\nthe line that all of the texts have") for k in range(30)] + [(31, "the line that all of the texts hawe")]
+    assert {r.doc_id: r.n_removed for r in lines.remove_repeats(docs(rows)).collect()} == brute_counts(rows)
+    assert "explode(array" in plans[0] and not re.search(r"keys=\[(id|other)#\d+L, key", plans[0])
+
+
+def brute_counts(rows):
+    return {k: v[1] for k, v in brute(rows, 2, 20).items()}
+
+
 def test_only_dataframe_functions(docs):
     plan = lines.remove_repeats(docs(made(5)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
