@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from checks import fixtures
 from checks.oracle import RUN
 from sparkprep import schema
-from sparkprep.operators import clean, mapping, scope, validate
+from sparkprep.operators import clean, mapping, scope, validate, xref
 from sparkprep.plans import pipeline
 from sparkprep.session import configure, scratch_path
 from sparkprep.sources import layers
@@ -74,6 +74,19 @@ class Frames:
             tables = {ds: df.select(*([c for c in df.columns if c in read] or [schema.key_of(ds)])) for ds, df in tables.items()}
         return self.written(layers.GOLD, tables)
 
+    def _parent(self, dataset: str, parent: str) -> DataFrame:
+        """What the checks of a dataset ask of a shipment table: the keys that references name, duplicates included, or
+        the products and directions of its Silver rows."""
+        if dataset == "product_master":
+            return self.silver(parent).select(schema.key_of(parent), "product_id", "direction")
+        return self.typed(parent).select(schema.key_of(parent))
+
     @cached_property
     def everything(self) -> pipeline.Gold:
-        return self.gold(*schema.DATASETS)
+        """Gold of all datasets. Each has a plan of its own, with the masters and no more of another dataset than it asks for."""
+        checked = {}
+        for ds in schema.DATASETS:
+            asked = xref.SHIPPED if ds == "product_master" else [p for fk in schema.FOREIGN_KEYS.get(ds, ()) for p in (*fk.parents, *fk.also)]
+            silver = self.silvers(*schema.MASTERS, ds) | {p: self._parent(ds, p) for p in asked if p not in (*schema.MASTERS, ds)}
+            checked |= pipeline.gold_tables(silver, fixtures.SCOPE_RULES, RUN, only=(ds,)).checked
+        return pipeline.split(checked, RUN)

@@ -13,7 +13,7 @@ from sparkprep.operators.joins import lookup_join, quoted
 from sparkprep.operators.ranking import union_all
 from sparkprep.operators.scope import INCLUDED
 from sparkprep.schema import ROW_ORD
-from sparkprep.session import cut_lineage
+from sparkprep.session import cut_lineage, shuffles_dropped
 
 LOGS = ("issues", "review_queue", "cross_reference_exceptions")
 STATUS_FILTERS = ("all", "validated", "flagged", "unresolved")
@@ -119,8 +119,13 @@ def counters(df: DataFrame, findings: tuple[str, ...]) -> list[Column]:
 
 def checked_summary(checked: dict[str, DataFrame], findings: tuple[str, str, str]) -> DataFrame:
     """run_summary() of rows that still carry their findings (issues, review queue, exceptions): one aggregate row a dataset
-    gives its counts and those of the logs, so nothing is cleaned, joined or checked twice. One row a dataset is stored."""
-    counts = cut_lineage(union_all([df.agg(*counters(df, findings)).select(F.lit(ds).alias("dataset"), "*") for ds, df in checked.items()]))
+    gives its counts and those of the logs, so nothing is cleaned, joined or checked twice. One row a dataset is stored.
+    The datasets are counted in turn, and each one's shuffle files go before the next one begins."""
+    counted = []
+    for ds, df in checked.items():
+        with shuffles_dropped(df.sparkSession):
+            counted.append(cut_lineage(df.agg(*counters(df, findings)).select(F.lit(ds).alias("dataset"), "*")))
+    counts = union_all(counted)
     rows = counts.select("dataset", F.lit("rows").alias("kind"), "row_count", "valid", "needs_review", "invalid", "scope_excluded")
     logs = counts.agg(*[F.sum(f).alias(f) for f in findings]).select(F.lit("ALL").alias("dataset"), F.inline(F.array(*[
         F.struct(F.lit(kind).alias("kind"), F.col(f).alias("row_count")) for kind, f in zip(LOGS, findings)

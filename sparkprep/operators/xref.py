@@ -20,6 +20,7 @@ _ITEM = (
 )
 LOG_SCHEMA = f"dataset_name string, run_id string, record_id string, {_ITEM}, count int"
 MISSES = "_misses"  # the column that holds a row's exceptions
+SHIPPED = ("outbound_shipment_history", "shipment_history")  # the tables that tell which products are in scope
 
 
 def _keys(parents: dict[str, DataFrame], name: str) -> DataFrame | None:
@@ -150,7 +151,7 @@ def outbound_products(shipments: dict[str, DataFrame], names: tuple[str, ...]) -
 
 def flag_in_scope(
     products: DataFrame, shipments: dict[str, DataFrame],
-    names: tuple[str, ...] = ("outbound_shipment_history", "shipment_history"),
+    names: tuple[str, ...] = SHIPPED,
 ) -> DataFrame:
     """Adds in_scope: the product left on an outbound shipment."""
     shipped = outbound_products(shipments, names)
