@@ -1,3 +1,4 @@
+import hashlib
 import math
 from collections import Counter
 
@@ -7,6 +8,7 @@ import sentencepiece
 from made_corpus import AWKWARD, docs, invented  # noqa: F401
 
 from sparkprep.llm import pieces
+from sparkprep.llm.queries import QUERIES
 
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
 
@@ -108,3 +110,17 @@ def test_odd_rows(docs):
         found = pieces.segmentations(docs(rows))
         assert found.count() == len(rows)
         assert pieces.decode(found.selectExpr("doc_id AS id", "get(samples, 0).ids AS ids")).count() == len(rows)
+
+
+def test_the_query_returns_the_ids(docs, spark, tmp_path):
+    rows = [(k, t) for k, t in AWKWARD + invented(40) if k is not None]
+    docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    texts = {k: t or "" for k, t in rows}
+    found = QUERIES["op4_sentencepiece"](spark, str(tmp_path))
+    for r in found.collect():
+        assert r.n_samples == len(r.samples) == len({tuple(s.ids) for s in r.samples})
+        for s in r.samples:
+            assert s.exact and LIBRARY.decode(list(s.ids)) == texts[r.doc_id]
+            assert s.n_pieces == len(s.ids) and s.sha256 == hashlib.sha256(np.array(s.ids, "<i4").tobytes()).hexdigest()
+    again = pieces.decode(found.selectExpr("doc_id", "explode(samples.ids) AS ids")).collect()
+    assert again and all(r.text == texts[r.doc_id] for r in again)
