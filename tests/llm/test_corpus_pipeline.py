@@ -117,3 +117,21 @@ def test_near_copies_from_four_fifths_on_go(spark, tmp_path):
     near, nearer = test_minhash.brute(rows, 80), test_minhash.brute(rows, 85)
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, table, str(tmp_path)).collect()} == {k for k in near if near[k][2]}
     assert [k for k in near if near[k][2]] != [k for k in nearer if nearer[k][2]]
+
+
+def test_encoding_gives_all_samples_with_scores_and_decoding_check(spark, tmp_path):
+    rows = [(1, "of the thinking hello there"), (2, "x"), (2, "é 漢字 \U0001f600"), (None, "no key"), (3, ""), (4, None), (1, "of the thinking hello there")]
+    table = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    found = corpus_pipeline.encoding(spark, table, str(tmp_path)).collect()
+    alone = {tuple(s[0].ids): s[0].log_prob for r in pieces.segmentations(table, k=1).collect() if (s := r.samples)}
+    assert sorted((r.doc_id or 0, library.decode(list(r.ids or []))) for r in found) == sorted((k or 0, t or "") for k, t in rows)
+    for r in found:
+        text = library.decode(list(r.ids or []))
+        assert len({tuple(s.ids) for s in r.samples}) == len(r.samples) == (2 if text else 0)
+        assert all(s.exact and library.decode(list(s.ids)) == text and s.log_inclusion <= 0 for s in r.samples)
+        if text:
+            assert (r.n_pieces, r.ids, r.log_prob) == (r.samples[0].n_pieces, r.samples[0].ids, r.samples[0].log_prob)
+            assert alone[tuple(r.ids)] == r.log_prob and r.samples[0].perturbed > r.samples[1].perturbed
+        else:
+            assert (r.n_pieces, r.ids) == (0, None)
